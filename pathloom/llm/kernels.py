@@ -161,3 +161,18 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of the words' values for each text."""
     sums = np.concatenate(([0], np.cumsum(values)))
     return sums[first[1:]] - sums[first[:-1]]
+
+
+def sequence_hash(hashes: np.ndarray) -> int:
+    """A signed 64-bit hash of a list of hashes that depends on their order."""
+    with np.errstate(over="ignore"):
+        total = (mix(hashes, 3) * np.arange(1, 2 * len(hashes), 2, dtype=np.uint64)).sum() + np.uint64(len(hashes))
+        return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
+
+
+def class_counts(data: np.ndarray, offsets: np.ndarray, members: bytes | np.ndarray) -> np.ndarray:
+    """How many bytes of a class each text has."""
+    table = np.zeros(256, dtype=bool)
+    table[np.frombuffer(members, dtype=np.uint8) if isinstance(members, bytes) else members] = True
+    sums = np.concatenate(([0], np.cumsum(table[data])))
+    return sums[offsets[1:]] - sums[offsets[:-1]]
