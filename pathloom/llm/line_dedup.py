@@ -6,7 +6,7 @@ earliest document that holds it is the line's owner, and every later holder is p
 the owner, so a line shared by thousands of documents makes thousands of pairs, not
 millions.  Each pair is aligned with patience diff: lines unique in both documents anchor
 the alignment, the longest increasing run of anchors is kept, equal neighbours extend it,
-and the gaps between anchors are aligned the same way.  Aligned common blocks of at least
+and the gaps between anchors are aligned the same way (by numbered occurrences where no line is unique).  Aligned common blocks of at least
 ``min_words`` words, and whole copies, are deleted from the later document.
 
 Only hashes and word counts of lines are shuffled for the search; texts move once, to meet
@@ -88,6 +88,10 @@ def matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         in_a, in_b = Counter(a[i:i_end]), Counter(b[j:j_end])
         at = {b[k]: k for k in range(j, j_end) if in_b[b[k]] == 1}
         anchors = [(k, at[a[k]]) for k in range(i, i_end) if in_a[a[k]] == 1 and a[k] in at]
+        if not anchors:
+            # No line is unique in both: the first, second, ... occurrences of a line anchor each other.
+            nth = _numbered(b, j, j_end)
+            anchors = [(k, nth[x]) for x, k in _numbered(a, i, i_end).items() if x in nth]
         if not anchors:
             continue
         last = (i, j)
@@ -99,6 +103,16 @@ def matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _numbered(lines: list[int], start: int, end: int) -> dict[tuple[int, int], int]:
+    """Place of each (line, how many equal ones stand before it)."""
+    seen: Counter[int] = Counter()
+    out = {}
+    for k in range(start, end):
+        out[lines[k], seen[lines[k]]] = k
+        seen[lines[k]] += 1
+    return out
+
+
 def _gap(start: tuple[int, int], end: tuple[int, int]) -> tuple[int, int, int, int]:
     return start[0], end[0], start[1], end[1]
 
