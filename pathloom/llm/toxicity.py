@@ -1,6 +1,6 @@
 """Toxicity classifier with a counterfactual penalty.
 
-A logistic model over the presence of words.  For every labelled text that mentions an
+A logistic model over the presence of words and of word beginnings (inflected forms share them).  For every labelled text that mentions an
 identity term, a counterfactual text has each such term swapped for another of its group;
 the training loss adds the squared difference of the two scores (logits), so a mention of a
 group alone cannot move a score, whichever group it is, while the swapped texts keep their
@@ -31,8 +31,12 @@ from pathloom.llm.labelled import fold, one_label, with_label
 from pathloom.plans.staging import stage
 
 FEATURES = 4096
-MIN_DOCUMENTS = 5
-RIDGE = 2.0
+MIN_DOCUMENTS = 4
+#: Bytes of the word beginnings that are features beside the words.
+PREFIX_BYTES = (4, 5, 6)
+#: Standard errors by which a feature's share among the labels must differ from the usual.
+LEAST_SURPRISE = 5.0
+RIDGE = 0.2
 FAIRNESS = 5.0
 STEPS = 20
 HELD = 1 << 22
@@ -67,9 +71,16 @@ def _identity_tables() -> tuple[np.ndarray, dict[int, int]]:
 
 
 def _distinct_words(column: pa.Array) -> Iterator[np.ndarray]:
+    """Of each text, the distinct words and word beginnings."""
     words = K.scan(column, K.NOT_ALNUM)
-    for a, b in zip(words.first[:-1], words.first[1:], strict=True):
-        yield np.unique(words.hashes[a:b])
+    parts, cuts = [words.hashes], [words.first]
+    for length in PREFIX_BYTES:
+        long = np.flatnonzero(words.ends - words.starts > length)
+        starts = words.starts[long]
+        parts.append(K.mix(K.hash_spans(words.data, starts, starts + length), length))
+        cuts.append(np.searchsorted(long, words.first))
+    for i in range(len(column)):
+        yield np.unique(np.concatenate([p[c[i] : c[i + 1]] for p, c in zip(parts, cuts, strict=True)]))
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -106,7 +117,8 @@ def chosen_words(counts: DataFrame, n: int, n1: int, features: int, min_document
     """The words whose share among the labels differs most, in standard errors."""
     p = (n1 + 1) / (n + 2)
     surprise = F.abs(F.col("n1") - F.col("n") * F.lit(p)) / F.sqrt(F.col("n") * F.lit(p * (1 - p)))
-    top = counts.where(F.col("n") >= min_documents).orderBy(surprise.desc(), "word").limit(features).select("word").toArrow()
+    told = (F.col("n") >= min_documents) & (surprise >= LEAST_SURPRISE)
+    top = counts.where(told).orderBy(surprise.desc(), "word").limit(features).select("word").toArrow()
     return top.column("word").to_numpy().astype(np.int64).view(np.uint64)
 
 
