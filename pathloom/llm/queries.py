@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontamination, hmm_lm, line_dedup, ngram_join, quality_classifier, quality_rules, toxicity
+from pathloom.llm import decontamination, hmm_lm, line_dedup, ngram_join, pieces, quality_classifier, quality_rules, toxicity
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -20,6 +20,17 @@ def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.hmm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.decode(pieces.encode(docs)).select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        "piece_ids",
+        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.deduplicated(docs)
@@ -123,6 +134,7 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hmm_lm": op1_hmm_lm,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_line_dedup": op3_line_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_quality_classifier": op10_quality_classifier,
