@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontamination, hmm_lm, line_dedup, ngram_join, pieces, pii, quality_classifier, quality_rules, toxicity
+from pathloom.llm import decontamination, hmm_lm, html_text, line_dedup, ngram_join, pieces, pii, quality_classifier, quality_rules, toxicity
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -40,6 +40,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.private_spans(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"
@@ -145,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_quality_classifier": op10_quality_classifier,
         "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op5_html_text": op5_html_text,
         "op6_pii": op6_pii,
         "op7_quality_rules": op7_quality_rules,
         "op8_decontamination": op8_decontamination,
