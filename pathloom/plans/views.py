@@ -93,7 +93,7 @@ REVIEWS = """
 SELECT l_orderkey AS submission, l_linenumber AS seq,
        CASE (l_orderkey + l_linenumber) % 6 WHEN 0 THEN 'approve' WHEN 1 THEN 'dispatch' WHEN 2 THEN 'inspect'
             WHEN 3 THEN 'succeed' WHEN 4 THEN 'publish' ELSE 'reject' END AS action,
-       l_shipdate AS at
+       l_shipdate AS reviewed_at
 FROM {lineitem}
 """
 
