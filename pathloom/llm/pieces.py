@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with a given vocabulary.
 
-A text with a blank before it is cut into units, blanks followed by non-blanks; no piece of
-the vocabulary crosses a unit's end, so the best segmentation of the text is that of its
-units.  Distinct units of equal length advance together through a numpy Viterbi: the
+A text with a blank before it is cut into units: blanks followed by non-blanks, and line
+ends.  No piece of the vocabulary crosses a unit's end, so the best segmentation of the text
+is that of its units.  Distinct units of equal length advance together through a numpy Viterbi: the
 hashes of all substrings that end at a place probe the sorted piece keys, and the maximum
 over them gives the score and the backpointer of the place for all units at once.
 
@@ -31,12 +31,16 @@ from pathloom.llm import kernels as K
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-UNIT = re.compile(" *[^ ]+| +")
+UNIT = re.compile(" *[^ \n]+| +|\n")
 #: Units that a worker remembers, and cells (unit x place) of one Viterbi.
 REMEMBERED = 1 << 18
-CELLS = 1 << 18
+CELLS = 1 << 17
+#: Bits of a hash that a bitmap tests before the sorted keys are searched.
+MAP_BITS = 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 UNKNOWN = -10.0
+#: Rows that are decoded at a time.
+DECODED = 256
 
 
 class Vocabulary(NamedTuple):
@@ -46,6 +50,7 @@ class Vocabulary(NamedTuple):
     keys: np.ndarray
     ids: np.ndarray
     scores: np.ndarray
+    seen: np.ndarray
     longest: int
     byte_ids: list[int]
     unknown: float
@@ -60,6 +65,11 @@ def _prefix_sums(codes: np.ndarray) -> np.ndarray:
     return sums
 
 
+def _slots(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - MAP_BITS)
+
+
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -99,7 +109,7 @@ def load(model: str = MODEL) -> Vocabulary:
             text = piece.replace(MARK, " ")
             raw.append(text.encode())
             plain.append((text, i))
-    if any(" " in text.lstrip(" ") for text, _ in plain):
+    if any(" " in text.lstrip(" ") or "\n" in text for text, _ in plain):
         raise ValueError("a piece crosses the end of a unit")
     keys = np.zeros(len(plain), dtype=np.uint64)
     ids = np.array([i for _, i in plain], dtype=np.int32)
@@ -110,12 +120,12 @@ def load(model: str = MODEL) -> Vocabulary:
     lengths = np.array([len(t) for t, _ in plain])
     for length in np.unique(lengths):
         at = np.flatnonzero(lengths == length)
-        sums = _prefix_sums(_codes([plain[k][0] for k in at]))
-        keys[at] = K.mix(sums[:, -1], int(length))
+        keys[at] = _prefix_sums(_codes([plain[k][0] for k in at]))[:, -1]
+    seen = np.zeros(1 << MAP_BITS, dtype=bool)
+    seen[_slots(keys)] = True
     order = np.argsort(keys)
-    return Vocabulary(
-        raw, keys[order], ids[order], scores[order], int(lengths.max()), byte_ids, float(scores.min()) + UNKNOWN
-    )
+    worst = float(scores.min()) + UNKNOWN
+    return Vocabulary(raw, keys[order], ids[order], scores[order], seen, int(lengths.max()), byte_ids, worst)
 
 
 def viterbi(units: list[str], v: Vocabulary) -> list[bytes]:
@@ -131,17 +141,20 @@ def viterbi(units: list[str], v: Vocabulary) -> list[bytes]:
         widths = np.arange(min(end, v.longest), 0, -1)  # the longest first, which wins ties
         with np.errstate(over="ignore"):
             h = (sums[:, end, None] - sums[:, end - widths]) * down[end - widths]
-        for k, width in enumerate(widths):
-            h[:, k] = K.mix(h[:, k], int(width))
-        at = np.minimum(np.searchsorted(v.keys, h), len(v.keys) - 1)
-        found = v.keys[at] == h
-        total = np.where(found, v.scores[at], -np.inf)
-        total[:, -1] = np.where(found[:, -1], total[:, -1], v.unknown)
+        total = np.full(h.shape, -np.inf)
+        which = np.full(h.shape, -1, dtype=np.int32)
+        maybe = np.flatnonzero(v.seen[_slots(h)])
+        probes = h.ravel()[maybe]
+        at = np.minimum(np.searchsorted(v.keys, probes), len(v.keys) - 1)
+        hit = v.keys[at] == probes
+        total.ravel()[maybe[hit]] = v.scores[at[hit]]
+        which.ravel()[maybe[hit]] = v.ids[at[hit]]
+        total[:, -1] = np.where(which[:, -1] >= 0, total[:, -1], v.unknown)
         total += best[:, end - widths]
         pick = total.argmax(1)
         best[:, end] = total[rows, pick]
         back[:, end] = widths[pick]
-        piece[:, end] = np.where(found[rows, pick], v.ids[at[rows, pick]], -1)
+        piece[:, end] = which[rows, pick]
     # All units step back together, from their ends.
     place = np.full(m, n)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
@@ -150,19 +163,18 @@ def viterbi(units: list[str], v: Vocabulary) -> list[bytes]:
         place = place - back[rows, place]
     out = np.column_stack([s[0] for s in reversed(steps)])
     ends = np.column_stack([s[1] for s in reversed(steps)])
-    made = []
-    for unit, ids, at in zip(units, out, ends, strict=True):
-        if (ids == -1).any():
-            row: list[int] = []
-            for i, e in zip(ids.tolist(), at.tolist(), strict=True):
-                if i >= 0:
-                    row.append(i)
-                elif i == -1:
-                    row += [v.byte_ids[b] for b in unit[e - 1].encode()]
-            ids = np.array(row, dtype="<i4")
-        else:
-            ids = ids[ids >= 0]
-        made.append(ids.astype("<i4").tobytes())
+    good = out >= 0
+    sizes = 4 * np.concatenate(([0], np.cumsum(good.sum(1))))
+    flat = out[good].astype("<i4").tobytes()
+    made = [flat[a:b] for a, b in zip(sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)]
+    for k in np.flatnonzero((out == -1).any(1)):
+        row: list[int] = []
+        for i, e in zip(out[k].tolist(), ends[k].tolist(), strict=True):
+            if i >= 0:
+                row.append(i)
+            elif i == -1:
+                row += [v.byte_ids[b] for b in units[k][e - 1].encode()]
+        made[k] = np.array(row, dtype="<i4").tobytes()
     return made
 
 
@@ -233,9 +245,11 @@ def decode(encoded: DataFrame, *, ids: str = "piece_ids", text: str = "decoded",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        for batch in batches:
-            texts = [None if x is None else decode_ids(x.values.to_pylist(), v) for x in batch.column(at)]
-            yield _with_column(batch, text, pa.array(texts, pa.string()))
+        for whole in batches:
+            for i in range(0, whole.num_rows, DECODED):
+                batch = whole.slice(i, DECODED)
+                texts = [None if x is None else decode_ids(x, v) for x in batch.column(at).to_pylist()]
+                yield _with_column(batch, text, pa.array(texts, pa.string()))
 
     df = encoded.select(*[F.col(f"`{c}`") for c in rest])
     return df.mapInArrow(run, df.withColumn(text, F.lit(None).cast("string")).schema)
