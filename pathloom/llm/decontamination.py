@@ -77,18 +77,18 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) ->
     return blocks
 
 
-def contamination(
+def _scanned(
     docs: DataFrame,
     benchmark: DataFrame,
+    carry: tuple[str, ...],
     *,
-    carry: tuple[str, ...] = ("doc_id",),
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
     n: int = 10,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """``carry`` columns, text, n_words, hit (array of [first word, end word]) and items of each document."""
+    """The carried columns as c0, c1, ... and text, n_words, hit and items of each document."""
     spark = docs.sparkSession
     out = docs.select(
         *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)],
@@ -107,9 +107,13 @@ def contamination(
                     yield _mark(piece, grams.value)
 
         out = out.mapInArrow(mark, schema)
-    return out.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], F.col("text").alias(text), "n_words", "hit", "items"
-    )
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, carry: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+    """``carry`` columns, n_words, hit (array of [first word, end word]) and items of each document."""
+    out = _scanned(docs, benchmark, carry, **options)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n_words", "hit", "items")
 
 
 def _mark(piece: pa.RecordBatch, grams: Grams) -> pa.RecordBatch:
@@ -146,27 +150,27 @@ def n_hit() -> F.Column:
     return F.aggregate("hit", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
 
 
-def without_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def _restored(found: DataFrame, columns: list[str], rest: tuple[str, ...], text: str) -> DataFrame:
+    return found.select(*[F.col("text" if c == text else f"c{rest.index(c)}").alias(c) for c in columns])
+
+
+def without_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The documents without a hit, all their columns kept."""
-    carry = tuple(docs.columns)
-    text = options.pop("text", "text")
-    rest = tuple(c for c in carry if c != text)
-    found = contamination(docs, benchmark, carry=rest, text=text, **options)
-    return found.where(F.size("items") == 0).select(*[F.col(c) for c in carry])
+    rest = tuple(c for c in docs.columns if c != text)
+    found = _scanned(docs, benchmark, rest, text=text, **options).where(F.size("items") == 0)
+    return _restored(found, docs.columns, rest, text)
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def without_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """All documents, with the hit words cut out of their texts; other texts stay as they are."""
-    carry = tuple(docs.columns)
-    text = options.pop("text", "text")
-    rest = tuple(c for c in carry if c != text)
-    found = contamination(docs, benchmark, carry=rest, text=text, **options)
+    rest = tuple(c for c in docs.columns if c != text)
+    found = _scanned(docs, benchmark, rest, text=text, **options)
 
     @F.pandas_udf(T.StringType())
     def cut(texts, hits):
         return texts.combine(hits, lambda t, h: t if t is None or not len(h) else _cut(t, h))
 
-    return found.withColumn(text, cut(F.col(text), F.col("hit"))).select(*[F.col(c) for c in carry])
+    return _restored(found.withColumn("text", cut(F.col("text"), F.col("hit"))), docs.columns, rest, text)
 
 
 def _cut(text: str, hit) -> str:

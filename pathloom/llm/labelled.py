@@ -11,7 +11,8 @@ BROADCAST_ROWS = 1 << 20
 
 def fold(id: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(id) if isinstance(id, str) else id, F.lit("")).cast("string").cast("binary")), F.lit(parts))
+    text = (F.col(id) if isinstance(id, str) else id).cast("string")
+    return F.pmod(F.crc32(F.coalesce(text, F.lit("")).cast("binary")), F.lit(parts))
 
 
 def one_label(labels: DataFrame, id: str, label: str) -> DataFrame:

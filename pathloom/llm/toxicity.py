@@ -1,10 +1,10 @@
 """Toxicity classifier with a counterfactual penalty.
 
 A logistic model over the presence of words and of word beginnings (inflected forms share them).  For every labelled text that mentions an
-identity term, a counterfactual text has each such term swapped for another of its group;
-the training loss adds the squared difference of the two scores (logits), so a mention of a
-group alone cannot move a score, whichever group it is, while the swapped texts keep their
-label's evidence.
+identity term, one counterfactual text has each such term swapped for another of its group, and a
+second has it left out (swapped for no group at all); the training loss adds the squared
+differences of the scores (logits), so a mention of a group alone hardly moves a score,
+whichever group it is, while the other words keep the label's evidence.
 
 Word counts by label are gathered over all labelled training rows, with partial counts on
 the executors; the ``FEATURES`` words that tell the labels apart best, and all identity
@@ -58,19 +58,6 @@ IDENTITIES = {
 }
 
 
-def _word_hash(word: str) -> int:
-    return int(K.scan(pa.array([word]), K.NOT_ALNUM).hashes[0])
-
-
-def _identity_tables() -> tuple[np.ndarray, dict[int, int]]:
-    """Hashes of all identity terms, and for each term the one that replaces it."""
-    swap: dict[int, int] = {}
-    for group in IDENTITIES.values():
-        terms = [_word_hash(w) for w in group.split()]
-        swap |= dict(zip(terms, terms[1:] + terms[:1], strict=True))
-    return np.array(sorted(swap), dtype=np.uint64), swap
-
-
 def _distinct_words(column: pa.Array) -> Iterator[np.ndarray]:
     """Of each text, the distinct words and word beginnings."""
     words = K.scan(column, K.NOT_ALNUM)
@@ -84,6 +71,17 @@ def _distinct_words(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.unique(np.concatenate([p[c[i] : c[i + 1]] for p, c in zip(parts, cuts, strict=True)]))
 
 
+def _identity_tables() -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """By an identity term's hash, its features and those of the term that replaces it; and all these features."""
+    swap: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for group in IDENTITIES.values():
+        column = pa.array(group.split())
+        names = K.scan(column, K.NOT_ALNUM).hashes.tolist()
+        own = list(_distinct_words(column))
+        swap |= {n: (f, g) for n, f, g in zip(names, own, own[1:] + own[:1], strict=True)}
+    return swap, np.unique(np.concatenate([f for f, _ in swap.values()]))
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
     """Of rows (text, y): how many texts of each label hold each word."""
 
@@ -129,27 +127,33 @@ def _places(found: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def design(rows: DataFrame, words: np.ndarray) -> DataFrame:
-    """Of rows (text, y): the label, the features present, and those of the counterfactual (null if none)."""
-    terms, swap = _identity_tables()
+    """Of rows (text, y): the label, the features present, and those of the two counterfactuals (null if none)."""
+    swap, _ = _identity_tables()
+    terms = np.array(sorted(swap), dtype=np.uint64)
     shared = rows.sparkSession.sparkContext.broadcast((words, terms, swap))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, terms, swap = shared.value
         for batch in batches:
             for piece in K.slices(batch, "text"):
-                present, swapped = [], []
+                present, swapped, without = [], [], []
                 for found in _distinct_words(piece.column(0)):
                     present.append(_places(found, words).astype(np.int32))
-                    named = np.isin(found, terms)
-                    if named.any():
-                        other = np.array([swap[int(w)] for w in found[named]], dtype=np.uint64)
-                        swapped.append(_places(np.unique(np.concatenate((found[~named], other))), words).astype(np.int32))
+                    named = found[np.isin(found, terms)]
+                    if len(named):
+                        gone = np.concatenate([swap[int(w)][0] for w in named])
+                        come = np.concatenate([swap[int(w)][1] for w in named])
+                        rest = np.setdiff1d(found, gone)
+                        swapped.append(_places(np.union1d(rest, come), words).astype(np.int32))
+                        without.append(_places(rest, words).astype(np.int32))
                     else:
                         swapped.append(None)
+                        without.append(None)
                 kind = pa.list_(pa.int32())
-                yield pa.record_batch([piece.column(1), pa.array(present, kind), pa.array(swapped, kind)], ["y", "x", "x2"])
+                lists = [pa.array(x, kind) for x in (present, swapped, without)]
+                yield pa.record_batch([piece.column(1), *lists], ["y", "x", "swapped", "without"])
 
-    return rows.select("text", "y").mapInArrow(run, "y int, x array<int>, x2 array<int>")
+    return rows.select("text", "y").mapInArrow(run, "y int, x array<int>, swapped array<int>, without array<int>")
 
 
 def _logits(lists: pa.Array, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,8 +178,8 @@ def loss_and_gradient(table: DataFrame, w: np.ndarray, fairness: float) -> tuple
             total += np.bincount(flat, weights=pull[row], minlength=len(w))
             total[-1] += pull.sum()
             pairs = batch.filter(batch.column(2).is_valid())
-            if pairs.num_rows:
-                (a, flat_a, row_a), (b, flat_b, row_b) = _logits(pairs.column(1), w), _logits(pairs.column(2), w)
+            for other in (2, 3) if pairs.num_rows else ():
+                (a, flat_a, row_a), (b, flat_b, row_b) = _logits(pairs.column(1), w), _logits(pairs.column(other), w)
                 gap = a - b
                 loss += fairness * float((gap * gap).sum())
                 total += np.bincount(flat_a, weights=2 * fairness * gap[row_a], minlength=len(w))
@@ -212,7 +216,7 @@ def toxicity_scores(
     known = stage(one_label(labels.where(fold(id, parts) != held_out), id, label), "labels")
     size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("n1")).first()
     train = with_label(docs, known)
-    terms, _ = _identity_tables()
+    _, terms = _identity_tables()
     if size.n:
         picked = chosen_words(word_counts(train), size.n, size.n1, features, min_documents)
         words = np.union1d(picked, terms)
