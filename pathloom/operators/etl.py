@@ -85,13 +85,19 @@ def closures(edges: DataFrame, nodes: DataFrame, zones: DataFrame) -> DataFrame:
 def shortcuts(nodes: DataFrame, lawns: DataFrame, obstacles: DataFrame, *, low: float = 15.0, high: float = 250.0, share: float = 0.85) -> DataFrame:
     """Node pairs across a lawn: long enough, clear of obstacles at every 2 m, mostly on the lawn.
 
-    Each pair counts for its first lawn.  A lawn has few border nodes, and a pair's length
-    is checked before it is sampled.
+    Each pair counts for its first lawn.  Pairs come from a grid, and a pair's length is
+    checked before it is sampled.
     """
     border = near_zone(nodes, lawns, 15.0).select("zone", "id", "x", "y")
-    other = border.select("zone", F.col("id").alias("to_node"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    # Only nodes of the same and the eight cells around can be near enough.
+    degrees = high / (geo.PLANE_X * geo.COS_PLANE)
+    ring = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    other = border.select("zone", F.col("id").alias("to_node"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(ring).alias("i"))
+    other = other.select("*", F.explode(ring).alias("j"))
+    other = other.withColumns({"cx": cell(F.col("x2"), degrees) + F.col("i"), "cy": cell(F.col("y2"), degrees) + F.col("j")}).drop("i", "j")
+    here = border.withColumnsRenamed({"id": "from_node"}).withColumns({"cx": cell(F.col("x"), degrees), "cy": cell(F.col("y"), degrees)})
     length = geo.plane_campus(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
-    pairs = border.withColumnRenamed("id", "from_node").join(other, "zone").where("from_node < to_node")
+    pairs = here.join(other, ["zone", "cx", "cy"]).where("from_node < to_node").drop("cx", "cy")
     pairs = pairs.withColumn("distance_m", length).where(F.col("distance_m").between(low, high))
     count = F.greatest(F.lit(1), F.ceil(F.col("distance_m") / 2).cast("int"))
     samples = pairs.withColumn("n", count).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
