@@ -204,17 +204,13 @@ def deletions(
     each = heads.select("cls", "head", F.explode(F.arrays_zip("hashes", "counts")).alias("line")).select(
         "cls", "head", F.col("line.hashes").alias("line"), (F.col("line.counts") >= long_words).alias("long")
     )
-    owners = (
-        each.groupBy("line")
-        .agg(F.min(F.struct("head", "cls")).alias("owner"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-    )
-    pairs = (
-        each.join(owners, "line")
-        .where((F.col("cls") != F.col("owner.cls")) & (F.col("long") | (F.col("n") <= rare_documents)))
-        .select(F.col("owner.cls").alias("owner"), "cls")
-        .distinct()
+    owners = each.groupBy("line").agg(
+        F.min(F.struct("head", "cls")).alias("owner"), F.count(F.lit(1)).alias("n"), F.max("long").alias("long")
     )
+    rare = (F.col("n") > 1) & (F.col("long") | (F.col("n") <= rare_documents))
+    # Stored, so that the join deals both its sides anew and Spark can split the rows of a hot line.
+    owners = stage(owners.where(rare).select("line", F.col("owner.cls").alias("owner")), "owners")
+    pairs = each.join(owners, "line").where("cls <> owner").select("owner", "cls").distinct()
     pairs = pairs.join(heads.select("cls", "hashes", "counts"), "cls")
     pairs = pairs.join(heads.select(F.col("cls").alias("owner"), F.col("hashes").alias("earlier")), "owner")
     aligned = pairs.select("cls", "earlier", "hashes", "counts").mapInArrow(_align(min_words), "cls long, gone array<int>")
