@@ -2,19 +2,30 @@
 
 A document is its set of word shingles.  Two sets whose Jaccard similarity reaches the
 threshold share a token within their prefixes, the first tenth or so of each set, under
-*every* global order of the tokens.  One order yields candidate pairs by an equi-join on
-prefix tokens; the prefixes under further orders are intersected for each pair; only pairs
-that share a token under all of them are verified, on the whole sets.
+*every* global order of the tokens.  The first order yields candidate pairs by an equi-join
+on prefix tokens, of which a pair must share ``SHARED`` and one for each ``PER`` tokens of
+the smaller set, in prefixes that are longer by as many less one; the prefixes under further orders are intersected for each pair; only pairs
+that share a token under all of them are verified, on the whole sets.  (Different sets of a
+similarity of 0.9 have nine tokens in common or more, so ``SHARED`` is never too many; the
+number is lowered for a lower similarity.)  Of the shared tokens more than half are in
+buckets of at most ``BUCKET`` classes, or at least half in larger ones, and either kind of
+candidate is counted on its own.
 
 All orders put very common shingles last, so that stock lines do not make candidates.  Which
 shingles count as common changes the work and never the result.
 
 Equal sets are one class from the start.  Links between classes feed connected components.
+
 A prefix bucket of more than ``BUCKET`` classes, such as a family of thousands of near
-copies, is never expanded into all its pairs: its members are first compared with a few
-leaders and the components contracted; then only members outside the bucket's largest
-component meet the members of other components.  That is exact: a pair inside a component
-cannot change the components.
+copies, is never expanded into all its pairs.  Its members are compared with its leader,
+the most central of them.  Two members that link to the leader are in one component already.  For
+any other pair x, y and the leader l, let dx be the tokens that only one of x and l has.
+The tokens that only one of x and y has are then those of just one of dx and dy, so a link
+means that dx and dy have much in common, and prefixes of dx and dy, rare tokens first,
+share a token: floor(t / 2) + 1 of the smaller and floor(t) + 1 of the larger of them, where
+t bounds the difference of linked sets.  (There is something in common for sure, since
+a y that does not link to l differs from l by more than it may from x with dx empty.)
+Members that differ from the leader in their own rare tokens thus meet hardly anyone.
 
 Defined results: texts are cut into words at ASCII white space and lower-cased in A-Z; a
 text of fewer words than a shingle is one shingle; null and wordless texts have an empty
@@ -36,13 +47,16 @@ from pathloom.operators.components import connected_components
 from pathloom.plans.staging import stage
 
 ORDERS = (11, 23, 37)
-BUCKET = 24
+BUCKET = 32
 #: Bounds of what is broadcast: common shingles, and ids of candidate documents.
-COMMON = 1 << 16
+COMMON = 1 << 18
 CANDIDATES = 1 << 20
 #: Shingles of one counting step, and documents of it that make a shingle common.
-STEP = 1 << 22
-OFTEN = 8
+STEP = 1 << 21
+OFTEN = 3
+#: Tokens that a pair must share within its prefixes under the first order, which are longer for it.
+SHARED = 8
+PER = 20
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -70,10 +84,10 @@ def class_of(shingles: np.ndarray) -> int:
         return int(K.mix(np.array([K.mix(shingles, 5).sum() + np.uint64(len(shingles))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The tokens that a set of this similarity must share with its partner, under an order."""
+def prefix(shingles: np.ndarray, common: np.ndarray, order: int, percent: int, shared: int = 1) -> np.ndarray:
+    """The first tokens under an order, of which two sets of this similarity share so many or more."""
     n = len(shingles)
-    keep = n - (percent * n + 99) // 100 + 1
+    keep = n - (percent * n + 99) // 100 + shared
     key = K.mix(shingles, order) >> np.uint64(1)
     if len(common):
         place = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
@@ -143,42 +157,58 @@ def jaccard_components(
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     common = spark.sparkContext.broadcast(common_shingles(docs, n))
 
+    # Different sets have a union of at least ``least`` tokens and ``least - 1`` in common.
+    least = -(-100 // (100 - percent)) if percent < 100 else 1 << 30
+    share = max(1, min(SHARED, least - 1))
+
     def describe(i: int | None, s: np.ndarray) -> tuple:
         empty = i is None or not len(s)
-        return i, len(s), None if empty else class_of(s), s[:0] if empty else prefix(s, common.value, ORDERS[0], percent)
+        tokens = s[:0] if empty or len(s) < least - 1 else prefix(s, common.value, ORDERS[0], percent, share + len(s) // PER)
+        return i, len(s), None if empty else class_of(s), tokens
 
     members = stage(
         _mapped(docs, describe, ["id", "n", "cls", "prefix"], "id long, n long, cls long, prefix array<long>", n), "sets"
     )
-    classes = members.where("cls IS NOT NULL").groupBy("cls").agg(
-        F.min("id").alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
-    )
-    tokens = classes.select("cls", "head", "n", F.explode("prefix").alias("token"))
-    tokens = stage(tokens, "tokens")
-    sizes = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    known = members.where("cls IS NOT NULL")
+    classes = stage(known.groupBy("cls").agg(F.min("id").alias("head")), "classes")
+    tokens = known.where(F.size("prefix") > 0).groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    tokens = tokens.select("cls", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    sizes = tokens.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("size")).where("size > 1")
     shared = stage(tokens.join(sizes, "token"), "shared")
-    links = _links(docs, shared, common, n, percent)
+    links = _links(docs, classes, shared, common, n, percent, share)
     if links is None:
-        roots = None
+        named = classes.select("cls", F.col("head").alias("component_id"))
     else:
         roots = connected_components(links)
-    named = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("head"))
-    if roots is not None:
-        named = named.join(roots, named.cls == roots.node, "left").select(
+        named = classes.join(roots, classes.cls == roots.node, "left").select(
             "cls", "head", F.coalesce("component", "cls").alias("root")
         )
         heads = named.groupBy("root").agg(F.min("head").alias("component_id"))
         named = named.join(heads, "root").select("cls", "component_id")
-    else:
-        named = named.select("cls", F.col("head").alias("component_id"))
-    return members.join(named, "cls", "left").select(
+    return members.select("id", "n", "cls").join(named, "cls", "left").select(
         F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
 
 
-def _links(docs: DataFrame, shared: DataFrame, common, n: int, percent: int) -> DataFrame | None:
+def _links(
+    docs: DataFrame, classes: DataFrame, shared: DataFrame, common, n: int, percent: int, share: int
+) -> DataFrame | None:
     """Enough verified links between classes for the exact components; None if no class has a candidate."""
-    wanted = stage(shared.groupBy("cls").agg(F.first("head").alias("head")), "wanted")
+    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    left = shared.where(F.col("size") <= BUCKET).select("token", F.col("cls").alias("a"), F.col("n").alias("na"))
+    right = left.select("token", F.col("a").alias("b"), F.col("na").alias("nb"))
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & near(F.col("na"), F.col("nb")))
+    # A pair with fewer shared tokens in small buckets meets in a large one, or is none.
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.first(F.least("na", "nb")).alias("n"))
+    must = F.lit(share) + F.floor(F.col("n") / PER)
+    pairs = stage(pairs.where(F.col("m") > F.floor(must / 2)).select("a", "b"), "pairs")
+    large = shared.where(F.col("size") > BUCKET).select("token", "cls", "n")
+    must = F.lit(share) + F.floor(F.col("n") * percent / (100 * PER))
+    counts = large.groupBy("cls").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
+    enough = counts.where(F.col("m") >= must - F.floor(must / 2)).select("cls")
+    large = stage(large.join(enough, "cls", "left_semi"), "large")
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+    wanted = stage(wanted.unionByName(large.select("cls")).distinct().join(classes, "cls"), "wanted")
     count = wanted.count()
     if not count:
         return None
@@ -187,71 +217,87 @@ def _links(docs: DataFrame, shared: DataFrame, common, n: int, percent: int) ->
     texts = docs.join(F.broadcast(ids) if count <= CANDIDATES else ids, "id", "left_semi")
 
     def describe(i: int, s: np.ndarray) -> tuple:
-        return (
-            class_of(s),
-            len(s),
-            s,
-            *[prefix(s, common.value, order, percent) for order in ORDERS[1:]],
-        )
+        return (class_of(s), s, *[prefix(s, common.value, order, percent) for order in ORDERS[1:]])
 
     more = [f"prefix{k}" for k in range(1, len(ORDERS))]
-    sets = _mapped(
-        texts,
-        describe,
-        ["cls", "n", "tokens", *more],
-        "cls long, n long, tokens array<long>, " + ", ".join(f"{m} array<long>" for m in more),
-        n,
-    )
-    sets = stage(sets.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "candidates")
+    schema = "cls long, tokens array<long>, " + ", ".join(f"{m} array<long>" for m in more)
+    sets = _mapped(texts, describe, ["cls", "tokens", *more], schema, n)
+    # Repeated ids may bring a class twice or an unwanted one; pairs are distinct below.
+    sets = stage(sets.where(F.size("tokens") > 0), "candidates")
+
+    def of(pairs: DataFrame, *columns: str) -> DataFrame:
+        """The sets in the pairs; their names fit a broadcast up to a stated number."""
+        names = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        few = 2 * pairs.count() <= CANDIDATES
+        return sets.select("cls", *columns).join(F.broadcast(names) if few else names, "cls", "left_semi")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
+        pairs = stage(pairs, label)
+        near_sets = of(pairs, *more)
         for m in ("a", "b"):
-            side = sets.select(F.col("cls").alias(m), *[F.col(p).alias(f"{p}{m}") for p in more])
-            pairs = pairs.join(side, m)
+            pairs = pairs.join(near_sets.select(F.col("cls").alias(m), *[F.col(p).alias(f"{p}{m}") for p in more]), m)
         for p in more:
             pairs = pairs.where(F.arrays_overlap(f"{p}a", f"{p}b"))
-        pairs = pairs.select("a", "b")
+        pairs = stage(pairs.select("a", "b"), label)
+        whole_sets = of(pairs, "tokens")
         for m in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("cls").alias(m), F.col("tokens").alias(f"tokens{m}")), m)
+            pairs = pairs.join(whole_sets.select(F.col("cls").alias(m), F.col("tokens").alias(f"tokens{m}")), m)
         same = F.size(F.array_intersect("tokensa", "tokensb"))
         union = F.size("tokensa") + F.size("tokensb") - same
-        return stage(pairs.where(100 * same >= percent * union).select(F.col("a").alias("src"), F.col("b").alias("dst")), label)
+        found = pairs.where(100 * same >= percent * union).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        return stage(found, label)
 
-    near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    left = shared.where(F.col("size") <= BUCKET).select("token", F.col("cls").alias("a"), F.col("n").alias("na"))
-    right = left.select("token", F.col("a").alias("b"), F.col("na").alias("nb"))
-    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & near(F.col("na"), F.col("nb")))
-    links = verified(pairs.select("a", "b").distinct(), "links")
-    large = shared.where(F.col("size") > BUCKET).select("token", "cls", "n", F.pmod("token", F.lit(4)).alias("way"))
+    links = verified(pairs, "links")
     if not large.limit(1).count():
         return links
-    return _large_buckets(large, links, verified, near)
-
-
-def _large_buckets(large: DataFrame, links: DataFrame, verified: Callable, near: Callable[[Column, Column], Column]) -> DataFrame:
-    """Leaders first, then what the contracted components leave open."""
-    rank = F.struct(F.xxhash64("cls", "way").alias("rank"), F.col("cls").alias("a"), F.col("n").alias("na"))
-    leaders = large.groupBy("token").agg(F.min(rank).alias("leader")).select("token", "leader.a", "leader.na")
-    star = large.select("token", F.col("cls").alias("b"), F.col("n").alias("nb")).join(leaders, "token")
-    star = star.where((F.col("a") != F.col("b")) & near(F.col("na"), F.col("nb")))
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(verified(star, "stars"))
-    roots = connected_components(links)
-    rows = large.join(roots, large.cls == roots.node, "left").select(
-        "token", "cls", "n", F.coalesce("component", "cls").alias("root")
+    return links.unionByName(_large_buckets(large, of, verified, near, percent))
+
+
+def _large_buckets(large: DataFrame, of: Callable, verified: Callable, near: Callable[[Column, Column], Column], percent: int) -> DataFrame:
+    """Links of large buckets: with their leaders, and between members that differ from a leader alike."""
+    sets = of(large.select(F.col("cls").alias("a"), F.col("cls").alias("b")).distinct(), "tokens")
+    # The tokens of each set, those that the fewest of these sets hold first.
+    each = sets.select("cls", F.explode("tokens").alias("token"))
+    counted = each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
+    ordered = counted.groupBy("cls").agg(
+        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"),
+        F.sum(F.when(F.col("df") > BUCKET, 1).otherwise(-1)).alias("centre"),
+    )
+    ordered = stage(ordered.select("cls", F.transform("s", lambda x: x["token"]).alias("own"), "centre"), "ordered")
+    # The leader is the most central member: many tokens that the others hold, few of its own.
+    central = F.max(F.struct("centre", "cls"))["cls"]
+    leaders = large.join(ordered.select("cls", "centre"), "cls").groupBy("token").agg(central.alias("lead"))
+    star = large.join(leaders, "token").where("cls <> lead").select("lead", "cls").distinct()
+    ordered = ordered.drop("centre")
+    met = star.join(ordered, "cls").join(ordered.select(F.col("cls").alias("lead"), F.col("own").alias("other")), "lead")
+    # A token that most of these sets hold is the one that a set seldom lacks.
+    more, less = F.array_except("own", "other"), F.reverse(F.array_except("other", "own"))
+    met = met.select("lead", "cls", F.size("own").alias("n"), F.size("other").alias("m"), more.alias("more"), less.alias("less"))
+    same = F.col("n") - F.size("more")
+    reach = F.floor(F.col("n") * (100 - percent) / percent).cast("int") + 1
+    met = met.select(
+        "lead",
+        "cls",
+        "n",
+        (F.size("more") + F.size("less")).alias("d"),
+        (100 * same >= percent * (F.col("n") + F.col("m") - same)).alias("linked"),
+        F.slice(F.concat("more", "less"), F.lit(1), reach).alias("long"),
+        (F.floor(F.col("n") * (100 - percent) / (2 * percent)).cast("int") + 1).alias("reach"),
     )
-    rows = stage(rows, "large")
-    per_root = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
-    main = per_root.groupBy("token").agg(
-        F.max(F.struct("m", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")
+    met = stage(met, "met")
+    small = met.select(
+        "lead", F.col("cls").alias("a"), F.col("n").alias("na"), F.struct("d", "cls").alias("da"), F.col("linked").alias("la"),
+        F.explode(F.slice("long", F.lit(1), F.col("reach"))).alias("token"),
+    )
+    big = met.select(
+        "lead", F.col("cls").alias("b"), F.col("n").alias("nb"), F.struct("d", "cls").alias("db"), F.col("linked").alias("lb"),
+        F.explode("long").alias("token"),
+    )
+    rest = small.join(big, ["lead", "token"]).where(
+        (F.col("da") < F.col("db")) & ~(F.col("la") & F.col("lb")) & near(F.col("na"), F.col("nb"))
     )
-    # Buckets of one component are done.
-    rows = rows.join(main.where("roots > 1"), "token")
-    outside = rows.where("root != main").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    every = rows.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = outside.join(every, "token").where((F.col("ra") != F.col("rb")) & near(F.col("na"), F.col("nb")))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links.unionByName(verified(rest, "rest"))
+    return met.where("linked").select(F.col("lead").alias("src"), F.col("cls").alias("dst")).unionByName(verified(rest, "rest"))
 
 
 def one_per_group(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
