@@ -26,6 +26,9 @@ share a token: floor(t / 2) + 1 of the smaller and floor(t) + 1 of the larger of
 t bounds the difference of linked sets.  (There is something in common for sure, since
 a y that does not link to l differs from l by more than it may from x with dx empty.)
 Members that differ from the leader in their own rare tokens thus meet hardly anyone.
+Members that lack the same tokens of the leader do meet; of their pairs only those become
+rows that the places of the shared token, and parity marks of the whole sets (a bitmap whose
+differing bits are never more than the tokens that only one of two sets has), leave within t.
 
 Defined results: texts are cut into words at ASCII white space and lower-cased in A-Z; a
 text of fewer words than a shingle is one shingle; null and wordless texts have an empty
@@ -36,6 +39,7 @@ class; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +52,8 @@ from pathloom.plans.staging import stage
 
 ORDERS = (11, 23, 37)
 BUCKET = 32
+#: Bits of a set's parity marks.
+MARKS = 512
 #: Bounds of what is broadcast: common shingles, and ids of candidate documents.
 COMMON = 1 << 18
 CANDIDATES = 1 << 20
@@ -97,6 +103,12 @@ def prefix(shingles: np.ndarray, common: np.ndarray, order: int, percent: int, s
     return shingles
 
 
+def marks(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the tokens at each of MARKS places: sets differ in no fewer tokens than in marks."""
+    place = (K.mix(shingles, 3) % np.uint64(MARKS)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=MARKS) & 1).view(np.uint64)
+
+
 def _longs(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
     values = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, dtype=np.int64)
@@ -217,11 +229,11 @@ def _links(
     texts = docs.join(F.broadcast(ids) if count <= CANDIDATES else ids, "id", "left_semi")
 
     def describe(i: int, s: np.ndarray) -> tuple:
-        return (class_of(s), s, *[prefix(s, common.value, order, percent) for order in ORDERS[1:]])
+        return (class_of(s), s, marks(s), *[prefix(s, common.value, order, percent) for order in ORDERS[1:]])
 
     more = [f"prefix{k}" for k in range(1, len(ORDERS))]
-    schema = "cls long, tokens array<long>, " + ", ".join(f"{m} array<long>" for m in more)
-    sets = _mapped(texts, describe, ["cls", "tokens", *more], schema, n)
+    schema = "cls long, tokens array<long>, marks array<long>, " + ", ".join(f"{m} array<long>" for m in more)
+    sets = _mapped(texts, describe, ["cls", "tokens", "marks", *more], schema, n)
     # Repeated ids may bring a class twice or an unwanted one; pairs are distinct below.
     sets = stage(sets.where(F.size("tokens") > 0), "candidates")
 
@@ -255,7 +267,7 @@ def _links(
 
 def _large_buckets(large: DataFrame, of: Callable, verified: Callable, near: Callable[[Column, Column], Column], percent: int) -> DataFrame:
     """Links of large buckets: with their leaders, and between members that differ from a leader alike."""
-    sets = of(large.select(F.col("cls").alias("a"), F.col("cls").alias("b")).distinct(), "tokens")
+    sets = of(large.select(F.col("cls").alias("a"), F.col("cls").alias("b")).distinct(), "tokens", "marks")
     # The tokens of each set, those that the fewest of these sets hold first.
     each = sets.select("cls", F.explode("tokens").alias("token"))
     counted = each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
@@ -263,41 +275,59 @@ def _large_buckets(large: DataFrame, of: Callable, verified: Callable, near: Cal
         F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"),
         F.sum(F.when(F.col("df") > BUCKET, 1).otherwise(-1)).alias("centre"),
     )
-    ordered = stage(ordered.select("cls", F.transform("s", lambda x: x["token"]).alias("own"), "centre"), "ordered")
+    ordered = ordered.select("cls", F.transform("s", lambda x: x["token"]).alias("own"), "centre")
+    ordered = stage(ordered.join(sets.select("cls", "marks"), "cls"), "ordered")
     # The leader is the most central member: many tokens that the others hold, few of its own.
     central = F.max(F.struct("centre", "cls"))["cls"]
     leaders = large.join(ordered.select("cls", "centre"), "cls").groupBy("token").agg(central.alias("lead"))
     star = large.join(leaders, "token").where("cls <> lead").select("lead", "cls").distinct()
-    ordered = ordered.drop("centre")
     met = star.join(ordered, "cls").join(ordered.select(F.col("cls").alias("lead"), F.col("own").alias("other")), "lead")
     # A token that most of these sets hold is the one that a set seldom lacks.
     more, less = F.array_except("own", "other"), F.reverse(F.array_except("other", "own"))
-    met = met.select("lead", "cls", F.size("own").alias("n"), F.size("other").alias("m"), more.alias("more"), less.alias("less"))
+    met = met.select(
+        "lead", "cls", "marks", F.size("own").alias("n"), F.size("other").alias("m"), more.alias("more"), less.alias("less")
+    )
     same = F.col("n") - F.size("more")
-    reach = F.floor(F.col("n") * (100 - percent) / percent).cast("int") + 1
     met = met.select(
         "lead",
         "cls",
+        "marks",
         "n",
         (F.size("more") + F.size("less")).alias("d"),
         (100 * same >= percent * (F.col("n") + F.col("m") - same)).alias("linked"),
-        F.slice(F.concat("more", "less"), F.lit(1), reach).alias("long"),
+        F.slice(F.concat("more", "less"), F.lit(1), _apart(F.col("n"), percent) + 1).alias("long"),
         (F.floor(F.col("n") * (100 - percent) / (2 * percent)).cast("int") + 1).alias("reach"),
     )
     met = stage(met, "met")
-    small = met.select(
-        "lead", F.col("cls").alias("a"), F.col("n").alias("na"), F.struct("d", "cls").alias("da"), F.col("linked").alias("la"),
-        F.explode(F.slice("long", F.lit(1), F.col("reach"))).alias("token"),
-    )
-    big = met.select(
-        "lead", F.col("cls").alias("b"), F.col("n").alias("nb"), F.struct("d", "cls").alias("db"), F.col("linked").alias("lb"),
-        F.explode("long").alias("token"),
-    )
+    rest = _alike(met.select("*", F.posexplode("long").alias("at", "token")), near, percent)
+    return met.where("linked").select(F.col("lead").alias("src"), F.col("cls").alias("dst")).unionByName(verified(rest, "rest"))
+
+
+def _apart(n: Column, percent: int) -> Column:
+    """The most tokens that only one of two linked sets has, if one of them has n tokens."""
+    return F.floor(n * (100 - percent) / percent).cast("int")
+
+
+def _alike(each: DataFrame, near: Callable[[Column, Column], Column], percent: int) -> DataFrame:
+    """Pairs whose differences from a leader share a token, unless a bound says that they are too far apart for a link.
+
+    The bounds stand in the join's condition, so that pairs beyond them are never rows.
+    """
+    side = lambda x: [F.col(c).alias(c + x) for c in ("cls", "n", "d", "linked", "at", "marks")]
+    small = each.where(F.col("at") < F.col("reach")).select("lead", "token", *side("a"))
+    big = each.select("lead", "token", *side("b"))
+    apart = _apart(F.least("na", "nb"), percent)
+    # Both differences are in one order: before and after a shared token they have as much in
+    # common as the shorter of the two parts.
+    before = F.least("ata", "atb")
+    after = F.least(F.col("da") - F.col("ata"), F.col("db") - F.col("atb"))
+    placed = F.col("da") + F.col("db") - 2 * (before + after) <= apart
+    marked = reduce(Column.__add__, [F.bit_count(F.col("marksa")[k].bitwiseXOR(F.col("marksb")[k])) for k in range(MARKS // 64)])
+    first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("clsa") < F.col("clsb")))
     rest = small.join(big, ["lead", "token"]).where(
-        (F.col("da") < F.col("db")) & ~(F.col("la") & F.col("lb")) & near(F.col("na"), F.col("nb"))
+        first & ~(F.col("linkeda") & F.col("linkedb")) & near(F.col("na"), F.col("nb")) & placed & (marked <= apart)
     )
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return met.where("linked").select(F.col("lead").alias("src"), F.col("cls").alias("dst")).unionByName(verified(rest, "rest"))
+    return rest.select(F.least("clsa", "clsb").alias("a"), F.greatest("clsa", "clsb").alias("b")).distinct()
 
 
 def one_per_group(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:

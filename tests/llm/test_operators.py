@@ -243,6 +243,30 @@ def test_ngram_join(spark, rows, n, percent):
 # 5
 
 
+def test_large_family_with_far_members(spark):
+    # Edited and shortened copies of one text: more than a bucket of them, many of which link to each other and not to the leader.
+    r = random.Random(5)
+    base = [r.choice(WORDS) + str(r.randint(0, 999)) for _ in range(120)]
+    family = []
+    for k in range(260):
+        words = base[: r.choice([120, 120, 100, 84, 70, 60])]
+        for _ in range(r.randint(0, 4)):
+            words[r.randrange(len(words))] = f"w{r.randint(0, 30)}"
+        family.append((k, " ".join(words)))
+    df = spark.createDataFrame(family, "doc_id long, text string")
+    for n, percent in ((5, 80), (3, 90)):
+        got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(df, n=n, percent=percent).collect())
+        assert got == plain_components(family, n, percent) and 1 < len({c for _, _, c in got}) < len(family)
+
+
+def test_parity_marks_never_exceed_the_difference():
+    r = np.random.default_rng(3)
+    for size in (1, 40, 3000):
+        a, b = (np.unique(r.integers(0, 4000, size).astype(np.uint64)) for _ in range(2))
+        differing = sum(int(x).bit_count() for x in ngram_join.marks(a) ^ ngram_join.marks(b))
+        assert differing <= len(np.setxor1d(a, b)) and not (ngram_join.marks(a) ^ ngram_join.marks(a)).any()
+
+
 def test_html(spark):
     page = (
         "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/b>About</a></li></ul></nav>"
