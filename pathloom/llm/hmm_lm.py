@@ -9,8 +9,9 @@ Training counts every word of every training text (partial counts on the executo
 shuffle by word).  Baum-Welch then runs over all training texts: each task adds up the
 expected transition and emission counts of its texts by scaled forward and backward
 recursions, vectorised over texts of similar length, and one sum by symbol gives the next
-parameters.  The score of a text is its exact log10 likelihood by the scaled forward
-recursion.
+parameters.  It starts from states that differ (the corpus counts times noise of each state,
+moves that mostly stay) and ends when a round raises the log likelihood by less than ``GAIN``
+of it.  The score of a text is its exact log10 likelihood by the scaled forward recursion.
 
 Only bounded things are broadcast: the model and the ``KNOWN`` most frequent words.  The
 counts of all other words stay a table, which the distinct words of the texts meet in a
@@ -24,6 +25,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -39,7 +41,8 @@ from pathloom.plans.staging import stage
 HEAD = 4096
 KNOWN = 1 << 16
 STATES = 4
-ROUNDS = 4
+#: Relative gain in log likelihood at which training ends.
+GAIN = 1e-3
 HELD = 1 << 22
 #: Cells (time x text) of one recursion.
 CELLS = 400_000
@@ -100,7 +103,7 @@ class Vocabulary(NamedTuple):
     distinct: int
     texts: int
     shape_sizes: np.ndarray
-    symbols: int
+    symbols: np.ndarray  # how often each symbol occurs
 
 
 def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
@@ -127,7 +130,7 @@ def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
         int(sum(r["v"] for r in sums)) + (texts > 0),
         texts,
         total + distinct + 1,
-        FIRST_WORD + head,
+        np.concatenate(([texts], total, n[:head])),
     )
 
 
@@ -191,10 +194,12 @@ class Model(NamedTuple):
     emit: np.ndarray  # symbol x state
 
 
-def initial(symbols: int, states: int) -> Model:
+def initial(symbols: int, states: int, counts: np.ndarray | None = None) -> Model:
+    """States that emit the counted symbols (without counts all alike) times noise, and mostly stay."""
     random = np.random.default_rng(7)
-    emit = 1 + 0.5 * random.random((symbols, states))
-    move = 1 + 0.5 * random.random((states, states))
+    often = np.ones(symbols) if counts is None else counts + SMOOTH
+    emit = often[:, None] * random.gamma(1.0, size=(symbols, states))
+    move = 1 + (states - 1) * np.eye(states)
     return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
@@ -256,20 +261,23 @@ def expected(model: Model, lengths: np.ndarray, table: np.ndarray, out: tuple[np
 
 
 def _expectation(shared):
-    """The sums of one task, a row for each symbol; symbol -1 has the starts, -2-k the moves from state k."""
+    """The sums of one task, a row for each symbol.
+
+    Symbol -1 has the starts, -2-k the moves from state k, and the one below those the log likelihood.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         states = len(model.start)
         out = (np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit))
-        seen = False
+        seen, likelihood = False, 0.0
         for batch in batches:
             for _, lengths, table in _groups(batch.column(0)):
-                expected(model, lengths, table, out)
+                likelihood += expected(model, lengths, table, out)
                 seen = True
         if seen:
-            keys = np.concatenate(([-1], -2 - np.arange(states), np.arange(len(model.emit))))
-            values = np.vstack((out[0][None], out[1] * model.move, out[2]))
+            keys = np.concatenate(([-1], -2 - np.arange(states + 1), np.arange(len(model.emit))))
+            values = np.vstack((out[0][None], out[1] * model.move, np.full((1, states), likelihood), out[2]))
             yield pa.record_batch(
                 [pa.array(keys), *[pa.array(values[:, k]) for k in range(states)]], ["symbol", *[f"g{k}" for k in range(states)]]
             )
@@ -277,26 +285,32 @@ def _expectation(shared):
     return run
 
 
-def baum_welch(codes: DataFrame, model: Model, rounds: int) -> Model:
-    """Re-estimates the model on all rows (symbols)."""
+def baum_welch(codes: DataFrame, model: Model, rounds: int | None = None) -> Model:
+    """Re-estimates the model on all rows (symbols) until the likelihood settles, or for so many rounds."""
     states = len(model.start)
     columns = [f"g{k}" for k in range(states)]
     schema = "symbol long, " + ", ".join(f"{c} double" for c in columns)
-    for _ in range(rounds):
+    before = None
+    for _ in count() if rounds is None else range(rounds):
         shared = codes.sparkSession.sparkContext.broadcast(model)
         parts = codes.select("symbols").mapInArrow(_expectation(shared), schema)
         sums = parts.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
         shared.unpersist()
         if sums.empty:
-            return model
+            return Model(model.start, np.full_like(model.move, 1 / states), np.full_like(model.emit, 1 / len(model.emit)))
         keys, values = sums["symbol"].to_numpy(), sums[columns].to_numpy()
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
         start[:] = values[keys == -1][0]
-        for key, v in zip(keys[keys < -1], values[keys < -1], strict=True):
+        moves = (keys < -1) & (keys >= -1 - states)
+        for key, v in zip(keys[moves], values[moves], strict=True):
             move[-2 - key] = v
         emit[keys[keys >= 0]] = values[keys >= 0]
         start, move, emit = start + SMOOTH, move + SMOOTH, emit + SMOOTH
         model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        likelihood = values[keys == -2 - states][0][0]
+        if rounds is None and before is not None and likelihood - before < GAIN * abs(before):
+            return model
+        before = likelihood
     return model
 
 
@@ -324,7 +338,7 @@ def hmm_scores(
     parts: int = 7,
     held_out: int = 2,
     states: int = STATES,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
 ) -> DataFrame:
     """``id``, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
@@ -335,7 +349,7 @@ def hmm_scores(
     counts = stage(word_counts(train), "words")
     known = vocabulary(counts, train.count())
     codes = stage(docs.mapInArrow(_encode(spark.sparkContext.broadcast(known)), CODES), "codes")
-    model = baum_welch(codes.where(~F.col("held_out")), initial(known.symbols, states), rounds)
+    model = baum_welch(codes.where(~F.col("held_out")), initial(len(known.symbols), states, known.symbols), rounds)
     scored = codes.select("row", "symbols").mapInArrow(
         _likelihood(spark.sparkContext.broadcast((model, known.shape_sizes))), "row long, score double"
     )

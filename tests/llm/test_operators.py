@@ -126,6 +126,21 @@ def test_baum_welch_raises_the_likelihood(spark):
     assert totals[0] < totals[1] < totals[2]
 
 
+def test_hmm_beats_the_unigram_on_held_out_texts(spark):
+    # Texts run through phases with words of their own, which a unigram cannot tell.
+    r = random.Random(9)
+    rows = []
+    for k in range(300):
+        phases = [r.randrange(4) for _ in range(4)]
+        rows.append((k, " ".join(f"p{p}w{r.randrange(12)}" for p in phases for _ in range(25))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [x for x in hmm_lm.hmm_scores(df).collect() if x.held_out]
+    tokens = sum(x.n_tokens for x in got)
+    assert len(got) > 20 and sum(x.score - x.base_score for x in got) / tokens > 0.3
+    nothing = hmm_lm.hmm_scores(df.where("doc_id < 0").unionByName(df.where(F.col("doc_id").isin([x.doc_id for x in got])))).collect()
+    assert nothing and all(x.score < 0 and np.isfinite(x.score) for x in nothing)
+
+
 # 2
 
 
