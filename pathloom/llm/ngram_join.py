@@ -234,8 +234,8 @@ def _links(
     more = [f"prefix{k}" for k in range(1, len(ORDERS))]
     schema = "cls long, tokens array<long>, marks array<long>, " + ", ".join(f"{m} array<long>" for m in more)
     sets = _mapped(texts, describe, ["cls", "tokens", "marks", *more], schema, n)
-    # Repeated ids may bring a class twice or an unwanted one; pairs are distinct below.
-    sets = stage(sets.where(F.size("tokens") > 0), "candidates")
+    # Repeated rows or ids may bring a class twice: each set counts once, as large buckets take the tokens of a class together.
+    sets = stage(sets.where(F.size("tokens") > 0).dropDuplicates(["cls"]), "candidates")
 
     def of(pairs: DataFrame, *columns: str) -> DataFrame:
         """The sets in the pairs; their names fit a broadcast up to a stated number."""

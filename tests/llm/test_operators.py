@@ -274,6 +274,19 @@ def test_large_family_with_far_members(spark):
         assert got == plain_components(family, n, percent) and 1 < len({c for _, _, c in got}) < len(family)
 
 
+@pytest.mark.parametrize("repeated", ["members", "leader"])
+def test_repeated_rows_in_a_large_bucket(spark, repeated):
+    # Edited copies of a text, and edited copies of its first half, which are too far from it to link.
+    base = [f"b{k}" for k in range(200)]
+    whole = [(0, " ".join(base))] + [(k, " ".join([*base[: 140 + k], f"x{k}", *base[141 + k :]])) for k in range(1, 46)]
+    half = [(100 + k, " ".join([*base[: 40 + k], f"y{k}", *base[41 + k : 98]])) for k in range(1, 46)]
+    family = whole + half
+    rows = family + (half if repeated == "members" else whole[:1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(df, n=3, percent=90).collect())
+    assert got == plain_components(rows, 3, 90) and 1 < len({c for _, _, c in got}) < len(family)
+
+
 def test_parity_marks_never_exceed_the_difference():
     r = np.random.default_rng(3)
     for size in (1, 40, 3000):
