@@ -1,7 +1,9 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through shared rare line hashes: a line is rare if it is
-long enough to identify a passage, or if few documents hold it.  For every rare line the
+Overlapping documents are found through shared hashes of rare lines and of runs: a line is
+rare if it is long enough to identify a passage, or if few documents hold it; a run is the
+shortest one of consecutive lines from a place that reaches ``min_words`` words, so that every
+common block of so many words has one, however many documents hold it.  Runs have owners as lines have.  For every rare line the
 earliest document that holds it is the line's owner, and every later holder is paired with
 the owner, so a line shared by thousands of documents makes thousands of pairs, not
 millions.  Each pair is aligned with patience diff: lines unique in both documents anchor
@@ -55,20 +57,45 @@ def _lines(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield hashes[keep], counts[keep]
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in K.slices(batch, "text"):
-            found = list(_lines(piece.column(1)))
-            whole = [K.sequence_hash(h) if len(h) else None for h, _ in found]
-            yield pa.record_batch(
-                [
-                    piece.column(0),
-                    pa.array(whole, pa.int64()),
-                    pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64())),
-                    pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32())),
-                ],
-                ["key", "cls", "hashes", "counts"],
-            )
+def runs(hashes: np.ndarray, counts: np.ndarray, min_words: int) -> np.ndarray:
+    """Hashes of the shortest run of lines from each place that reaches ``min_words`` words."""
+    total = np.concatenate(([0], np.cumsum(counts)))
+    end = np.searchsorted(total, total[:-1] + min_words)
+    start = np.flatnonzero(end <= len(hashes))
+    end = end[start]
+    inverse = np.uint64(pow(K.BASE, -1, 1 << 64))
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(len(hashes), K.BASE, dtype=np.uint64))
+        back = np.cumprod(np.full(len(hashes), inverse, dtype=np.uint64))
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(K.mix(hashes, 7) * power, dtype=np.uint64)))
+        return np.unique(K.mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64), 9))
+
+
+def _describe(min_words: int, long_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in K.slices(batch, "text"):
+                found = list(_lines(piece.column(1)))
+                whole = [K.sequence_hash(h) if len(h) else None for h, _ in found]
+                marks, sure = [], []
+                for h, c in found:
+                    line, at = np.unique(h, return_index=True)
+                    more = runs(h, c, min_words)
+                    marks.append(np.concatenate((line, more)).view(np.int64))
+                    sure.append(np.concatenate((c[at] >= long_words, np.ones(len(more), dtype=bool))))
+                yield pa.record_batch(
+                    [
+                        piece.column(0),
+                        pa.array(whole, pa.int64()),
+                        pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64())),
+                        pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32())),
+                        pa.array(marks, pa.list_(pa.int64())),
+                        pa.array(sure, pa.list_(pa.bool_())),
+                    ],
+                    ["key", "cls", "hashes", "counts", "marks", "sure"],
+                )
+
+    return run
 
 
 def matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -191,18 +218,20 @@ def deletions(
     """``key`` of each document that loses lines, and ``gone``: places among its lines with words, or null for all."""
     lines = stage(
         _keyed(docs, id, text).mapInArrow(
-            _describe,
-            "key struct<no_id:boolean,id:long,t:long>, cls long, hashes array<long>, counts array<int>",
+            _describe(min_words, long_words),
+            "key struct<no_id:boolean,id:long,t:long>, cls long, hashes array<long>, counts array<int>, marks array<long>, sure array<boolean>",
         ),
         "lines",
     ).where("cls IS NOT NULL")
     # One member stands for all documents with the same lines.
     heads = stage(
-        lines.groupBy("cls").agg(F.min("key").alias("head"), F.first("hashes").alias("hashes"), F.first("counts").alias("counts")),
+        lines.groupBy("cls").agg(
+            F.min("key").alias("head"), *[F.first(c).alias(c) for c in ("hashes", "counts", "marks", "sure")]
+        ),
         "heads",
     )
-    each = heads.select("cls", "head", F.explode(F.arrays_zip("hashes", "counts")).alias("line")).select(
-        "cls", "head", F.col("line.hashes").alias("line"), (F.col("line.counts") >= long_words).alias("long")
+    each = heads.select("cls", "head", F.explode(F.arrays_zip("marks", "sure")).alias("line")).select(
+        "cls", "head", F.col("line.marks").alias("line"), F.col("line.sure").alias("long")
     )
     owners = each.groupBy("line").agg(
         F.min(F.struct("head", "cls")).alias("owner"), F.count(F.lit(1)).alias("n"), F.max("long").alias("long")

@@ -200,6 +200,14 @@ def test_line_dedup(spark):
     assert line_dedup.deduplicated(empty(spark, df)).count() == 0
 
 
+def test_passage_of_short_lines_in_many_documents(spark):
+    passage = "\n".join(" ".join(f"s{k}w{j}" for j in range(9)) for k in range(6))
+    rows = [(k, f"own start {k}\n{passage}\nown end {k}") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.deduplicated(df).collect()}
+    assert out[0] == rows[0][1] and all(out[k] == f"own start {k}\nown end {k}" for k in range(1, 80))
+
+
 # 4
 
 
