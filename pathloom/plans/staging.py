@@ -9,16 +9,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
 
+#: Where the tables of this driver stand.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The session's shared folder; one of our own only where the setting is absent (tests)."""
+    """The session's shared folder; one of our own only where the setting is absent and all tasks run on this machine."""
     root = spark.conf.get(SETTING, None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pathloom-")
         spark.conf.set(SETTING, root)
     return root.rstrip("/")
@@ -27,12 +35,26 @@ def shared_root(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back, which ends its lineage there.
 
-    The folder is removed when the driver's JVM stops.
+    The table stays until ``discard``, at the latest until the driver's JVM stops.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/pathloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, folder = _folder(spark, path)
+    files.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``stage`` wrote, once nothing will read them again; others stay."""
+    for df in tables:
+        if path := _places.pop(df, None):
+            files, folder = _folder(df.sparkSession, path)
+            files.delete(folder, True)

@@ -1,6 +1,9 @@
 """The driver's contract, and every query of the library against DuckDB at the smallest scale."""
 
 import math
+import os
+import shutil
+import subprocess
 import sys
 from pathlib import Path
 
@@ -46,6 +49,17 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+@pytest.mark.parametrize("pipeline_stays", [True, False])
+def test_without_the_text_part(tmp_path, pipeline_stays):
+    root = Path(__spark_entry__.__file__).parent
+    copy = tmp_path / "copy"
+    left_out = [".git", "llm", "__pycache__"] + ([] if pipeline_stays else ["corpus_pipeline.py"])
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(*left_out))
+    code = "import __spark_entry__ as e; from pathloom.plans import catalog; assert set(e.queries()) == set(catalog.QUERIES) and set(e.oracle_sql()) == set(catalog.ORACLES)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
+    subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
+
+
 def test_library_does_not_import_the_text_package():
     for name in [n for n in sys.modules if n.startswith("pathloom") and ".llm" not in n]:
         source = Path(sys.modules[name].__file__).read_text()
