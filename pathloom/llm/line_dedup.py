@@ -1,25 +1,27 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through shared hashes of rare lines and of runs: a line is
-rare if it is long enough to identify a passage, or if few documents hold it; a run is the
-shortest one of consecutive lines from a place that reaches ``min_words`` words, so that every
-common block of so many words has one, however many documents hold it.  Runs have owners as lines have.  For every rare line the
-earliest document that holds it is the line's owner, and every later holder is paired with
-the owner, so a line shared by thousands of documents makes thousands of pairs, not
-millions.  Each pair is aligned with patience diff: lines unique in both documents anchor
-the alignment, the longest increasing run of anchors is kept, equal neighbours extend it,
-and the gaps between anchors are aligned the same way (by numbered occurrences where no line is unique).  Aligned common blocks of at least
-``min_words`` words, and whole copies, are deleted from the later document.
+Overlapping documents are found through shared hashes of runs.  A run is the shortest group of
+consecutive lines, from a place onwards or up to a place, that has ``min_words`` words; a line
+of so many words is a run by itself, and shorter lines, which many documents may hold, count
+only with their neighbours.  Every line of a common block of ``min_words`` words or more is
+in a run that lies within the block.  The earliest document that holds a run is its owner, and every later
+holder is paired with the owner, so a passage shared by thousands of documents makes thousands
+of pairs, not millions, and none is too frequent to be looked at.  Each pair is aligned with
+patience diff: lines unique in both documents anchor the alignment, the longest increasing
+run of anchors is kept, equal neighbours extend it, and the gaps between anchors are aligned
+the same way (by numbered occurrences where no line is unique).  Aligned common blocks of at
+least ``min_words`` words are deleted from the later document.
 
 Only hashes and word counts of lines are shuffled for the search; texts move once, to meet
 their deletions.  Documents that share exactly the same lines are one class, of which the
-earliest member stands for all in the search: a later member is a whole copy.
+earliest member stands for all in the search: a later member is a whole copy and loses all
+its lines, however few words they have.
 
 Order: by id, then by text hash; rows without an id come last.  Defined results: null and
 blank texts have no lines with words and stay as they are; rows with equal id and text are
 one document and get the same result; a text is changed only by deleting whole lines; an
-empty table gives an empty result; other columns are carried by ``without_repeats`` and
-may have any names.
+empty table gives an empty result; other columns are carried and may have any names, but in
+``deduplicated`` the two counts replace columns of their names.
 """
 
 from __future__ import annotations
@@ -30,17 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathloom.llm import kernels as K
-from pathloom.plans.staging import stage
+from pathloom.plans.staging import discard, stage
 
-#: A line of so many words identifies a passage; a shorter one is rare in so few documents.
-LONG_WORDS = 20
-RARE_DOCUMENTS = 50
-#: Aligned blocks of fewer words stay.
+#: Words that a run has at least; aligned blocks of fewer words stay.
 MIN_WORDS = 25
+#: Parts into which the members of a class are dealt.
+SALTS = 64
 
 
 def _lines(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -58,41 +60,37 @@ def _lines(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def runs(hashes: np.ndarray, counts: np.ndarray, min_words: int) -> np.ndarray:
-    """Hashes of the shortest run of lines from each place that reaches ``min_words`` words."""
+    """Distinct hashes of the shortest runs, from each line onwards and up to each line, that have ``min_words`` words."""
     total = np.concatenate(([0], np.cumsum(counts)))
+    if total[-1] < min_words:
+        return hashes[:0]
     end = np.searchsorted(total, total[:-1] + min_words)
-    start = np.flatnonzero(end <= len(hashes))
-    end = end[start]
-    inverse = np.uint64(pow(K.BASE, -1, 1 << 64))
+    onwards = np.flatnonzero(end <= len(hashes))
+    upto = np.flatnonzero(total >= min_words)
+    begin = np.searchsorted(total, total[upto] - min_words, side="right") - 1
+    start, end = np.concatenate((onwards, begin)), np.concatenate((end[onwards], upto))
     with np.errstate(over="ignore"):
         power = np.cumprod(np.full(len(hashes), K.BASE, dtype=np.uint64))
-        back = np.cumprod(np.full(len(hashes), inverse, dtype=np.uint64))
+        back = np.cumprod(np.full(len(hashes), K.INVERSE, dtype=np.uint64))
         sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(K.mix(hashes, 7) * power, dtype=np.uint64)))
         return np.unique(K.mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64), 9))
 
 
-def _describe(min_words: int, long_words: int):
+def _describe(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in K.slices(batch, "text"):
                 found = list(_lines(piece.column(1)))
                 whole = [K.sequence_hash(h) if len(h) else None for h, _ in found]
-                marks, sure = [], []
-                for h, c in found:
-                    line, at = np.unique(h, return_index=True)
-                    more = runs(h, c, min_words)
-                    marks.append(np.concatenate((line, more)).view(np.int64))
-                    sure.append(np.concatenate((c[at] >= long_words, np.ones(len(more), dtype=bool))))
                 yield pa.record_batch(
                     [
                         piece.column(0),
                         pa.array(whole, pa.int64()),
                         pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64())),
                         pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32())),
-                        pa.array(marks, pa.list_(pa.int64())),
-                        pa.array(sure, pa.list_(pa.bool_())),
+                        pa.array([runs(h, c, min_words).view(np.int64) for h, c in found], pa.list_(pa.int64())),
                     ],
-                    ["key", "cls", "hashes", "counts", "marks", "sure"],
+                    ["key", "cls", "hashes", "counts", "runs"],
                 )
 
     return run
@@ -171,7 +169,7 @@ def common_blocks(a: list[int], b: list[int], counts: list[int], min_words: int)
     last = (-2, -2)
     for i, j in [*matches(a, b), (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(counts[k] for k in block) >= min_words or len(block) == len(b):
+            if sum(counts[k] for k in block) >= min_words:
                 out += block
             block = []
         block.append(j)
@@ -199,61 +197,49 @@ def _align(min_words: int):
     return run
 
 
-def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    key = F.struct(
-        F.col(id).isNull().alias("no_id"), F.coalesce(F.col(id).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col(text)).alias("t")
+def _key(id: str, text: str) -> Column:
+    given = F.col(f"`{id}`")
+    return F.struct(
+        given.isNull().alias("no_id"), F.coalesce(given.cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("t")
     )
-    return docs.select(key.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-
-def deletions(
-    docs: DataFrame,
-    *,
-    id: str = "doc_id",
-    text: str = "text",
-    min_words: int = MIN_WORDS,
-    long_words: int = LONG_WORDS,
-    rare_documents: int = RARE_DOCUMENTS,
-) -> DataFrame:
+
+
+def deletions(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``key`` of each document that loses lines, and ``gone``: places among its lines with words, or null for all."""
+    given = docs.select(_key(id, text).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     lines = stage(
-        _keyed(docs, id, text).mapInArrow(
-            _describe(min_words, long_words),
-            "key struct<no_id:boolean,id:long,t:long>, cls long, hashes array<long>, counts array<int>, marks array<long>, sure array<boolean>",
+        given.mapInArrow(
+            _describe(min_words),
+            "key struct<no_id:boolean,id:long,t:long>, cls long, hashes array<long>, counts array<int>, runs array<long>",
         ),
         "lines",
-    ).where("cls IS NOT NULL")
+    )
+    worded = lines.where("cls IS NOT NULL")
     # One member stands for all documents with the same lines.
     heads = stage(
-        lines.groupBy("cls").agg(
-            F.min("key").alias("head"), *[F.first(c).alias(c) for c in ("hashes", "counts", "marks", "sure")]
+        worded.groupBy("cls").agg(
+            F.min("key").alias("head"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("hashes", "counts", "runs")]
         ),
         "heads",
     )
-    each = heads.select("cls", "head", F.explode(F.arrays_zip("marks", "sure")).alias("line")).select(
-        "cls", "head", F.col("line.marks").alias("line"), F.col("line.sure").alias("long")
-    )
-    owners = each.groupBy("line").agg(
-        F.min(F.struct("head", "cls")).alias("owner"), F.count(F.lit(1)).alias("n"), F.max("long").alias("long")
-    )
-    rare = (F.col("n") > 1) & (F.col("long") | (F.col("n") <= rare_documents))
-    # Stored, so that the join deals both its sides anew and Spark can split the rows of a hot line.
-    owners = stage(owners.where(rare).select("line", F.col("owner.cls").alias("owner")), "owners")
-    pairs = each.join(owners, "line").where("cls <> owner").select("owner", "cls").distinct()
+    each = heads.select("cls", "head", F.explode("runs").alias("run"))
+    owners = each.groupBy("run").agg(F.min(F.struct("head", "cls")).alias("owner"), F.count(F.lit(1)).alias("n"))
+    # Stored, so that the join deals both its sides anew and Spark can split the rows of a hot run.
+    owners = stage(owners.where("n > 1").select("run", F.col("owner.cls").alias("owner")), "owners")
+    pairs = each.join(owners, "run").where("cls <> owner").select("owner", "cls").distinct()
     pairs = pairs.join(heads.select("cls", "hashes", "counts"), "cls")
     pairs = pairs.join(heads.select(F.col("cls").alias("owner"), F.col("hashes").alias("earlier")), "owner")
     aligned = pairs.select("cls", "earlier", "hashes", "counts").mapInArrow(_align(min_words), "cls long, gone array<int>")
     parts = stage(aligned, "aligned")
+    discard(owners)
     gone = parts.select("cls", F.explode("gone").alias("k")).distinct().groupBy("cls").agg(F.array_sort(F.collect_list("k")).alias("gone"))
-    # Whole copies lose everything; the heads and single documents what the alignments found.
-    of = heads.join(gone, "cls", "left").select("cls", "head", "gone")
-    members = lines.select("key", "cls").join(of, "cls")
-    copy = F.col("key") != F.col("head")
-    return (
-        members.where(copy | F.col("gone").isNotNull())
-        .select("key", F.when(~copy, F.col("gone")).alias("gone"))
-        .dropDuplicates(["key"])
-    )
+    changed = gone.join(heads.select("cls", "head"), "cls").select(F.col("head").alias("key"), "gone")
+    # Whole copies lose everything.  A class may have many of them, so its members are dealt into parts.
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt")
+    several = heads.where("n > 1").select("cls", "head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = worded.select("key", "cls", salt).join(several, ["cls", "salt"]).where(F.col("key") != F.col("head"))
+    copies = copies.select("key", F.lit(None).cast("array<int>").alias("gone")).distinct()
+    return changed.unionByName(copies)
 
 
 def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,28 +268,29 @@ def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def deduplicated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Every document with its other columns, the text without repeated blocks, n_removed_lines and n_removed_words."""
+def _met(docs: DataFrame, id: str, text: str, **options) -> DataFrame:
+    """``row`` (the columns of ``docs``, without the text), text, n_removed_lines and n_removed_words."""
     found = deletions(docs, id=id, text=text, **options)
-    rest = [c for c in docs.columns if c != text]
-    key = F.struct(
-        F.col(id).isNull().alias("no_id"), F.coalesce(F.col(id).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col(text)).alias("t")
-    )
-    rows = docs.select(key.alias("key"), F.struct(*[F.col(c) for c in rest]).alias("row"), F.col(text).alias("text"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    rows = docs.select(_key(id, text).alias("key"), F.struct(*rest).alias("row"), F.col(f"`{text}`").alias("text"))
     met = rows.join(found.withColumn("lost", F.lit(True)), "key", "left").select(
         "row", "text", "gone", F.coalesce("lost", F.lit(False)).alias("lost")
     )
-    row = met.schema["row"].dataType.simpleString()
-    made = met.mapInArrow(_delete, f"row {row}, text string, n_removed_lines long, n_removed_words long")
-    return made.select(
-        *[F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns],
-        "n_removed_lines",
-        "n_removed_words",
-    )
+    schema = T.StructType([met.schema["row"]]).add("text", "string").add("n_removed_lines", "long").add("n_removed_words", "long")
+    return met.mapInArrow(_delete, schema)
+
+
+def _columns(docs: DataFrame, text: str, but: tuple[str, ...] = ()) -> list[Column]:
+    return [F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in but]
+
+
+def deduplicated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Every document with its other columns, the text without repeated blocks, n_removed_lines and n_removed_words."""
+    counts = ("n_removed_lines", "n_removed_words")
+    return _met(docs, id, text, **options).select(*_columns(docs, text, counts), *counts)
 
 
-def without_repeats(docs: DataFrame, **options) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The columns of ``docs`` after dedup; documents that lost all their lines are gone."""
-    text = options.get("text", "text")
-    made = deduplicated(docs, **options)
-    return made.where((F.col("n_removed_lines") == 0) | (F.col(text) != "")).select(*docs.columns)
+    made = _met(docs, id, text, **options).where((F.col("n_removed_lines") == 0) | (F.col("text") != ""))
+    return made.select(*_columns(docs, text))
