@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm import kernels as K
 from pathloom.operators.components import connected_components
-from pathloom.plans.staging import stage
+from pathloom.plans.staging import discard, stage
 
 ORDERS = (11, 23, 37)
 BUCKET = 32
@@ -262,30 +262,38 @@ def _links(
     links = verified(pairs, "links")
     if not large.limit(1).count():
         return links
-    return links.unionByName(_large_buckets(large, of, verified, near, percent))
+    return links.unionByName(_large_buckets(large, of, verified, more, near, percent))
 
 
-def _large_buckets(large: DataFrame, of: Callable, verified: Callable, near: Callable[[Column, Column], Column], percent: int) -> DataFrame:
+def _large_buckets(
+    large: DataFrame, of: Callable, verified: Callable, more_orders: list[str], near: Callable[[Column, Column], Column], percent: int
+) -> DataFrame:
     """Links of large buckets: with their leaders, and between members that differ from a leader alike."""
-    sets = of(large.select(F.col("cls").alias("a"), F.col("cls").alias("b")).distinct(), "tokens", "marks")
-    # The tokens of each set, those that the fewest of these sets hold first.
+    sets = stage(of(large.select(F.col("cls").alias("a"), F.col("cls").alias("b")).distinct(), "tokens", "marks", *more_orders), "members")
+    # The tokens of each set, those that the fewest of these sets hold first.  The counts are
+    # stored, so that Spark can split the rows of a token that all of them hold.
     each = sets.select("cls", F.explode("tokens").alias("token"))
-    counted = each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
+    counts = stage(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "df")
+    counted = each.join(counts, "token")
     ordered = counted.groupBy("cls").agg(
         F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"),
         F.sum(F.when(F.col("df") > BUCKET, 1).otherwise(-1)).alias("centre"),
     )
     ordered = ordered.select("cls", F.transform("s", lambda x: x["token"]).alias("own"), "centre")
-    ordered = stage(ordered.join(sets.select("cls", "marks"), "cls"), "ordered")
+    ordered = stage(ordered.join(sets.select("cls", "marks", *more_orders), "cls"), "ordered")
+    discard(counts)
     # The leader is the most central member: many tokens that the others hold, few of its own.
     central = F.max(F.struct("centre", "cls"))["cls"]
     leaders = large.join(ordered.select("cls", "centre"), "cls").groupBy("token").agg(central.alias("lead"))
     star = large.join(leaders, "token").where("cls <> lead").select("lead", "cls").distinct()
-    met = star.join(ordered, "cls").join(ordered.select(F.col("cls").alias("lead"), F.col("own").alias("other")), "lead")
+    led = ordered.select(F.col("cls").alias("lead"), F.col("own").alias("other"), *[F.col(p).alias(f"{p}lead") for p in more_orders])
+    met = star.join(ordered, "cls").join(led, "lead")
+    # A member that links to its leader shares prefix tokens with it under the further orders, as any pair does.
+    filtered = reduce(Column.__and__, [F.arrays_overlap(p, f"{p}lead") for p in more_orders])
     # A token that most of these sets hold is the one that a set seldom lacks.
     more, less = F.array_except("own", "other"), F.reverse(F.array_except("other", "own"))
     met = met.select(
-        "lead", "cls", "marks", F.size("own").alias("n"), F.size("other").alias("m"), more.alias("more"), less.alias("less")
+        "lead", "cls", "marks", filtered.alias("met"), F.size("own").alias("n"), F.size("other").alias("m"), more.alias("more"), less.alias("less")
     )
     same = F.col("n") - F.size("more")
     met = met.select(
@@ -294,7 +302,7 @@ def _large_buckets(large: DataFrame, of: Callable, verified: Callable, near: Cal
         "marks",
         "n",
         (F.size("more") + F.size("less")).alias("d"),
-        (100 * same >= percent * (F.col("n") + F.col("m") - same)).alias("linked"),
+        (F.col("met") & (100 * same >= percent * (F.col("n") + F.col("m") - same))).alias("linked"),
         F.slice(F.concat("more", "less"), F.lit(1), _apart(F.col("n"), percent) + 1).alias("long"),
         (F.floor(F.col("n") * (100 - percent) / (2 * percent)).cast("int") + 1).alias("reach"),
     )
@@ -342,5 +350,7 @@ def one_per_group(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n:
     again = found.groupBy(id).count().where((F.col("count") > 1) & F.col(id).isNotNull()).select(id)
     if not again.limit(1).count():
         return rest
-    once = rest.join(again, id, "left_semi").withColumn("_same", F.xxhash64(F.col(text))).dropDuplicates([id, "_same"])
-    return rest.join(again, id, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    # The row goes as one column, so that no name of its own is in the way.
+    once = rest.join(again, id, "left_semi").select(F.col(id).alias("i"), F.xxhash64(F.col(text)).alias("t"), F.struct(*docs.columns).alias("row"))
+    once = once.dropDuplicates(["i", "t"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return rest.join(again, id, "left_anti").select(*docs.columns).unionByName(once)
