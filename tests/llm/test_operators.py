@@ -146,6 +146,7 @@ def test_hmm_beats_the_unigram_on_held_out_texts(spark):
 
 def test_pieces_round_trip(spark, docs):
     out = pieces.decode(pieces.encode(docs)).collect()
+    assert Counter(map(str, pieces.encode(docs, decoded="decoded").collect())) == Counter(map(str, out))
     assert all(r.text == r.decoded for r in out) and {"n_words", "lang"} <= set(out[0].asDict())
     assert all((r.piece_ids is None) == (r.text is None) and (r.text != "" or r.piece_ids == []) for r in out)
     assert pieces.encode(empty(spark, docs)).count() == 0
@@ -167,6 +168,16 @@ def test_viterbi_is_best():
             assert sum(score[i] for i in ids) == pytest.approx(best[-1])
 
 
+def test_long_texts_are_encoded_in_steps(monkeypatch):
+    v = pieces.load()
+    texts = [" ".join(f"w{k} \n  x" for k in range(500)), "no-blanks" * 1500, "", None, "   ", "a\n\n b", " " * 300 + "x" * 300]
+    whole = pieces.Encoder(v).encode(texts)
+    for name, value in (("SPAN", 50), ("UNITS", 7), ("REMEMBERED_BYTES", 1000)):
+        monkeypatch.setattr(pieces, name, value)
+    assert pieces.Encoder(v).encode(texts) == whole
+    assert [t and pieces.decode_ids(np.frombuffer(w, "<i4").tolist(), v) for t, w in zip(texts, whole, strict=True)] == texts
+
+
 # 3
 
 
@@ -208,6 +219,58 @@ def test_passage_of_short_lines_in_many_documents(spark):
     assert out[0] == rows[0][1] and all(out[k] == f"own start {k}\nown end {k}" for k in range(1, 80))
 
 
+def test_block_whose_lines_come_from_elsewhere(spark):
+    # Each line of the later documents' block is first seen in another document.
+    block = [" ".join(f"b{k}w{j}" for j in range(10)) for k in range(6)]
+    rows = [(k, f"other {k}\n{line}\nend {k}") for k, line in enumerate(block)]
+    rows += [(10, "\n".join(["ten", *block])), (11, "\n".join(["eleven", *block, "last"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.deduplicated(df).collect()}
+    assert all(out[i] == t for i, t in rows[:7]) and out[11] == "eleven\nlast"
+
+
+def all_pairs_dedup(rows, min_words=line_dedup.MIN_WORDS):
+    """Lines that any earlier document aligns with, by trying every pair."""
+    docs = sorted({(i, t) for i, t in rows if t})
+    lines = [[x for x in t.split("\n") if x.encode().split()] for _, t in docs]
+    gone = [set() for _ in docs]
+    for b in range(len(docs)):
+        counts = [len(x.encode().split()) for x in lines[b]]
+        for a in range(b):
+            if lines[a] == lines[b]:
+                gone[b] |= set(range(len(lines[b])))
+            else:
+                gone[b] |= set(line_dedup.common_blocks(lines[a], lines[b], counts, min_words))
+    return {i: [x for k, x in enumerate(own) if k not in lost] for (i, _), own, lost in zip(docs, lines, gone, strict=True)}
+
+
+def test_line_dedup_is_that_of_all_pairs(spark):
+    r = random.Random(12)
+    pool = [" ".join(r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(r.choice([1, 3, 8, 9, 12, 30]))) for _ in range(60)]
+    rows = []
+    for k in range(150):
+        start = r.randrange(len(pool))
+        copied = (pool[start:] + pool[:start])[: r.randint(0, 8)]
+        own = [" ".join(r.choice(WORDS) + f"d{k}" for _ in range(r.randint(1, 20))) for _ in range(r.randint(0, 4))]
+        cut = r.randint(0, len(own))
+        rows.append((k, "\n".join([*own[:cut], *copied, *own[cut:]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = all_pairs_dedup(rows)
+    got = {x.doc_id: [y for y in x.text.split("\n") if y.split()] for x in line_dedup.deduplicated(df).collect() if x.text}
+    for i, own in want.items():
+        assert got.get(i, []) == own
+    assert sum(len(own) for own in want.values()) < 0.8 * sum(len(t.split("\n")) for _, t in rows)
+
+
+def test_line_dedup_carries_clashing_names(spark):
+    names = ["n_removed_lines", "row", "key", "gone", "a.b"]
+    passage = " ".join(f"p{k}" for k in range(40))
+    df = spark.createDataFrame([(1, f"a\n{passage}", *"vwxyz"), (2, f"b\n{passage}", *"vwxyz")], ["doc_id", "text", *names])
+    kept = line_dedup.without_repeats(df)
+    assert kept.columns == df.columns and sorted((r.text, *r[2:]) for r in kept.collect()) == [(f"a\n{passage}", *"vwxyz"), ("b", *"vwxyz")]
+    assert sorted(r.n_removed_lines for r in line_dedup.deduplicated(df).collect()) == [0, 1]
+
+
 # 4
 
 
@@ -258,8 +321,9 @@ def test_ngram_join(spark, rows, n, percent):
     want = plain_components(many, n, percent)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
     heads = {c for i, _, c in want if c is not None}
-    kept = ngram_join.one_per_group(df, n=n, percent=percent).collect()
-    assert {r.doc_id for r in kept} - {None} == heads and kept[0].__fields__ == ["doc_id", "text", "cls"]
+    kept = ngram_join.one_per_group(df.withColumn("_same", F.lit("mine")), n=n, percent=percent).collect()
+    assert {r.doc_id for r in kept} - {None} == heads and kept[0].__fields__ == ["doc_id", "text", "cls", "_same"]
+    assert {r["_same"] for r in kept} == {"mine"}
     assert ngram_join.jaccard_components(empty(spark, df)).count() == 0
 
 
