@@ -6,12 +6,13 @@ the two-state chain (main or not) over the page's blocks is decoded by Viterbi.
 weights are trained by maximum likelihood with the forward and backward recursions on
 labelled pages; training pages are a bounded set and the weights are broadcast.
 
-Scripts, styles, heads, comments and form controls hold no text.  Character references
+Scripts, styles, titles, comments, drawings and the content of text fields hold no text.  Character references
 are decoded, white space inside a block becomes one blank, and the main blocks are joined
 in page order by empty lines.  Nothing else is dropped or capped.
 
 Defined results: null and empty pages, and pages without main blocks, have an empty text;
-broken markup is read as far as it goes (an open quote or comment ends with the page);
+markup nested to any depth is read in
+time in proportion to the page; broken markup is read as far as it goes (an open quote or comment ends with the page);
 repeated rows are read one by one; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -20,8 +21,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -34,13 +34,17 @@ from pathloom.llm.labelled_pages import MARK, pages
 from pathloom.llm.optimise import minimise
 
 # Element names of the HTML standard, by how the reader treats them.
-RAW = frozenset("script style noscript template iframe svg textarea title object math".split())
+RAW = frozenset("script style noscript template iframe svg textarea title".split())
+#: Of these the first may close itself, and both may hold others of their kind.
+FOREIGN, NESTED = "svg", ("svg", "template")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search "
     "section select summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that any page has, whether it says so or not.
+IMPLIED = ("html", "body")
 CLOSES_P = BLOCK - frozenset("body head html button label option td th tr".split())
 #: A start tag that ends an open element of the same kind beside it.
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -52,24 +56,78 @@ NAMED = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*("[^"]*+"|'[^']*+'|[^\s>"']
 LETTERS = re.compile("[a-z]+")
 
 
+class _Element:
+    """An open element.  What its blocks inherit is worked out once, from its parent."""
+
+    __slots__ = ("features", "leaf", "main", "tag")
+
+    def __init__(self, parent: "_Element | None", tag: str, names: tuple[str, ...], main: bool, known: Container[str] | None) -> None:
+        new = {f"named {n}" for n in names}
+        if tag not in IMPLIED:
+            new.add(f"in {tag}")
+        if known is not None:
+            new = {f for f in new if f in known}
+        if parent is not None:
+            new -= parent.features
+        above = parent.features if parent is not None else frozenset()
+        self.tag = tag
+        self.features: frozenset[str] = above | new if new else above
+        self.leaf: str = tag if tag in BLOCK and tag not in IMPLIED else parent.leaf if parent is not None else ""
+        self.main: bool = main or (parent is not None and parent.main)
+
+
 class Block(NamedTuple):
     text: str
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
+    leaf: str
+    inherited: frozenset[str]
     linked: int
     main: bool
 
 
-class _Element(NamedTuple):
-    tag: str
-    names: tuple[str, ...]
-    main: bool
+class _Stack:
+    """The open elements, and where those of each kind stand."""
+
+    def __init__(self, known: Container[str] | None) -> None:
+        self.known = known
+        self.open: list[_Element] = []
+        self.places: dict[str, list[int]] = {}
+
+    def top(self) -> _Element | None:
+        return self.open[-1] if self.open else None
 
+    def last(self, kinds: tuple[str, ...]) -> int:
+        return max((self.places[k][-1] for k in kinds if self.places.get(k)), default=-1)
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page, in order."""
-    stack: list[_Element] = []
-    opened: Counter[str] = Counter()  # deep nesting must not make every tag search the whole stack
+    def push(self, tag: str, names: tuple[str, ...], main: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(_Element(self.top(), tag, names, main, self.known))
+
+    def pop_to(self, place: int) -> bool:
+        """Closes the element at a place and all in it; tells if any of them is a block."""
+        block = False
+        while len(self.open) > place:
+            tag = self.open.pop().tag
+            self.places[tag].pop()
+            block = block or tag in BLOCK
+        return block
+
+
+def _after(page: str, tag: str, at: int) -> int:
+    """The place behind the end tag of an element that holds no text, or the page's end."""
+    depth = 1
+    for m in re.compile(rf"(?i)<(/?){re.escape(tag)}(?![\w-])[^>]*>").finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif tag in NESTED and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(page)
+
+
+def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """Leaf blocks of a page, in order; of what they inherit, only features in ``known`` (None: all)."""
+    stack = _Stack(known)
     out: list[Block] = []
     pieces: list[tuple[str, bool]] = []
 
@@ -79,30 +137,26 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(p for p, _ in pieces)).split())
         if text:
             linked = sum(len(p.strip()) for p, link in pieces if link)
+            top = stack.top()
             out.append(
-                Block(text, tuple(e.tag for e in stack), tuple(n for e in stack for n in e.names), linked, any(e.main for e in stack))
+                Block(text, top.leaf, top.features, linked, top.main) if top is not None else Block(text, "", frozenset(), linked, False)
             )
         pieces.clear()
 
     def close(kinds: tuple[str, ...], limits: tuple[str, ...] = ()) -> None:
-        if not any(opened[k] for k in kinds):
+        place = stack.last(kinds)
+        if place < 0 or place < stack.last(limits):
             return
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].tag in kinds:
-                if any(e.tag in BLOCK for e in stack[k:]):
-                    flush()
-                opened.subtract(e.tag for e in stack[k:])
-                del stack[k:]
-                return
-            if stack[k].tag in limits:
-                return
+        if any(e.tag in BLOCK for e in stack.open[place:]):
+            flush()
+        stack.pop_to(place)
 
     at, end = 0, len(page)
     while at < end:
         m = OPEN.search(page, at)
         stop = m.start() if m else end
         if stop > at:
-            pieces.append((page[at:stop], opened["a"] > 0))
+            pieces.append((page[at:stop], bool(stack.places.get("a"))))
         if not m:
             break
         if page.startswith("<!--", stop):
@@ -126,8 +180,8 @@ def blocks(page: str) -> list[Block]:
             close((tag,), ("table",) if tag not in ("table", "body", "html") else ())
             continue
         if tag in RAW:
-            ends = re.compile(rf"(?i)</{re.escape(tag)}[^>]*>").search(page, at)
-            at = end if not ends else ends.end()
+            if tag != FOREIGN or not t[3].endswith("/"):
+                at = _after(page, tag, at)
             continue
         if tag == "br":
             pieces.append((" ", False))
@@ -140,8 +194,7 @@ def blocks(page: str) -> list[Block]:
             flush()
         if tag not in VOID:
             names = tuple(w for n in NAMED.findall(t[3]) for w in LETTERS.findall(n.lower())) if t[3] else ()
-            stack.append(_Element(tag, names, MARK in t[3]))
-            opened[tag] += 1
+            stack.push(tag, names, MARK in t[3])
     flush()
     return out
 
@@ -151,11 +204,8 @@ def _features(found: list[Block]) -> list[list[str]]:
     out = []
     for k, b in enumerate(found):
         n = len(b.text)
-        leaf = next((t for t in reversed(b.tags) if t in BLOCK), "")
         share = b.linked / max(n, 1)
-        f = ["bias", f"leaf {leaf}", f"size {min(n.bit_length(), 11)}", f"links {min(int(share * 4), 4)}"]
-        f += [f"in {t}" for t in set(b.tags)]
-        f += [f"named {w}" for w in set(b.names)]
+        f = ["bias", f"leaf {b.leaf}", f"size {min(n.bit_length(), 11)}", f"links {min(int(share * 4), 4)}", *b.inherited]
         if b.text[-1] in ".!?:;…\"'”»":
             f.append("stop")
         if b.text[0] == "©":
@@ -247,7 +297,7 @@ def train(labelled: list[str], ridge: float = 0.5, steps: int = 60) -> Chain:
 
 
 def main_text(page: str | None, chain: Chain) -> str:
-    found = blocks(page or "")
+    found = blocks(page or "", chain.weights)
     keep = chain.decode(_features(found))
     return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 

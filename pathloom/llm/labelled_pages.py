@@ -68,10 +68,10 @@ def _other(r: random.Random, kind: str) -> str:
     return f"<{tag}{name}>{inside}</{tag}>"
 
 
-def _article(r: random.Random) -> str:
+def _article(r: random.Random, titled: float = 0.8, most: int = 14) -> str:
     """The article's blocks, each marked; sometimes with foreign regions inside."""
-    out = [f"<h1 {MARK}>{_words(r, 2, 12)}</h1>"] if r.random() < 0.8 else []
-    for _ in range(r.randint(1, 14)):
+    out = [f"<h1 {MARK}>{_words(r, 2, 12)}</h1>"] if r.random() < titled else []
+    for _ in range(r.randint(1, most)):
         text = _sentences(r, *r.choice([(1, 4), (5, 30), (20, 80), (80, 250)]))
         if r.random() < 0.2:
             text = f"{_words(r, 1, 5)} <a href='/{_word(r)}'>{_words(r, 1, 4)}</a> {text}"
@@ -102,6 +102,12 @@ def page(r: random.Random) -> str:
     before = [_other(r, k) for k in ("header", "nav", "notice", "ad", "nav") if r.random() < 0.6]
     after = [_other(r, k) for k in ("share", "comments", "aside", "ad", "notice", "footer") if r.random() < 0.5]
     r.shuffle(before)
+    if r.random() < 0.25:
+        # A page of nothing but its article, under no telling name.
+        body = _article(r, titled=0.4, most=r.choice([1, 2, 4, 14]))
+        if r.random() < 0.6:
+            body = f"<div>{body}</div>"
+        return f"<!DOCTYPE html><html><head><title>{_words(r, 2, 6)}</title></head><body>{body}</body></html>"
     body = _article(r)
     shape = r.random()
     if shape < 0.55:
@@ -115,6 +121,6 @@ def page(r: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><title>{_words(r, 2, 6)}</title></head><body>{''.join(before)}{body}{''.join(after)}</body></html>"
 
 
-def pages(count: int = 400, seed: int = 5) -> list[str]:
+def pages(count: int = 600, seed: int = 5) -> list[str]:
     r = random.Random(seed)
     return [page(r) for _ in range(count)]
