@@ -9,7 +9,8 @@ Detections inside a failed plain match (a telephone number that runs into a card
 are found by looking at its parts.
 
 Plain spans always stay; a further span is added where it overlaps no plain span of its
-kind.  All patterns run in time linear in the text.
+kind.  The patterns take time in proportion to the text, and the spans found that of sorting
+them.
 
 Defined results: a null text counts as empty and has no spans; spans count code points
 with exclusive ends, in order of start, then kind as listed in ``KINDS``; repeated rows are
@@ -19,7 +20,9 @@ answered one by one; an empty table gives an empty result; other columns are ign
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -119,7 +122,10 @@ BARE = re.compile(
     r"(?i)(?<![\w.])[a-z0-9._%+-]{1,64}( +(?:at|arobase|arroba) +)[a-z0-9-]{1,63}(?: +(?:dot|punkt|punto|point) +[a-z0-9-]{1,63}){1,4}(?!\w)"
 )
 BARE_DOT = re.compile(r"(?i) +(?:dot|punkt|punto|point) +")
-SPACED = re.compile(r"[A-Za-z0-9]( *@ +| +@ *)[A-Za-z0-9-]+(?: *\. *)(?:com|org|net|edu|info|io|de|fr|es)(?!\w)")
+#: Blanks around the @ before a host that is written as usual, or with blanks around its last dot and a common ending.
+SPACED = re.compile(
+    r"[A-Za-z0-9_%+-]( *@ +| +@ *)[A-Za-z0-9-]+(?:(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}|(?: *\. *)(?:com|org|net|edu|info|io|de|fr|es))(?![\w-])"
+)
 ODD = re.compile("[Ͱ-ԯ​-‍‐-―․⁠−。﻿­！-～٠-٩۰-۹]")
 
 
@@ -135,33 +141,76 @@ def _glyph(c: str) -> str:
     return c.translate(LOOKALIKES)
 
 
+class Rewriting(NamedTuple):
+    """Replaced spans of a text, in order: where they stand in the new text and in the old one."""
+
+    new_starts: list[int]
+    new_ends: list[int]
+    old_starts: list[int]
+    old_ends: list[int]
+
+    def old(self, at: int) -> tuple[int, int]:
+        """The old span of the new character at a place."""
+        k = bisect_right(self.new_starts, at) - 1
+        if k < 0:
+            return at, at + 1
+        if at < self.new_ends[k]:
+            return self.old_starts[k], self.old_ends[k]
+        at += self.old_ends[k] - self.new_ends[k]
+        return at, at + 1
+
+
 class Normalised:
-    """A text and, for each of its characters, the source span it stands for."""
+    """A text after some rewritings, each of which knows where its characters come from."""
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.spans: list[tuple[int, int]] | None = None
+        self.rewritings: list[Rewriting] = []
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces spans of the current text; each new character stands for the whole span."""
         if not edits:
             return
-        old = self.spans if self.spans is not None else [(i, i + 1) for i in range(len(self.text))]
-        out, spans, at = [], [], 0
+        done = Rewriting([], [], [], [])
+        out, at, size = [], 0, 0
         for a, b, new in sorted(edits):
             if a < at:
                 continue
             out += [self.text[at:a], new]
-            spans += old[at:a]
-            if b > a:
-                spans += [(old[a][0], old[b - 1][1])] * len(new)
+            size += a - at
+            for where, value in zip(done, (size, size + len(new), a, b), strict=True):
+                where.append(value)
+            size += len(new)
             at = b
         out.append(self.text[at:])
-        spans += old[at:]
-        self.text, self.spans = "".join(out), spans
+        self.text = "".join(out)
+        self.rewritings.append(done)
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.spans is None else (self.spans[a][0], self.spans[b - 1][1])
+        for r in reversed(self.rewritings):
+            a, b = r.old(a)[0], r.old(b - 1)[1]
+        return a, b
+
+
+class Taken:
+    """Disjoint spans of one kind, in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k == 0 or self.ends[k - 1] <= a
+
+    def add(self, a: int, b: int) -> bool:
+        """Takes a span if it is free."""
+        if not self.free(a, b):
+            return False
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+        return True
 
 
 def normalise(text: str) -> Normalised | None:
@@ -205,46 +254,49 @@ def _parts(text: str, span: Span) -> list[Span]:
     if kind == "ip":
         return []
     piece = text[a:b]
-    cuts = [0, *[m.end() for m in re.finditer("[ -]+", piece)], len(piece)]
-    usual, most, test = (16, 19, is_card) if kind == "card" else (11, 15, is_phone)
+    usual, least, most, test = (16, 12, 19, is_card) if kind == "card" else (11, 9, 15, is_phone)
+    begins = [0, *[m.end() for m in re.finditer("[ -]+", piece)]]
+    ends = [*begins[1:], len(piece)]
+    digits = [len(_digits(piece[i:j])) for i, j in zip(begins, ends, strict=True)]
     found = []
-    for i in range(len(cuts) - 1):
-        if kind == "phone" and piece[cuts[i]] != "+":
+    for i, begin in enumerate(begins):
+        if kind == "phone" and piece[begin] != "+":
             continue
-        for j in range(i + 1, len(cuts)):
-            part = piece[cuts[i] : cuts[j]].rstrip(" -.(")
-            n = len(_digits(part))
+        n = 0
+        for j in range(i, len(ends)):
+            n += digits[j]
             if n > most:
                 break
-            if test(part):
-                found.append((n != usual, -n, (a + cuts[i], a + cuts[i] + len(part), kind)))
-    out: list[Span] = []
-    for _, _, s in sorted(found):
-        if _free(s, out):
-            out.append(s)
-    return out
-
-
-def _free(span: Span, taken: list[Span]) -> bool:
-    return all(span[2] != t[2] or span[1] <= t[0] or t[1] <= span[0] for t in taken)
+            # A further piece without a digit makes no other number.
+            if digits[j] and n >= least:
+                part = piece[begin : ends[j]].rstrip(" -.(")
+                if test(part):
+                    found.append((n != usual, -n, a + begin, a + begin + len(part)))
+    taken = Taken()
+    return [(x, y, kind) for _, _, x, y in sorted(found) if taken.add(x, y)]
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Plain spans, and all spans with those the method adds, in order."""
     order = lambda s: (s[0], KINDS.index(s[2]))
     base, bad = plain_spans(text)
-    every = list(base)
-    for span in bad:
-        # A card number found in the same run of digits is no part of a telephone number.
-        cards = [(a, b, span[2]) for a, b, kind in every if kind == "card" and span[0] <= a and b <= span[1]]
-        every += [s for s in _parts(text, span) if _free(s, [*every, *cards])]
+    every = sorted(base, key=order)
+    taken = {kind: Taken() for kind in KINDS}
+    for a, b, kind in every:
+        taken[kind].add(a, b)
+    base = list(every)
+    for a, b, kind in bad:
+        for x, y, _ in _parts(text, (a, b, kind)):
+            # A card number found in the same run of digits is no part of a telephone number.
+            if (kind == "card" or taken["card"].free(x, y)) and taken[kind].add(x, y):
+                every.append((x, y, kind))
     other = normalise(text)
     if other is not None:
         for a, b, kind in plain_spans(other.text)[0]:
             start, end = other.source(a, b)
-            if _free((start, end, kind), every):
+            if taken[kind].add(start, end):
                 every.append((start, end, kind))
-    return sorted(base, key=order), sorted(every, key=order)
+    return base, sorted(every, key=order)
 
 
 def _shown(spans: list[Span]) -> str:
