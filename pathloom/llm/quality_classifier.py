@@ -57,6 +57,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     lines = np.maximum(np.diff(line_first), 1)
     equal = np.zeros(len(words.hashes))
     equal[1:] = words.hashes[1:] == words.hashes[:-1]
+    equal[words.first[:-1][n > 0]] = 0  # the word before a text's first one is another text's
     long = (words.ends - words.starts) > 12
     cuts = np.searchsorted(at, words.first)
     distinct, top, windows, unique_lines = (np.zeros(len(column)) for _ in range(4))
@@ -134,6 +135,14 @@ def class_moments(rows: DataFrame, width: int) -> dict[int, Moments]:
     return out
 
 
+def forward_substitution(factor: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution of a lower triangular system, for many right sides (columns) at once."""
+    out = np.empty_like(right)
+    for i in range(len(factor)):
+        out[i] = (right[i] - factor[i, :i] @ out[:i]) / factor[i, i]
+    return out
+
+
 class Discriminant(NamedTuple):
     """Two Gaussians in standardised coordinates, with cached Cholesky factors."""
 
@@ -150,7 +159,7 @@ class Discriminant(NamedTuple):
         z = (x - self.centre) / self.scale
         logs = []
         for mean, factor, constant in zip(self.means, self.factors, self.constants, strict=True):
-            d = np.linalg.solve(factor, (z - mean).T)
+            d = forward_substitution(factor, (z - mean).T)
             logs.append(constant - 0.5 * (d * d).sum(0))
         return 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / TEMPERATURE, -500, 500)))
 
