@@ -4,8 +4,11 @@ import hashlib
 import math
 import random
 import re
+import string
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -390,10 +393,66 @@ def test_html_chain_on_unseen_pages():
         wrong += sum(k != b.main for k, b in zip(keep, found, strict=True))
         total += len(found)
     assert wrong < 0.02 * total
-    for odd in ("<p>" * 20000, "<!--" * 20000, '<a href="' * 20000, "<div>" * 20000, "&" * 50000):
+    for odd in ("<p>" * 20000, "<!--" * 20000, '<a href="' * 20000, "<div>" * 20000, "&" * 50000, "<svg>" * 20000, "<table><b>" * 9000):
         html_text.main_text(odd, chain)
 
 
+@pytest.fixture(scope="module")
+def chain():
+    return html_text.train(labelled_pages.pages())
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<p><b>x", "<table><p>x<tr><td>y", "<div class='c{}'>x", "<ul><li>x<a href=/>y", "<svg><svg>x"])
+def test_html_takes_time_in_proportion(chain, unit):
+    page = lambda n: "".join(unit.replace("{}", f"{k:x}".translate(str.maketrans("0123456789", "ghijklmnop"))) for k in range(n))
+    html_text.main_text(page(200), chain)
+    assert seconds(html_text.main_text, page(8000), chain) < 3.2 * seconds(html_text.main_text, page(4000), chain) + 0.05
+
+
+def test_html_keeps_all_of_the_article(chain):
+    plain = "<p>The first paragraph tells of the river and the bridge.</p><p>The second one says what happened after that, in some more words.</p>"
+    for page in (f"<div>{plain}</div>", f"<html><body><div>{plain}</div></body></html>", f"<html><head><title>t</title></head><body>{plain}</body></html>"):
+        assert html_text.main_text(page, chain).count("\n\n") == 1
+    maths = "<article><h1>On numbers</h1><p>Let <math><mi>x</mi></math> be <object data=a>large</object>.</p><p>Then <svg/>it is <svg><svg></svg><text>no</text></svg>not small at all.</p></article>"
+    assert html_text.main_text(maths, chain) == "On numbers\n\nLet x be large.\n\nThen it is not small at all."
+
+
+class Article(HTMLParser):
+    """A plain reading of the article element: its paragraphs and headings."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.parts = False, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        self.skip += tag in ("script", "style")
+        self.parts[-1] += " " if tag == "br" else ""
+        if tag not in ("br", "b", "i", "em", "strong", "a", "span"):
+            self.parts.append("")
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "em", "strong", "a", "span"):
+            self.parts.append("")
+        self.inside &= tag != "article"
+        self.skip -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.parts[-1] += data
+
+
+def test_html_equals_a_plain_reading_of_the_given_pages(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(table).collect()}
+    wrong = 0
+    for r in table.collect():
+        reader = Article()
+        reader.feed(r.html)
+        wrong += got[r.page_id] != "\n\n".join(t for t in (" ".join(p.split()) for p in reader.parts) if t)
+    assert len(got) == 250 and wrong == 0
+
+
 # 6
 
 PATTERNS = {
@@ -452,6 +511,41 @@ def test_pii_leaves_prose_alone_and_stays_linear():
         pii.find(t)
 
 
+def seconds(f, *arguments):
+    best = math.inf
+    for _ in range(3):
+        began = time.perf_counter()
+        f(*arguments)
+        best = min(best, time.perf_counter() - began)
+    return best
+
+
+@pytest.mark.parametrize("unit", ["a@b.cd, ", "x (at) y (dot) com ", "+1 (499) 555-6503 4111111111111111 ", "+1 ( ( 2", "j＠x.com 10.0.０.1 ", "ann @ firma.nl "])
+def test_pii_takes_time_in_proportion(unit):
+    end = " mail ann at example dot com"
+    pii.find(unit * 200 + end)
+    assert seconds(pii.find, unit * 8000 + end) < 3.2 * seconds(pii.find, unit * 4000 + end) + 0.05
+
+
+def test_pii_spans_of_texts_with_planted_data():
+    r = random.Random(15)
+    plants = {
+        "email": ["kim.lee@mail.example.org", "kim (at) example (dot) org", "kim at example dot org", "kim @ firma.nl", "kim＠example.com", "kim@exаmple.com"],
+        "ip": ["10.20.30.40", "10.20.３0.40", "10.20.30․40"],
+        "card": ["4111 1111 1111 1111", "4111-1111-1111-1111", "４111111111111111"],
+        "phone": ["+14995556503", "+1 (499) 555-6503", "plus one four nine nine five five five six five zero three"],
+    }
+    for _ in range(300):
+        text, want = "", []
+        for _ in range(r.randint(1, 6)):
+            text += " ".join(r.choice(WORDS) for _ in range(r.randint(1, 12))) + ", "
+            kind = r.choice(list(plants))
+            plant = r.choice(plants[kind])
+            want.append((len(text), len(text) + len(plant), kind))
+            text += plant + "; "
+        assert [s for s in pii.find(text)[1] if s[2] != "phone" or s in want] == want
+
+
 def test_pii_table(spark, docs):
     mine = spark.createDataFrame([(1, "to a@b.c or 1.2.3.4", 0), (2, None, 0), (3, "", 0)], "doc_id long, text string, spans int")
     got = {r.doc_id: r for r in pii.private_spans(mine).collect()}
@@ -486,6 +580,8 @@ def test_cascade_order_prefers_cheap_rejection(spark):
     df = quality_rules.with_statistics(spark.createDataFrame([(f"w{k} " * 30,) for k in range(50)], "text string"))
     never, always = quality_rules.Rule("never", F.lit(False)), quality_rules.Rule("always", F.col("n_words") > 0)
     assert [r.name for r in quality_rules.cascade_order(df, [never, always])] == ["always", "never"]
+    dear = quality_rules.Rule("dear", F.exists(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(400)), lambda k: F.transform("words", lambda w: F.xxhash64(w, k)))), lambda h: h > -(1 << 63)))
+    assert [r.name for r in quality_rules.cascade_order(df, [dear, never, always])] == ["always", "dear", "never"]
     assert df.where(quality_rules.rejected([never, always])).count() == 50 and quality_rules.cascade_order(df.limit(0), [never]) == [never]
 
 
@@ -499,17 +595,32 @@ def test_decontamination(spark):
     rows = [(1, f"x {body} y"), (2, "a tiny-item here"), (3, "b0 b1 b2 b3 b4 b5 b6 b7 b8"), (4, None), (5, ""), (6, "clean words only"), (1, f"x {body} y")]
     docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, items string")
     table = spark.createDataFrame(bench, "item_id long, text string")
-    for block in (decontamination.BLOCK_CHARS, 10):
-        out = decontamination.contamination(docs, table, block_chars=block).withColumn("n_hit", decontamination.n_hit()).collect()
+    for block in (decontamination.BLOCK_BYTES, 10):
+        out = decontamination.contamination(docs, table, block_bytes=block).withColumn("n_hit", decontamination.n_hit()).collect()
         got = Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in out)
         assert got == Counter({(1, 16, 14, "1"): 2, (2, 4, 2, "2"): 1, (3, 9, 0, ""): 1, (4, 0, 0, ""): 1, (5, 0, 0, ""): 1, (6, 3, 0, ""): 1})
     assert sorted(r.doc_id for r in decontamination.without_documents(docs, table).collect()) == [3, 4, 5, 6]
     cut = {r.doc_id: r.text for r in decontamination.without_spans(docs, table).collect()}
     assert cut[1] == "x  y" and cut[2] == "a  here" and cut[4] is None and cut[6] == "clean words only"
+    assert sorted(r.doc_id for r in decontamination.without_documents(docs, table, block_bytes=10).collect()) == [3, 4, 5, 6]
     assert decontamination.contamination(docs, empty(spark, table)).where("size(items) > 0").count() == 0
     assert decontamination.contamination(empty(spark, docs), table).count() == 0
 
 
+def test_long_benchmark_items_are_cut_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PART_WORDS", 7)
+    r = random.Random(8)
+    item = [f"q{r.randint(0, 400)}" for _ in range(300)]
+    docs = [(k, " ".join(["x", *item[k : k + 12], "y"])) for k in range(0, 288, 7)] + [(1000, " ".join(item)), (1001, " ".join(reversed(item)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[:9]))], "item_id long, text string")
+    for block in (decontamination.BLOCK_BYTES, 300):
+        got = decontamination.contamination(df, bench, block_bytes=block).withColumn("n_hit", decontamination.n_hit()).collect()
+        got = {r.doc_id: (r.n_hit, r["items"]) for r in got}
+        assert got.pop(1000) == (300, ["1", "2"]) and got.pop(1001) == (0, [])
+        assert all(n == 12 and items == (["1", "2"] if k == 0 else ["1"]) for k, (n, items) in got.items())
+
+
 # 9 and 10
 
 
@@ -581,3 +692,65 @@ def test_discriminant_is_the_gaussian_formula():
         logs.append(np.log(m.n / 500) - 0.5 * np.log(np.linalg.det(m.covariance)) - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(m.covariance), d))
     want = 1 / (1 + np.exp(-(logs[1] - logs[0]) / quality_classifier.TEMPERATURE))
     assert model.scores(points) == pytest.approx(want)
+
+
+def plain_statistics(text):
+    """The fifteen statistics of a text, one by one."""
+    t = text or ""
+    raw = t.encode()
+    w, lines = words(t, lower=False), [x for x in raw.split(b"\n") if x]
+    low = words(t)
+    n, more = len(w), quality_classifier.PRIOR_WORDS
+    chars = max(len(t), 1)
+    blanks = sum(c in " \t\n\x0b\x0c\r" for c in t)
+    capitals, small = (sum(c in letters for c in t) for letters in (string.ascii_uppercase, string.ascii_lowercase))
+    grams = [tuple(low[k : k + 3]) for k in range(n - 2)]
+    n_lines = max(len(lines), 1)
+
+    def share(x, of, usual, per=1):
+        return math.sqrt((x + usual * per * more) / (of + per * more))
+
+    return [
+        math.log1p(n),
+        math.log((chars - blanks + 6 * more) / (n + more)),
+        share(capitals, capitals + small, 0.03, 5),
+        share(sum(c in string.digits for c in t), chars, 0.002, 6),
+        share(min(sum(c in "#*$%&|<>" for c in t), 4 * n), n, 0.01),
+        share(min(t.count("!"), 4 * n), n, 0.01),
+        share(min(t.count("."), 4 * n), n, 0.15),
+        share(min(t.count(","), 4 * n), n, 0.05),
+        math.log1p((n + more) / (n_lines + 1)),
+        math.log(len(set(low)) + 0.8 * more) - 0.85 * math.log(n + more),
+        share(sum(a == b for a, b in zip(low, low[1:], strict=False)), n, 0.01),
+        share(len(grams) - len(set(grams)), len(grams), 0.01),
+        share(max(n_lines - len(set(lines)), 0) * (n > 0), n_lines, 0.01, 0.1),
+        share(max(Counter(low).values(), default=0), n, 0.1),
+        share(sum(len(x) > 12 for x in w), n, 0.05),
+    ]
+
+
+def test_statistics_are_the_plain_ones():
+    given = [t for t in texts() if t] + ["Ab! Ab! ab, 12.\nAb!\nAb!\n#tag & more", "extraordinarily internationalisation " * 3, "", None]
+    got = quality_classifier.statistics(pa.array(given, pa.string()))
+    for row, t in zip(got, given, strict=True):
+        want = plain_statistics(t)
+        assert row == pytest.approx(want), t
+
+
+def auc(rows):
+    """Share of (label 1, label 0) pairs in the right order; ties count half."""
+    good, bad = ([s for s, y in rows if y == k] for k in (1, 0))
+    return sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+
+
+@pytest.mark.parametrize("scores,label,least", [(toxicity.toxicity_scores, "toxic", 0.95), (quality_classifier.quality_scores, "quality", 0.97)])
+def test_held_out_rows_of_the_given_tables(spark, scores, label, least):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r[label] for r in labels.collect()}
+    rows = [(r.score, truth[r.doc_id]) for r in scores(docs, labels).collect() if r.held_out and truth.get(r.doc_id) is not None]
+    assert len(rows) > 50 and auc(rows) > least
+
+
+def test_hmm_gains_on_the_given_held_out_texts(spark):
+    got = [r for r in hmm_lm.hmm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
+    assert sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got) > 0.05
