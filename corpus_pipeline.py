@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import decontamination, line_dedup, ngram_join, pieces, quality_classifier
-from pathloom.plans.staging import stage
+from pathloom.plans.staging import discard, stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -44,7 +44,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each text, and whether they decode to it."""
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "text")))
+    coded = pieces.encode(docs.select("doc_id", "text"), decoded="decoded")
     return coded.select(
         "doc_id",
         "piece_ids",
@@ -68,5 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        given, docs = docs, stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(given)
     return docs

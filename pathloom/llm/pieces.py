@@ -8,7 +8,8 @@ over them gives the score and the backpointer of the place for all units at once
 
 Scores are log probabilities by Zipf's law of the piece's rank, since the vocabulary's own
 scores are merge ranks and not log probabilities.  Among equal scores the longest last piece
-wins.  A character without a piece becomes its UTF-8 bytes.  Nothing is trained.
+wins.  A character without a piece becomes its UTF-8 bytes, and so does a unit whose pieces do
+not spell it (a collision of hashes).  Nothing is trained.
 
 Defined results: null text gives null pieces and back; the empty text has no pieces; any
 other text comes back exactly, literal piece markers, blanks and line ends included; units
@@ -32,9 +33,17 @@ from pathloom.llm import kernels as K
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIT = re.compile(" *[^ \n]+| +|\n")
-#: Units that a worker remembers, and cells (unit x place) of one Viterbi.
-REMEMBERED = 1 << 18
+#: Between a character and a blank or line end after it, a unit ends.
+UNIT_END = re.compile("(?<=[^ ])[ \n]")
+#: Bytes of the units that a worker remembers, and about what an entry takes besides its characters.
+REMEMBERED_BYTES = 16 << 20
+ENTRY_BYTES = 220
+#: Units that are held at a time, characters of a text that are cut at a time, and cells (unit x place) of one Viterbi.
+UNITS = 1 << 17
+SPAN = 1 << 19
 CELLS = 1 << 17
+#: Powers of the multiplier that are kept; a longer unit computes its own.
+KEPT_POWERS = 1 << 12
 #: Bits of a hash that a bitmap tests before the sorted keys are searched.
 MAP_BITS = 20
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -70,18 +79,21 @@ def _slots(h: np.ndarray) -> np.ndarray:
         return (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - MAP_BITS)
 
 
-_tables: dict[str, np.ndarray] = {}
+def _made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    tables = []
+    for base in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)):
+        table = np.full(n, base, dtype=np.uint64)
+        table[0] = 1
+        with np.errstate(over="ignore"):
+            tables.append(np.multiply.accumulate(table))
+    return tables[0], tables[1]
+
+
+_kept_powers = _made_powers(KEPT_POWERS)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _tables or len(_tables["up"]) < n:
-        n = max(n, 64) * 2
-        for name, base in (("up", MULTIPLIER), ("down", pow(MULTIPLIER, -1, 1 << 64))):
-            table = np.full(n, base, dtype=np.uint64)
-            table[0] = 1
-            with np.errstate(over="ignore"):
-                _tables[name] = np.multiply.accumulate(table)
-    return _tables["up"], _tables["down"]
+    return _kept_powers if n <= KEPT_POWERS else _made_powers(n)
 
 
 def _codes(units: list[str]) -> np.ndarray:
@@ -155,14 +167,17 @@ def viterbi(units: list[str], v: Vocabulary) -> list[bytes]:
         best[:, end] = total[rows, pick]
         back[:, end] = widths[pick]
         piece[:, end] = which[rows, pick]
-    # All units step back together, from their ends.
+    # All units step back together, from their ends; the table's columns fill from the right.
     place = np.full(m, n)
-    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    out = np.full((m, n), -2, dtype=np.int32)
+    ends = np.zeros((m, n), dtype=np.int32)
+    at = n
     while place.any():
-        steps.append((np.where(place > 0, piece[rows, place], -2), place))
+        at -= 1
+        out[:, at] = np.where(place > 0, piece[rows, place], -2)
+        ends[:, at] = place
         place = place - back[rows, place]
-    out = np.column_stack([s[0] for s in reversed(steps)])
-    ends = np.column_stack([s[1] for s in reversed(steps)])
+    out, ends = out[:, at:], ends[:, at:]
     good = out >= 0
     sizes = 4 * np.concatenate(([0], np.cumsum(good.sum(1))))
     flat = out[good].astype("<i4").tobytes()
@@ -175,30 +190,65 @@ def viterbi(units: list[str], v: Vocabulary) -> list[bytes]:
             elif i == -1:
                 row += [v.byte_ids[b] for b in units[k][e - 1].encode()]
         made[k] = np.array(row, dtype="<i4").tobytes()
+    # A hit is one of hashes; the pieces must spell the unit.
+    for k, unit in enumerate(units):
+        if b"".join([v.raw[i] for i in np.frombuffer(made[k], "<i4").tolist()]) != unit.encode():
+            made[k] = np.array([v.byte_ids[b] for b in unit.encode()], dtype="<i4").tobytes()
     return made
 
 
 class Encoder:
-    """Encodes texts; remembers the units it has met, up to a bound."""
+    """Encodes texts; remembers the units it has met, within a bound of bytes."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
-    def encode(self, texts: list[str | None]) -> list[bytes | None]:
-        if len(self.known) > REMEMBERED:
+    def _learn(self, units: set[str]) -> None:
+        if self.held > REMEMBERED_BYTES:
             self.known.clear()
-        cut = [UNIT.findall(" " + t) if t else [] for t in texts]
-        new: dict[int, list[str]] = {}
-        for unit in {u for units in cut for u in units} - self.known.keys():
-            new.setdefault(len(unit), []).append(unit)
-        for length, units in new.items():
+            self.held = 0
+        by_length: dict[int, list[str]] = {}
+        for unit in units - self.known.keys():
+            by_length.setdefault(len(unit), []).append(unit)
+            self.held += ENTRY_BYTES + 8 * len(unit)
+        for length, alike in by_length.items():
             step = max(1, CELLS // length)
-            for i in range(0, len(units), step):
-                part = units[i : i + step]
-                self.known |= zip(part, viterbi(part, self.vocabulary), strict=True)
-        get = self.known.__getitem__
-        return [None if t is None else b"".join(map(get, units)) for t, units in zip(texts, cut, strict=True)]
+            for i in range(0, len(alike), step):
+                part = alike[i : i + step]
+                self.known.update(zip(part, viterbi(part, self.vocabulary), strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[bytes | None]:
+        made: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal waiting, size
+            self._learn({u for _, units in waiting for u in units})
+            for k, units in waiting:
+                made[k].append(b"".join(map(self.known.__getitem__, units)))
+            waiting, size = [], 0
+
+        for k, text in enumerate(texts):
+            for units in _unit_lists(" " + text) if text else ():
+                waiting.append((k, units))
+                size += len(units)
+                if size >= UNITS:
+                    flush()
+        flush()
+        return [None if t is None else b"".join(m) for t, m in zip(texts, made, strict=True)]
+
+
+def _unit_lists(text: str) -> Iterator[list[str]]:
+    """The units of a text, in lists of about SPAN characters that end where a unit ends."""
+    at = 0
+    while at < len(text):
+        cut = UNIT_END.search(text, at + SPAN)
+        end = cut.start() if cut else len(text)
+        yield UNIT.findall(text, at, end)
+        at = end
 
 
 def decode_ids(ids: list[int], v: Vocabulary) -> str:
@@ -217,23 +267,31 @@ def _id_lists(rows: list[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, values, mask=pa.array([r is None for r in rows]))
 
 
-def encode(docs: DataFrame, *, text: str = "text", ids: str = "piece_ids", model: str = MODEL) -> DataFrame:
-    """``docs`` with the piece ids of each text."""
+def _texts(rows: list[bytes | None], v: Vocabulary) -> pa.Array:
+    return pa.array([None if r is None else decode_ids(np.frombuffer(r, "<i4").tolist(), v) for r in rows], pa.string())
+
+
+def encode(
+    docs: DataFrame, *, text: str = "text", ids: str = "piece_ids", decoded: str | None = None, model: str = MODEL
+) -> DataFrame:
+    """``docs`` with the piece ids of each text and, if ``decoded`` names a column, the text that these ids decode to."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
-    at = docs.columns.index(text)
-    rest = [c for c in docs.columns if c != ids]
+    rest = [c for c in docs.columns if c not in (ids, decoded)]
+    at = rest.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
             for piece in K.slices(batch, text):
                 found = encoder.encode(piece.column(at).to_pylist())
-                yield _with_column(piece, ids, _id_lists(found))
+                out = _with_column(piece, ids, _id_lists(found))
+                yield _with_column(out, decoded, _texts(found, shared.value)) if decoded else out
 
     df = docs.select(*[F.col(f"`{c}`") for c in rest])
-    at = rest.index(text)
     schema = df.withColumn(ids, F.array().cast("array<int>")).schema
     schema[ids].nullable = True
+    if decoded:
+        schema = schema.add(decoded, "string")
     return df.mapInArrow(run, schema)
 
 

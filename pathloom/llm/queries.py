@@ -22,7 +22,7 @@ def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.decode(pieces.encode(docs)).select(
+    return pieces.encode(docs, decoded="decoded").select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.size("piece_ids").cast("long").alias("n_pieces"),
