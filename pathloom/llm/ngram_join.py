@@ -270,9 +270,9 @@ def _large_buckets(
 ) -> DataFrame:
     """Links of large buckets: with their leaders, and between members that differ from a leader alike."""
     sets = stage(of(large.select(F.col("cls").alias("a"), F.col("cls").alias("b")).distinct(), "tokens", "marks", *more_orders), "members")
-    # The tokens of each set, those that the fewest of these sets hold first.  The counts are
-    # stored, so that Spark can split the rows of a token that all of them hold.
-    each = sets.select("cls", F.explode("tokens").alias("token"))
+    # The tokens of each set, those that the fewest of these sets hold first.  Both sides of the
+    # join are stored, so that tokens are listed once and Spark can split the rows of one that all sets hold.
+    each = stage(sets.select("cls", F.explode("tokens").alias("token")), "tokens")
     counts = stage(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "df")
     counted = each.join(counts, "token")
     ordered = counted.groupBy("cls").agg(
@@ -281,7 +281,7 @@ def _large_buckets(
     )
     ordered = ordered.select("cls", F.transform("s", lambda x: x["token"]).alias("own"), "centre")
     ordered = stage(ordered.join(sets.select("cls", "marks", *more_orders), "cls"), "ordered")
-    discard(counts)
+    discard(counts, each)
     # The leader is the most central member: many tokens that the others hold, few of its own.
     central = F.max(F.struct("centre", "cls"))["cls"]
     leaders = large.join(ordered.select("cls", "centre"), "cls").groupBy("token").agg(central.alias("lead"))
