@@ -1,10 +1,13 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 A rule is a condition that rejects a document.  The cascade estimates on a bounded sample
-what each rule costs (seconds over the sample) and how many documents it rejects, orders
-the rules by rejection per cost, and evaluates them as one CASE expression: a document that
+what each rule costs (the seconds of a job that evaluates it, less those of a job that reads the same
+rows and evaluates nothing) and how many documents it rejects, orders the rules by
+rejection per cost, and evaluates them as one CASE expression: a document that
 an early rule rejects never pays for the later ones.  The order changes the work, never
-the verdict.
+the verdict.  Rules over the statistics that every row has to return cost a comparison; what
+else a rule needs (a scan of the text or of its words) is its own cost and is worked out only for
+the rows that reach it.
 
 Defined results: a null text has no words; empty and wordless texts have zero counts and
 fail the length rule; repeated rows are answered one by one; an empty table gives an empty
@@ -20,12 +23,22 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.plans.staging import stage
+from pathloom.plans.staging import discard, stage
 
 #: White space of the words `[^\x20\x09-\x0D]+`.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Words of a window, a power of two.
 WINDOW = 8
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1000
+#: Seconds that a rule costs at least on the sample: less is noise.
+LEAST_SECONDS = 0.03
+# Frequent words of the languages at hand.
+STOPWORDS = (
+    "the of and to in that is was for it with der die und den das ist von le la de et les des du est el los y que en un una ein a"
+).split()
+_BLANK = "[\\x20\\x09-\\x0D]"
+#: A stop word in letters of either case, between blanks.
+STOP_PATTERN = f"(?:^|{_BLANK})(?:{'|'.join(''.join(f'[{c}{c.upper()}]' for c in w) for w in STOPWORDS)})(?:{_BLANK}|$)"
 
 
 class Rule(NamedTuple):
@@ -39,23 +52,26 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     trimmed = F.btrim(body, F.lit(BLANKS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\x09-\\x0D]+"))
     lines = F.filter(F.split(body, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
+    unblanked = body
+    for blank in BLANKS:
+        unblanked = F.replace(unblanked, F.lit(blank), F.lit(""))
     df = docs.withColumns({"words": words, "_lines": lines})
     df = df.withColumns(
         {
             "n_words": F.size("words").cast("long"),
-            "word_chars": F.char_length(F.array_join("words", "")).cast("long"),
+            "word_chars": F.char_length(unblanked).cast("long"),
             "n_symbols": F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_grams": F.when(
-                F.size("words") >= WINDOW,
-                F.transform(
-                    F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)),
-                    lambda i: F.xxhash64(F.slice("words", i, F.lit(WINDOW))),
-                ),
-            ).otherwise(F.array().cast("array<bigint>")),
+            "_grams": F.transform("words", lambda w: F.xxhash64(w)),
         }
     )
+    # Hashes of windows of 2, 4 and at last 8 words: those of two adjacent halves.
+    half = 1
+    while half < WINDOW:
+        rest = F.greatest(F.size("_grams") - half, F.lit(0))
+        both = F.zip_with(F.slice("_grams", F.lit(1), rest), F.slice("_grams", F.lit(half + 1), rest), lambda x, y: F.xxhash64(x, y))
+        df, half = df.withColumn("_grams", both), 2 * half
     # Texts without a repeated window, nearly all, skip the sort.
     df = df.withColumn(
         "_sorted",
@@ -107,6 +123,10 @@ def production_rules(text: str = "text") -> list[Rule]:
         Rule("capitals", 2 * count("[A-Z]") > F.col("word_chars")),
         Rule("variety", (F.col("n_words") >= 50) & (20 * F.size(F.array_distinct("words")) < F.col("n_words"))),
         Rule("digits", 2 * count("[0-9]") > F.col("word_chars")),
+        Rule("letters", 10 * count("\\p{L}+") < 6 * F.col("n_words")),
+        Rule("stop_words", ~body.rlike(STOP_PATTERN)),
+        Rule("bullets", 10 * count("(?md)^[ \\t]*[-*•] ") > 9 * F.col("n_lines")),
+        Rule("ellipses", 10 * count("(?md)(\\.\\.\\.|…)[ \\t\\r]*$") > 3 * F.col("n_lines")),
     ]
 
 
@@ -121,13 +141,15 @@ def cascade_order(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
     if not row["n"]:
         return list(rules)
 
-    def seconds(rule: Rule) -> float:
+    def seconds(condition: Column) -> float:
         began = time.perf_counter()
-        sample.agg(F.count_if(rule.rejects)).collect()
+        sample.agg(F.count_if(condition)).collect()
         return time.perf_counter() - began
 
-    worth = [((row[f"r{i}"] or 0.0) / max(seconds(r), 1e-3), r) for i, r in enumerate(rules)]
-    return [r for _, r in sorted(worth, key=lambda x: -x[0])]
+    idle = seconds(F.lit(True) if "words" not in sample.columns else F.size("words") >= 0)
+    costs = [max(seconds(r.rejects) - idle, LEAST_SECONDS) for r in rules]
+    worth = [(row[f"r{i}"] or 0.0) / cost for i, cost in enumerate(costs)]
+    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: -worth[i])]
 
 
 def rejected(rules: list[Rule]) -> Column:
@@ -146,8 +168,8 @@ def bounded_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def quality_verdicts(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with the statistics, base_failed and kept."""
-    sample = stage(with_statistics(bounded_sample(docs.select(F.col(text)), sample_rows), text), "rules")
-    base, more = base_rules(), cascade_order(sample, production_rules(text))
+    sample = stage(with_statistics(bounded_sample(docs.select(F.col(text)), sample_rows), text).coalesce(1), "rules")
+    order = cascade_order(sample, base_rules() + production_rules(text))
+    discard(sample)
     df = with_statistics(docs, text)
-    df = df.withColumn("base_failed", rejected(base))
-    return df.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~rejected(more)))
+    return df.withColumns({"base_failed": rejected(base_rules()), "kept": ~rejected(order)})

@@ -108,9 +108,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 10 * len(regexp_extract_all(text, '!')) > 3 * n_words
             OR 2 * len(regexp_extract_all(text, '[A-Z]')) > word_chars
             OR (n_words >= 50 AND 20 * len(list_distinct(w)) < n_words)
-            OR 2 * len(regexp_extract_all(text, '[0-9]')) > word_chars) AS kept
+            OR 2 * len(regexp_extract_all(text, '[0-9]')) > word_chars
+            OR 10 * len(regexp_extract_all(text, '\p{L}+')) < 6 * n_words
+            OR NOT regexp_matches(text, '@STOP')
+            OR 10 * len(regexp_extract_all(text, '(?m)^[ \t]*[-*•] ')) > 9 * n_lines
+            OR 10 * len(regexp_extract_all(text, '(?m)(\.\.\.|…)[ \t\r]*$')) > 3 * n_lines) AS kept
 FROM b
-"""
+""".replace("@STOP", quality_rules.STOP_PATTERN)
 
 OP8_SQL = rf"""
 WITH d AS (
