@@ -184,14 +184,16 @@ def loss_and_gradient(table: DataFrame, w: np.ndarray, fairness: float) -> tuple
                 loss += fairness * float((gap * gap).sum())
                 total += np.bincount(flat_a, weights=2 * fairness * gap[row_a], minlength=len(w))
                 total -= np.bincount(flat_b, weights=2 * fairness * gap[row_b], minlength=len(w))
-        yield pa.record_batch([pa.array([loss]), pa.array([total], pa.list_(pa.float64()))], ["loss", "g"])
+        moved = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(np.append(moved, -1)), pa.array(np.append(total[moved], loss))], ["k", "v"])
 
-    parts = table.mapInArrow(run, "loss double, g array<double>").toArrow()
+    # One sum for each weight, whatever the number of tasks; the loss goes under -1.
+    sums = table.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    k, v = sums.column("k").to_numpy(), sums.column("v").to_numpy()
     gradient = np.zeros(len(w))
-    for g in parts.column("g"):
-        gradient += g.values.to_numpy()
+    gradient[k[k >= 0]] = v[k >= 0]
     shared.unpersist()
-    return float(np.sum(parts.column("loss").to_numpy())), gradient
+    return float(v[k < 0].sum()), gradient
 
 
 def toxicity_scores(
