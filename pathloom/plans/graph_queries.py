@@ -135,10 +135,10 @@ def route_steps(g: Graph) -> DataFrame:
 
 
 def undirected(g: Graph) -> DataFrame:
-    return g.edges.where("NOT closed AND published AND id % 13 = 0").select(F.col("from_node").alias("src"), F.col("to_node").alias("dst"))
+    return g.edges.where("NOT closed AND published").select(F.col("from_node").alias("src"), F.col("to_node").alias("dst"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT from_node AS a, to_node AS b FROM g_edges WHERE NOT closed AND published AND id % 13 = 0 UNION SELECT to_node, from_node FROM g_edges WHERE NOT closed AND published AND id % 13 = 0),
+@query("""WITH RECURSIVE e AS (SELECT from_node AS a, to_node AS b FROM g_edges WHERE NOT closed AND published UNION SELECT to_node, from_node FROM g_edges WHERE NOT closed AND published),
 k(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(k.component) FROM k JOIN e ON e.a = k.node
   LEFT JOIN recurring.k AS r ON r.node = e.b WHERE k.component < coalesce(r.component, 9223372036854775807) GROUP BY e.b)
 SELECT node, component FROM k""")
@@ -146,7 +146,7 @@ def components(g: Graph) -> DataFrame:
     return connected_components(undirected(g))
 
 
-@query("""WITH RECURSIVE e AS (SELECT from_node AS a, to_node AS b FROM g_edges WHERE NOT closed AND published AND id % 13 = 0 UNION SELECT to_node, from_node FROM g_edges WHERE NOT closed AND published AND id % 13 = 0),
+@query("""WITH RECURSIVE e AS (SELECT from_node AS a, to_node AS b FROM g_edges WHERE NOT closed AND published UNION SELECT to_node, from_node FROM g_edges WHERE NOT closed AND published),
 k(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(k.component) FROM k JOIN e ON e.a = k.node
   LEFT JOIN recurring.k AS r ON r.node = e.b WHERE k.component < coalesce(r.component, 9223372036854775807) GROUP BY e.b)
 SELECT node FROM k WHERE component = (SELECT component FROM k GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)""")
@@ -172,13 +172,13 @@ def nearest_nodes(g: Graph) -> DataFrame:
     return nearest(g.fixes.select("id", "latitude", "longitude"), targets).select("id", "target", close("metres", 4).alias("metres"))
 
 
-@query(f"""WITH m AS (SELECT e.id, (a.latitude + b.latitude) / 2 AS lat, (a.longitude + b.longitude) / 2 AS lng FROM g_edges e JOIN g_nodes a ON a.id = e.from_node JOIN g_nodes b ON b.id = e.to_node WHERE e.kind <> 'shortcut' AND e.id % 5 = 0),
+@query(f"""WITH m AS (SELECT e.id, (a.latitude + b.latitude) / 2 AS lat, (a.longitude + b.longitude) / 2 AS lng FROM g_edges e JOIN g_nodes a ON a.id = e.from_node JOIN g_nodes b ON b.id = e.to_node WHERE e.kind <> 'shortcut'),
 r AS (SELECT h.id, round({PLANE_SQL("h.latitude", "h.longitude", "m.lat", "m.lng")}, 4) AS metres FROM g_hazards h, m)
 SELECT id, min(metres) AS metres FROM r GROUP BY id""")
 def nearest_midpoints(g: Graph) -> DataFrame:
     a = g.nodes.select(F.col("id").alias("from_node"), F.col("latitude").alias("la"), F.col("longitude").alias("ga"))
     b = g.nodes.select(F.col("id").alias("to_node"), F.col("latitude").alias("lb"), F.col("longitude").alias("gb"))
-    mid = g.edges.where("kind <> 'shortcut' AND id % 5 = 0").join(a, "from_node").join(b, "to_node")
+    mid = g.edges.where("kind <> 'shortcut'").join(a, "from_node").join(b, "to_node")
     mid = mid.select(F.col("id").alias("target"), ((F.col("la") + F.col("lb")) / 2).alias("t_lat"), ((F.col("ga") + F.col("gb")) / 2).alias("t_lng"))
     return nearest(g.hazards.select("id", "latitude", "longitude"), mid).select("id", close("metres", 4).alias("metres"))
 
@@ -233,7 +233,7 @@ def hazards_on_published(g: Graph) -> DataFrame:
 
 @query("""WITH d AS (SELECT place_id, list(DISTINCT node_id) AS nodes FROM g_doors GROUP BY place_id),
 v AS (SELECT id, from_node, to_node, from_place, to_place FROM g_edges WHERE source = 'admin' AND published AND NOT closed),
-q AS (SELECT id AS request, from_place AS start_place, (from_place + id % 3 + 36) % 100 AS end_place FROM g_edges WHERE from_place IS NOT NULL AND id % 5 = 0),
+q AS (SELECT id AS request, from_place AS start_place, (from_place + id % 3 + 36) % 100 AS end_place FROM g_edges WHERE from_place IS NOT NULL),
 p AS (SELECT request, start_place, end_place, s.nodes AS s, t.nodes AS t FROM q JOIN d s ON s.place_id = start_place JOIN d t ON t.place_id = end_place WHERE start_place <> end_place)
 SELECT DISTINCT request, v.id AS edge, CASE WHEN from_place = start_place AND to_place = end_place OR (list_contains(s, from_node) AND list_contains(t, to_node)) THEN FALSE ELSE TRUE END AS backwards
 FROM p JOIN v ON (from_place = start_place AND to_place = end_place) OR (from_place = end_place AND to_place = start_place)
@@ -242,7 +242,7 @@ def verified_paths(g: Graph) -> DataFrame:
     """Requests that an admin path serves as it is: same two places, or doors at both its ends."""
     held = g.doors.groupBy("place_id").agg(F.collect_set("node_id").alias("nodes"))
     side = lambda c, n: held.select(F.col("place_id").alias(c), F.col("nodes").alias(n))
-    asked = g.edges.where("from_place IS NOT NULL AND id % 5 = 0").select(
+    asked = g.edges.where("from_place IS NOT NULL").select(
         F.col("id").alias("request"), F.col("from_place").alias("start_place"), ((F.col("from_place") + F.col("id") % 3 + 36) % 100).alias("end_place")
     )
     asked = asked.where("start_place <> end_place").join(side("start_place", "s"), "start_place").join(side("end_place", "t"), "end_place")
@@ -331,11 +331,11 @@ def latest_reviews(g: Graph) -> DataFrame:
 
 
 @query(f"""SELECT f.id, f.user_id, h.id AS hazard, round({PLANE_SQL("f.latitude", "f.longitude", "h.latitude", "h.longitude")}, 4) AS metres FROM g_fixes f JOIN g_hazards h
-ON h.active AND {PLANE_SQL("f.latitude", "f.longitude", "h.latitude", "h.longitude")} <= 45 AND f.id % 10 = 0""")
+ON h.active AND {PLANE_SQL("f.latitude", "f.longitude", "h.latitude", "h.longitude")} <= 45""")
 def near_hazards(g: Graph) -> DataFrame:
     spots = g.hazards.where("active").select(F.col("id").alias("hazard"), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lng"))
     spots = spots.withColumn("target", F.col("hazard"))
-    rows = within(g.fixes.where("id % 10 = 0").select("id", "user_id", "latitude", "longitude"), spots, 45.0, degrees=0.001)
+    rows = within(g.fixes.select("id", "user_id", "latitude", "longitude"), spots, 45.0, degrees=0.001)
     return rows.select("id", "user_id", "hazard", close("metres", 4).alias("metres"))
 
 
@@ -380,14 +380,14 @@ def closed_by_zone(g: Graph) -> DataFrame:
     return etl.closures(edges, spots(g), zones(g).drop("title"))
 
 
-@query("""WITH p AS (SELECT e.from_node AS id, e.id AS edge, b.longitude AS x, b.latitude AS y FROM g_edges e JOIN g_nodes b ON b.id = e.to_node WHERE e.from_node % 10 = 0),
+@query("""WITH p AS (SELECT e.from_node AS id, e.id AS edge, b.longitude AS x, b.latitude AS y FROM g_edges e JOIN g_nodes b ON b.id = e.to_node),
 k AS (SELECT *, concat('n', CAST(CAST(round_even(x * 100000, 0) AS BIGINT) AS VARCHAR), '_', CAST(CAST(round_even(y * 100000, 0) AS BIGINT) AS VARCHAR)) AS key, row_number() OVER (PARTITION BY id ORDER BY edge) - 1 AS i FROM p),
 n AS (SELECT *, lead(key) OVER (PARTITION BY id ORDER BY i) AS next FROM k)
 SELECT concat('e-', CAST(id AS VARCHAR), '-', CAST(i AS VARCHAR)) AS edge, CASE WHEN id % 4 = 0 THEN next ELSE key END AS from_node, CASE WHEN id % 4 = 0 THEN key ELSE next END AS to_node
 FROM n WHERE next IS NOT NULL AND key <> next""")
 def line_segments(g: Graph) -> DataFrame:
     b = g.nodes.select(F.col("id").alias("to_node"), F.col("longitude").alias("x"), F.col("latitude").alias("y"))
-    rows = g.edges.where("from_node % 10 = 0").join(b, "to_node").groupBy("from_node").agg(F.array_sort(F.collect_list(F.struct("id", "x", "y"))).alias("l"))
+    rows = g.edges.join(b, "to_node").groupBy("from_node").agg(F.array_sort(F.collect_list(F.struct("id", "x", "y"))).alias("l"))
     line = F.transform("l", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     rows = rows.select(F.col("from_node").alias("id"), line.alias("line"), F.when(F.col("from_node") % 4 == 0, 3).otherwise(1).alias("direction"))
     return etl.segments(rows).select("edge", "from_node", "to_node")

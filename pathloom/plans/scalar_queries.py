@@ -131,9 +131,9 @@ def node_keys(g: Graph) -> DataFrame:
 
 @query(r"""WITH t AS (SELECT id, CASE id % 5 WHEN 0 THEN concat(CAST(39 + id % 7 AS VARCHAR), '.5, -76.25') WHEN 1 THEN concat('-120.5,', CAST(id % 60 AS VARCHAR))
  WHEN 2 THEN concat('76.5,', CAST(id % 40 AS VARCHAR), ',12.0') WHEN 3 THEN 'Current location' ELSE ' 12.5 , 13 ' END AS value FROM g_fixes),
-p AS (SELECT id, regexp_extract(trim(value), '^(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)(?:\s*,\s*-?\d+(?:\.\d+)?)?$', 1) AS a,
- regexp_extract(trim(value), '^(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)(?:\s*,\s*-?\d+(?:\.\d+)?)?$', 2) AS b FROM t),
-n AS (SELECT id, TRY_CAST(a AS DOUBLE) AS a, TRY_CAST(b AS DOUBLE) AS b FROM p)
+p AS (SELECT id, list_transform(string_split(trim(value), ','), lambda x: trim(x)) AS p FROM t),
+n AS (SELECT id, CASE WHEN len(p) IN (2, 3) AND len(list_filter(p, lambda x: NOT regexp_full_match(x, '-?[0-9]+([.][0-9]+)?'))) = 0 THEN CAST(p[1] AS DOUBLE) END AS a,
+ CASE WHEN len(p) IN (2, 3) AND len(list_filter(p, lambda x: NOT regexp_full_match(x, '-?[0-9]+([.][0-9]+)?'))) = 0 THEN CAST(p[2] AS DOUBLE) END AS b FROM p)
 SELECT id, CASE WHEN (abs(a) > 90 AND abs(b) <= 90) OR (abs(a) > 50 AND abs(b) < 50) THEN b ELSE a END AS latitude,
  CASE WHEN (abs(a) > 90 AND abs(b) <= 90) OR (abs(a) > 50 AND abs(b) < 50) THEN a ELSE b END AS longitude FROM n""")
 def gps_values(g: Graph) -> DataFrame:
