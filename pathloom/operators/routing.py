@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import cost as C
-from pathloom.operators.shortest_paths import cheapest_paths, cheapest_target
+from pathloom.operators.shortest_paths import cheapest_paths, cheapest_target, paths_back
 
 
 def severities(hazards: DataFrame, night: Column) -> DataFrame:
@@ -72,7 +72,8 @@ def routes(edges: DataFrame, hazards: DataFrame, doors: DataFrame, requests: Dat
     ways = arcs(priced).select("profile", "src", "dst", F.col("id").alias("edge"), "cost")
     starts = terminals(requests, doors, "start_place").select("search", "profile", "node")
     ends = terminals(requests, doors, "end_place").select("search", "node").distinct()
-    return cheapest_target(cheapest_paths(ways, starts, ends, with_path=True), ends)
+    found = cheapest_paths(ways, starts, ends)
+    return paths_back(cheapest_target(found, ends).drop("edge", "prev"), found)
 
 
 def route_edges(found: DataFrame, edges: DataFrame) -> DataFrame:

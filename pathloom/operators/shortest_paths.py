@@ -1,70 +1,95 @@
 """Cheapest paths for many searches at once, as joins.
 
 A search has sources and perhaps targets.  Each round joins the nodes that improved in the
-round before with the arcs of the search's cost profile, keeps the cheapest arrival at
-every node, and stops when nothing improves.  Arrivals that already cost as much as the
+round before with the arcs of the search's cost profile and keeps the cheapest arrival at
+every node.  Only arrivals that beat what is known are written, each with its cost, the edge
+it came by and the node before it; the tables of the rounds are merged from time to time.
+The search ends when nothing improves, however many rounds that takes.  Arrivals beyond the
 search's cheapest target are dropped, which is the set-wise form of stopping at the first
-settled target.  Rounds are written to the shared folder; only counts reach the driver.
+settled target.  Paths are read back from the ends that are asked for, several edges a job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.plans.staging import stage
+from pathloom.plans.staging import discard, stage
+
+KEYS = ["search", "profile", "node"]
+#: Tables of rounds that are read side by side before they are merged, and edges of a path that one job reads.
+MERGED = 5
+HOPS = 6
+
+
+def _known(tables: list[DataFrame]) -> DataFrame:
+    """The cheapest arrival at each node; costs fall from round to round, so equals do not occur."""
+    rows = reduce(DataFrame.unionByName, tables)
+    return rows.groupBy(*KEYS).agg(F.min("cost").alias("c"), *_of_cheapest("edge", "prev")).withColumnRenamed("c", "cost")
+
 
+def _of_cheapest(*columns: str) -> list[Column]:
+    """Numbers of the cheapest row; unlike the least struct of a group, they need no sort."""
+    return [F.min_by(c, "cost").alias(c) for c in columns]
 
-def cheapest_paths(
-    arcs: DataFrame, sources: DataFrame, targets: DataFrame | None = None, *, with_path: bool = False, max_rounds: int = 10_000
-) -> DataFrame:
+
+def cheapest_paths(arcs: DataFrame, sources: DataFrame, targets: DataFrame | None = None, *, with_path: bool = False) -> DataFrame:
     """The cheapest cost of every node that a search reaches.
 
     arcs: profile, src, dst, edge, cost (not negative); several arcs may join two nodes.
     sources: search, profile, node.  targets: search, node.
-    Result: search, profile, node, cost, and with_path the edges from the source in order.
-    Ties go to the smaller last edge.  With targets, nodes that cost more than the cheapest
+    Result: search, profile, node, cost, the edge and the node before it (null at a source),
+    and with_path the edges from the source in order.
+    Of equally cheap arrivals one is taken.  With targets, nodes that cost more than the cheapest
     target may be missing or not final; the targets up to the cheapest are final.
     """
     # Parallel arcs: only the cheapest can be on a path.
-    best = F.min(F.struct("cost", "edge"))
-    lean = stage(arcs.groupBy("profile", "src", "dst").agg(best.alias("b")).select("profile", "src", "dst", "b.cost", "b.edge"), "arcs")
-    empty = F.array().cast("array<long>")
-    state = sources.select("search", "profile", "node", F.lit(0.0).alias("cost"), F.lit(0).alias("round")).distinct()
-    state = stage(state.withColumn("path", empty) if with_path else state, "state")
-    keys = ["search", "profile", "node"]
-    for number in range(1, max_rounds + 1):
-        moved = state.where(F.col("round") == number - 1)
-        if targets is not None:
-            bound = state.join(targets, ["search", "node"]).groupBy("search").agg(F.min("cost").alias("bound"))
-            moved = moved.join(bound, "search", "left").where(F.col("bound").isNull() | (F.col("cost") < F.col("bound"))).drop("bound")
-        moved = moved.withColumnsRenamed({"node": "src", "cost": "so_far"})
-        new = moved.join(lean, ["profile", "src"]).select(
-            "search",
-            "profile",
-            F.col("dst").alias("node"),
-            (F.col("so_far") + F.col("cost")).alias("cost"),
-            "edge",
-            *([F.concat("path", F.array("edge")).alias("path")] if with_path else []),
+    lean = arcs.groupBy("profile", "src", F.col("dst").alias("to")).agg(F.min("cost").alias("step"), F.min_by("edge", "cost").alias("by"))
+    lean = stage(lean, "arcs")
+    none = F.lit(None).cast("long")
+    fresh = stage(sources.select(*KEYS, F.lit(0.0).alias("cost"), none.alias("edge"), none.alias("prev")).distinct(), "round")
+    tables = [fresh]
+    while True:
+        told = reduce(DataFrame.unionByName, tables)
+        new = fresh.withColumnRenamed("node", "src").join(lean, ["profile", "src"]).select(
+            "search", "profile", F.col("to").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.col("by").alias("edge"), F.col("src").alias("prev")
         )
-        what = ["cost", "edge", "path"] if with_path else ["cost", "edge"]
-        new = new.groupBy(*keys).agg(F.min(F.struct(*what)).alias("n"))
-        old = state.select(*keys, F.struct("cost", "round", *(["path"] if with_path else [])).alias("o"))
-        both = old.join(new, keys, "full")
-        better = F.col("o").isNull() | (F.col("n.cost") < F.col("o.cost"))
-        pick = lambda c: F.when(F.coalesce(better, F.lit(False)), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
-        state = stage(
-            both.select(
-                *keys,
-                pick("cost"),
-                F.when(F.coalesce(better, F.lit(False)), number).otherwise(F.col("o.round")).alias("round"),
-                *([pick("path")] if with_path else []),
-            ),
-            "state",
+        if targets is not None:
+            bound = told.join(targets, ["search", "node"]).groupBy("search").agg(F.min("cost").alias("bound"))
+            new = new.join(bound, "search", "left").where(F.col("bound").isNull() | (F.col("cost") <= F.col("bound"))).drop("bound")
+        # What is known and what arrives meet in one aggregate.
+        rows = new.withColumn("before", F.lit(None).cast("double")).unionByName(
+            told.select(*KEYS, F.lit(None).cast("double").alias("cost"), none.alias("edge"), none.alias("prev"), F.col("cost").alias("before"))
         )
-        if not state.where(F.col("round") == number).limit(1).count():
+        rows = rows.groupBy(*KEYS).agg(F.min("cost").alias("c"), *_of_cheapest("edge", "prev"), F.min("before").alias("before"))
+        better = F.col("c").isNotNull() & (F.col("before").isNull() | (F.col("c") < F.col("before")))
+        fresh = stage(rows.where(better).drop("before").withColumnRenamed("c", "cost"), "round")
+        if not fresh.limit(1).count():
             break
-    return state.drop("round")
+        tables.append(fresh)
+        if len(tables) >= MERGED:
+            # The last round stays apart: the next one starts from it.
+            merged = stage(_known(tables[:-1]), "rounds")
+            discard(*tables[:-1])
+            tables = [merged, fresh]
+    found = stage(_known(tables), "paths")
+    discard(lean, *tables)
+    return paths_back(found, found) if with_path else found
+
+
+def paths_back(ends: DataFrame, found: DataFrame) -> DataFrame:
+    """``ends`` (search, node and any others) with the edges from a source in order; found: rows of ``cheapest_paths``."""
+    steps = found.select("search", F.col("node").alias("at"), F.col("edge").alias("_edge"), F.col("prev").alias("_prev"))
+    rows = ends.select("*", F.col("node").alias("at"), F.array().cast("array<long>").alias("path"))
+    while True:
+        for _ in range(HOPS):
+            longer = F.when(F.col("_edge").isNotNull(), F.concat(F.array("_edge"), F.col("path"))).otherwise(F.col("path"))
+            rows = rows.join(steps, ["search", "at"], "left").select(*ends.columns, F.col("_prev").alias("at"), longer.alias("path"))
+        rows = stage(rows, "back")
+        if not rows.where(F.col("at").isNotNull()).limit(1).count():
+            return rows.drop("at")
 
 
 def cheapest_target(paths: DataFrame, targets: DataFrame) -> DataFrame:
