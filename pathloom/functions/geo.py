@@ -142,3 +142,25 @@ def lambert_inverse(x_ft: Column, y_ft: Column) -> Column:
     )
     lam = F.atan2(dx, dy) / n + lam0
     return F.struct(F.degrees(lam).alias("lng"), F.degrees(phi).alias("lat"))
+
+
+def edge_line(geometry: Column, back: Column, a_lng: Column, a_lat: Column, b_lng: Column, b_lat: Column) -> Column:
+    """An edge's drawn line as [lng, lat] points in travel order; without two points, its ends.
+
+    ``geometry``: JSON text of pairs; pairs written latitude first, as the region's values show, are turned.
+    """
+    given = F.filter(F.coalesce(F.from_json(geometry, "array<array<double>>"), F.array()), lambda p: F.size(p) == 2)
+    turned = F.transform(
+        given,
+        lambda p: F.when((p[0] > 38) & (p[0] < 41) & (p[1] > -78) & (p[1] < -75), F.array(p[1], p[0])).otherwise(p),
+    )
+    line = F.when(back, F.reverse(turned)).otherwise(turned)
+    return F.when(F.size(given) >= 2, line).otherwise(F.array(F.array(a_lng, a_lat), F.array(b_lng, b_lat)))
+
+
+def joined_to_doors(line: Column, start: Column, end: Column, metres: float = 8.0) -> Column:
+    """A drawn line of (x, y) points, drawn on to a door from which it ends more than ``metres`` away."""
+    far = lambda p, q: haversine(p["y"], p["x"], q["y"], q["x"]) > metres
+    none = F.slice(line, F.lit(1), F.lit(0))
+    first, last = F.get(line, F.lit(0)), F.element_at(line, -1)
+    return F.concat(F.when(far(first, start), F.array(start)).otherwise(none), line, F.when(far(last, end), F.array(end)).otherwise(none))

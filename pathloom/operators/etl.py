@@ -52,10 +52,17 @@ def _in_box(points: DataFrame, zones: DataFrame, degrees: float, metres: float =
             "y0": end(F.array_min, "y", -py), "y1": end(F.array_max, "y", py),
         }
     )
-    boxes = boxes.withColumn("cx", F.explode(F.sequence(cell(F.col("x0"), degrees), cell(F.col("x1"), degrees))))
-    boxes = boxes.withColumn("cy", F.explode(F.sequence(cell(F.col("y0"), degrees), cell(F.col("y1"), degrees))))
-    here = points.withColumns({"cx": cell(F.col("x"), degrees), "cy": cell(F.col("y"), degrees)})
-    met = here.join(boxes, ["cx", "cy"]).drop("cx", "cy")
+    # A large zone uses larger cells, so that each covers a few; points meet every size in use.
+    span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(degrees))
+    boxes = boxes.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(span / (4 * degrees))).cast("int")))
+    sizes = [r.level for r in boxes.select("level").distinct().collect()]
+    if not sizes:
+        sizes = [0]
+    side = F.lit(degrees) * F.pow(F.lit(2.0), F.col("level"))
+    at = lambda c: F.floor(F.col(c) / side).cast("long")
+    boxes = boxes.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    here = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in sizes]))).withColumns({"cx": at("x"), "cy": at("y")})
+    met = here.join(boxes, ["level", "cx", "cy"]).drop("level", "cx", "cy")
     return met.where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).drop("x0", "x1", "y0", "y1")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions.geo import nearest_on_line
+
 # What an action does to (submission status, job status); '*' leaves it, absent pairs are refused.
 TRANSITIONS = {
     ("approve", "pending", "none"): ("approved", "queued"),
@@ -54,3 +56,21 @@ def latest(log: DataFrame, key: str, order: list[str]) -> DataFrame:
 def evidence(paths: Column) -> Column:
     """Distinct evidence in first-seen order, the last kept."""
     return F.slice(F.array_distinct(paths), -1, 1)
+
+
+def without_path(paths: DataFrame, hazards: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paths (id) and hazards (edge_id) after some paths (id) are deleted: their hazards go with them."""
+    return paths.join(deleted, "id", "left_anti"), hazards.join(deleted.select(F.col("id").alias("edge_id")), "edge_id", "left_anti").select(*hazards.columns)
+
+
+def placed_hazards(asked: DataFrame, paths: DataFrame, metres: float = 40.0) -> DataFrame:
+    """Hazards (id, edge_id, x, y, update) on a path's line (edge_id, line): new ones snap to it or are refused when too far; moved ones beyond keep their own point."""
+    met = asked.join(paths, "edge_id", "left").withColumn("at", nearest_on_line(F.col("x"), F.col("y"), F.col("line")))
+    close = F.coalesce(F.col("at.d") <= metres, F.lit(False))
+    return met.select(
+        "id",
+        "edge_id",
+        (~close & ~F.col("update")).alias("refused"),
+        F.when(close, F.col("at.x")).otherwise(F.col("x")).alias("x"),
+        F.when(close, F.col("at.y")).otherwise(F.col("y")).alias("y"),
+    )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.text import parse_gps, signal_words
+from pathloom.functions.text import OFFLINE_STOPWORDS, parse_gps, plain, signal_words
 
 
 def _ilike(column: str, pattern: Column) -> Column:
@@ -13,23 +15,61 @@ def _ilike(column: str, pattern: Column) -> Column:
     return F.coalesce(F.call_function("like", F.lower(F.col(column)), F.lower(pattern)), F.lit(False))
 
 
+#: Typed values that meet the places at a time.
+BLOCK = 10_000
+
+
+def _met(queries: DataFrame, places: DataFrame) -> DataFrame:
+    """Typed values against all places, in blocks of at most about BLOCK values that are broadcast."""
+    blocks = 1 + queries.count() // BLOCK
+    part = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    met = [places.crossJoin(F.broadcast(queries.where(part == k))) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, met)
+
+
+def _best(hits: DataFrame) -> DataFrame:
+    """The hits of each query's first tier."""
+    first = hits.groupBy("query").agg(F.min("tier").alias("tier"))
+    return hits.join(first, ["query", "tier"])
+
+
+def contains_any(title: Column, parts: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(p.lower()) for p in parts]), lambda p: F.contains(F.lower(title), p))
+
+
+def door_card() -> Column:
+    """Label, kind and step_free of a door; null for a bare node."""
+    return F.when(F.col("kind") != "node", F.struct("label", "kind", "step_free"))
+
+
+def resolve(queries: DataFrame, places: DataFrame) -> DataFrame:
+    """query, tier, hits and place_id, by normalised text: equal name, equal alias, part of a name, all words of it in a name.
+
+    An equal name or alias takes its first place; else only a single hit is an answer.  Blank values have none.
+    """
+    asked = queries.select("query", plain(F.col("value")).alias("q")).where("q <> ''")
+    named = places.select("id", plain(F.col("name")).alias("n"), plain(F.col("alias")).alias("a"))
+    words = F.filter(F.split("q", " "), lambda w: ~w.isin(*OFFLINE_STOPWORDS))
+    every = (F.size(words) > 0) & F.forall(words, lambda w: F.contains(F.col("n"), w))
+    tier = F.when(F.col("n") == F.col("q"), 1).when(F.col("a") == F.col("q"), 2).when(F.contains("n", "q"), 3).when(every, 4)
+    found = _best(_met(asked, named).withColumn("tier", tier).where(F.col("tier").isNotNull()))
+    got = found.groupBy("query", "tier").agg(F.count(F.lit(1)).alias("hits"), F.min("id").alias("first"))
+    return got.select("query", "tier", "hits", F.when((F.col("hits") == 1) | (F.col("tier") <= 2), F.col("first")).alias("place_id"))
+
+
 def find_places(queries: DataFrame, places: DataFrame) -> DataFrame:
     """Candidates of each query (query, value) in its best tier: exact, contained, all words.
 
-    Places are a dimension; the pairs of queries and places are formed by broadcasting the
-    queries, which are few, and judged in one pass over the places.
+    Each block of queries is judged in one pass over the places.
     """
-    words = signal_words(F.col("value"))
-    asked = F.broadcast(queries.withColumn("words", words))
-    pairs = places.select("id", "name", "alias").crossJoin(asked)
+    pairs = _met(queries.withColumn("words", signal_words(F.col("value"))), places.select("id", "name", "alias"))
     exact = (F.col("id").cast("string") == F.col("value")) | _ilike("name", F.col("value")) | _ilike("alias", F.col("value"))
     inside = F.concat(F.lit("%"), F.col("value"), F.lit("%"))
     part = _ilike("name", inside) | _ilike("alias", inside)
     every = (F.size("words") > 0) & F.forall("words", lambda w: F.contains(F.lower("name"), w))
     tier = F.when(F.coalesce(exact, F.lit(False)), 1).when(part, 2).when(every, 3)
     hits = pairs.withColumn("tier", tier).where(F.col("tier").isNotNull())
-    best = F.min("tier").over(Window.partitionBy("query"))
-    return hits.withColumn("best", best).where(F.col("tier") == F.col("best")).select("query", "tier", "id", "name")
+    return _best(hits).select("query", "tier", "id", "name")
 
 
 def answers(found: DataFrame) -> DataFrame:

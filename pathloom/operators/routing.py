@@ -66,19 +66,79 @@ def terminals(requests: DataFrame, doors: DataFrame, place: str) -> DataFrame:
     )
 
 
-def routes(edges: DataFrame, hazards: DataFrame, doors: DataFrame, requests: DataFrame) -> DataFrame:
-    """For each request with a way: search, cost, node (its end), profile and path (edges in order)."""
+def routes(edges: DataFrame, hazards: DataFrame, doors: DataFrame, requests: DataFrame, avoid: DataFrame | None = None) -> DataFrame:
+    """For each request with a way: search, cost, node (its end), profile, path (edges in order) and nodes.
+
+    avoid: search, edge.  A request that avoids edges has arcs of its own, without them.
+    """
     priced = priced_edges(edges, hazards, profiles(requests))
     ways = arcs(priced).select("profile", "src", "dst", F.col("id").alias("edge"), "cost")
     starts = terminals(requests, doors, "start_place").select("search", "profile", "node")
     ends = terminals(requests, doors, "end_place").select("search", "node").distinct()
+    if avoid is not None:
+        own = starts.join(avoid.select("search").distinct(), "search", "left_semi").select("search", "profile").distinct()
+        own = own.withColumn("own", F.concat_ws("/", "profile", F.col("search").cast("string")))
+        spared = ways.join(own, "profile").join(avoid, ["search", "edge"], "left_anti")
+        ways = ways.unionByName(spared.select(F.col("own").alias("profile"), "src", "dst", "edge", "cost"))
+        starts = starts.join(own.select("search", "own"), "search", "left")
+        starts = starts.select("search", F.coalesce("own", "profile").alias("profile"), "node")
     found = cheapest_paths(ways, starts, ends)
     return paths_back(cheapest_target(found, ends).drop("edge", "prev"), found)
 
 
+def avoided(chosen: DataFrame, hazards: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """search, edge: the edges of the hazards that a request chose (search, hazard) and, to find another way, those of its previous route (search, path)."""
+    of = chosen.join(hazards.select(F.col("id").alias("hazard"), F.col("edge_id").alias("edge")), "hazard").where(F.col("edge").isNotNull())
+    out = of.select("search", "edge")
+    return (out if previous is None else out.unionByName(previous.select("search", F.explode("path").alias("edge")))).distinct()
+
+
+def unreached(requests: DataFrame, found: DataFrame, doors: DataFrame, edges: DataFrame) -> DataFrame:
+    """Requests without a way, and the closure around their ends: its first name, "construction" if it has none, null if nothing is closed."""
+    rest = requests.join(found.select(F.col("search").alias("request")), "request", "left_anti")
+    touched = [terminals(rest, doors, c).select("search", "node") for c in ("start_place", "end_place")]
+    shut = edges.where("closed")
+    ends = [shut.select(F.col(c).alias("node"), F.coalesce(F.nullif("space", F.lit("")), F.lit(None)).alias("space")) for c in ("from_node", "to_node")]
+    met = touched[0].unionByName(touched[1]).distinct().join(ends[0].unionByName(ends[1]), "node")
+    names = met.groupBy("search").agg(F.coalesce(F.min("space"), F.lit("construction")).alias("closure"))
+    return rest.select(F.col("request").alias("search")).join(names, "search", "left")
+
+
+def verified_routes(requests: DataFrame, doors: DataFrame, edges: DataFrame) -> DataFrame:
+    """request, edge, backwards: an open path of the survey that joins the request's two places, or doors of both."""
+    held = doors.groupBy("place_id").agg(F.collect_set("node_id").alias("nodes"))
+    side = lambda c, n: held.select(F.col("place_id").alias(c), F.col("nodes").alias(n))
+    asked = requests.select("request", "start_place", "end_place").where("start_place <> end_place")
+    asked = asked.join(side("start_place", "s"), "start_place").join(side("end_place", "t"), "end_place")
+    path = edges.where("source = 'admin' AND published AND NOT closed").select(F.col("id").alias("edge"), "from_node", "to_node", "from_place", "to_place")
+    keyed = path.withColumn("ends", F.array_sort(F.array("from_place", "to_place")))
+    by_place = asked.withColumn("ends", F.array_sort(F.array("start_place", "end_place"))).join(keyed, "ends").drop("ends")
+    near = asked.withColumn("near", F.explode(F.array_union("s", "t")))
+    by_door = near.join(path.withColumn("near", F.col("from_node")), "near").drop("near")
+    has = lambda a, n: F.array_contains(a, F.col(n))
+    by_door = by_door.where((has("s", "from_node") & has("t", "to_node")) | (has("t", "from_node") & has("s", "to_node")))
+    forth = ((F.col("from_place") == F.col("start_place")) & (F.col("to_place") == F.col("end_place"))) | (has("s", "from_node") & has("t", "to_node"))
+    return by_place.unionByName(by_door).select("request", "edge", (~F.coalesce(forth, F.lit(False))).alias("backwards")).distinct()
+
+
+def outcomes(requests: DataFrame, found: DataFrame, verified: DataFrame, unreachable: DataFrame) -> DataFrame:
+    """One row for each request: a verified path goes before a search and its gates; without either, the closure is named."""
+    first = verified.groupBy("request").agg(F.min(F.struct("edge", "backwards"))["edge"].alias("verified"))
+    rows = requests.select("request").join(first, "request", "left")
+    rows = rows.join(found.select(F.col("search").alias("request"), "path"), "request", "left")
+    rows = rows.join(unreachable.withColumnRenamed("search", "request"), "request", "left")
+    return rows.select(
+        "request",
+        F.when(F.col("verified").isNotNull(), "verified").when(F.col("path").isNotNull(), "route").otherwise("unreachable").alias("outcome"),
+        F.when(F.col("verified").isNotNull(), F.array("verified")).otherwise(F.col("path")).alias("path"),
+        F.when(F.col("verified").isNull(), F.col("closure")).alias("closure"),
+    )
+
+
 def route_edges(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row for each edge on a route: search, pos, total and the edge's columns."""
-    rows = found.select("search", F.col("cost").alias("total"), "profile", F.posexplode("path").alias("pos", "edge"))
+    """One row for each edge on a route: search, pos, total, the nodes in travel order (a, b) and the edge's columns."""
+    rows = found.select("search", F.col("cost").alias("total"), "profile", "nodes", F.posexplode("path").alias("pos", "edge"))
+    rows = rows.withColumns({"a": F.get("nodes", F.col("pos")), "b": F.get("nodes", F.col("pos") + 1)}).drop("nodes")
     return rows.join(edges, rows.edge == edges.id)
 
 
@@ -120,19 +180,32 @@ def summary(rows: DataFrame) -> DataFrame:
             "accessibility_score": F.when(F.col("graded_m").isNotNull(), F.col("graded_points") / at_least_one).otherwise(ungraded),
             "verified_percent": F.when(F.col("distance_m") > 0, F.col("verified_m") / F.col("distance_m") * 100).otherwise(100.0),
             "compliant_percent": F.try_divide("compliant_m", "distance_m") * 100,
+            "graded": F.col("graded_m").isNotNull(),
         }
     ).drop("graded_m", "graded_points")
 
 
 def explanation() -> Column:
-    """What a summary (with mode and night) tells the traveller, in order."""
+    """What a summary tells the traveller, in order.
+
+    Beside the summary's columns: mode, night, snap_from and snap_to (metres from the doors to the
+    network), avoided (number of edges) and hazards (whether any applies).
+    """
     percent = lambda part: F.round(F.col(part) / F.greatest(F.col("distance_m"), F.lit(1.0)) * 100, 0).cast("int").cast("string")
+    gap = lambda c, end: F.when(
+        F.col(c) > 40, F.concat(F.lit("Paths end "), F.round(c, 0).cast("int").cast("string"), F.lit(f" m from the {end}"))
+    )
     return F.array_compact(
         F.array(
             F.concat(F.lit("Costs for "), "mode", F.lit(" by "), F.when(F.col("night"), "night").otherwise("day")),
             F.when(F.col("mode") == "wheelchair", "Stairs and raised curbs are excluded"),
             F.when(F.col("shortcut_m") > 0, F.concat(F.lit("Crosses open lawn: "), F.array_join("shortcut_spaces", ", "))),
+            gap("snap_from", "start"),
+            gap("snap_to", "end"),
+            F.when(F.col("graded"), F.concat(F.lit("Surveyed as fully compliant: "), percent("compliant_m"), F.lit("%"))),
             F.when(F.col("unknown_m") > 0, F.concat(percent("unknown_m"), F.lit("% lacks a reading"))),
+            F.when(F.col("avoided") > 0, F.concat(F.lit("Edges left out on request: "), F.col("avoided").cast("string"))),
+            F.when(F.col("hazards"), "Hazards on the way raise its cost"),
             F.when(F.col("verified_m") < F.col("distance_m"), "Unverified segments are disclosed"),
             F.when(F.col("night"), "Lighting weighs more at night"),
         )
@@ -177,14 +250,19 @@ def instruction(kind: Column, name: Column, heading: Column, risers: Column) ->
     )
 
 
-def steps(rows: DataFrame, *, by: str = "search", order: str = "pos") -> DataFrame:
-    """Runs of adjacent segments of the same kind and name become one step."""
+def _islands(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """Numbers the runs of adjacent segments of the same kind and name: ``step``."""
     along = Window.partitionBy(by).orderBy(order)
     changed = ~(F.col("kind").eqNullSafe(F.lag("kind").over(along)) & F.col("name").eqNullSafe(F.lag("name").over(along)))
     first = F.row_number().over(along) == 1
     island = F.sum((changed | first).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("step", island)
+
+
+def steps(rows: DataFrame, *, by: str = "search", order: str = "pos") -> DataFrame:
+    """Runs of adjacent segments of the same kind and name become one step."""
     return (
-        rows.withColumn("step", island)
+        _islands(rows, by, order)
         .groupBy(by, "step")
         .agg(
             F.sum("distance_m").alias("distance_m"),
@@ -196,3 +274,23 @@ def steps(rows: DataFrame, *, by: str = "search", order: str = "pos") -> DataFra
             F.count(F.lit(1)).alias("segments"),
         )
     )
+
+
+def guided(rows: DataFrame, nodes: DataFrame, *, by: str = "search", order: str = "pos") -> DataFrame:
+    """Steps with their first and last node, an instruction and the cautions of their edges, each once, in order.
+
+    rows: as of ``route_edges``, with ``night``.
+    """
+    told = rows.withColumn("told", cautions(F.col("night")))
+    each = _islands(told, by, order)
+    more = each.groupBy(by, "step").agg(
+        F.min_by("a", order).alias("from_node"),
+        F.max_by("b", order).alias("to_node"),
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "told"))).alias("all"),
+    )
+    more = more.withColumn("cautions", F.array_distinct(F.flatten(F.transform("all", lambda x: x["told"])))).drop("all")
+    spot = lambda c, p: nodes.select(F.col("id").alias(c), F.col("latitude").alias(f"{p}lat"), F.col("longitude").alias(f"{p}lng"))
+    found = steps(rows, by=by, order=order).join(more, [by, "step"]).join(spot("from_node", "a_"), "from_node").join(spot("to_node", "b_"), "to_node")
+    heading = direction(F.col("b_lng") - F.col("a_lng"), F.col("b_lat") - F.col("a_lat"))
+    told = instruction(F.col("kind"), F.col("name"), heading, F.col("risers"))
+    return found.withColumn("instruction", told).drop("a_lat", "a_lng", "b_lat", "b_lng")

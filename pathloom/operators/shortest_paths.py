@@ -80,13 +80,19 @@ def cheapest_paths(arcs: DataFrame, sources: DataFrame, targets: DataFrame | Non
 
 
 def paths_back(ends: DataFrame, found: DataFrame) -> DataFrame:
-    """``ends`` (search, node and any others) with the edges from a source in order; found: rows of ``cheapest_paths``."""
+    """``ends`` (search, node and any others) with ``path``, the edges from a source in order, and ``nodes``, one more than edges.
+
+    found: rows of ``cheapest_paths``.
+    """
     steps = found.select("search", F.col("node").alias("at"), F.col("edge").alias("_edge"), F.col("prev").alias("_prev"))
-    rows = ends.select("*", F.col("node").alias("at"), F.array().cast("array<long>").alias("path"))
+    rows = ends.select("*", F.col("node").alias("at"), F.array().cast("array<long>").alias("path"), F.array("node").alias("nodes"))
     while True:
         for _ in range(HOPS):
-            longer = F.when(F.col("_edge").isNotNull(), F.concat(F.array("_edge"), F.col("path"))).otherwise(F.col("path"))
-            rows = rows.join(steps, ["search", "at"], "left").select(*ends.columns, F.col("_prev").alias("at"), longer.alias("path"))
+            longer = [
+                F.when(F.col("_edge").isNotNull(), F.concat(F.array(new), F.col(c))).otherwise(F.col(c)).alias(c)
+                for new, c in (("_edge", "path"), ("_prev", "nodes"))
+            ]
+            rows = rows.join(steps, ["search", "at"], "left").select(*ends.columns, F.col("_prev").alias("at"), *longer)
         rows = stage(rows, "back")
         if not rows.where(F.col("at").isNotNull()).limit(1).count():
             return rows.drop("at")

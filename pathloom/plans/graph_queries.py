@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import cost as C
 from pathloom.functions import geo
+from pathloom.functions.text import OFFLINE_STOPWORDS
 from pathloom.operators import etl, lifecycle, places, routing
 from pathloom.operators.components import connected_components
 from pathloom.operators.nearest import nearest, within
 from pathloom.operators.shortest_paths import cheapest_paths
 from pathloom.plans.registry import query
-from pathloom.plans.scalar_queries import APPLIES_SQL, BLOCKED_SQL, COST_SQL, DIRECTION_SQL, HAVERSINE_SQL, close
+from pathloom.plans.scalar_queries import (
+    APPLIES_SQL, BLOCKED_SQL, CAUTIONS_SQL, COST_SQL, DIRECTION_SQL, ENDS_SQL, HAVERSINE_SQL, INSTRUCTION_SQL, close, ends,
+)
+from pathloom.plans.staging import stage
 from pathloom.plans.views import Graph
 from pathloom.streaming import live
 
@@ -80,13 +84,13 @@ s AS (SELECT DISTINCT request, mode, night, smarter AND mode = 'walking' AS shor
   WHERE mode NOT IN ('wheelchair', 'scooter') OR step_free OR NOT any_free),
 t AS (SELECT DISTINCT request, node_id AS node FROM g_requests JOIN doors ON place_id = end_place
   WHERE mode NOT IN ('wheelchair', 'scooter') OR step_free OR NOT any_free),
-d(request, node, mode, night, shortcuts, cost, path) USING KEY (request, node) AS (
-  SELECT request, node, mode, night, shortcuts, CAST(0 AS DOUBLE), CAST([] AS BIGINT[]) FROM s
-  UNION SELECT d.request, a.dst, d.mode, d.night, d.shortcuts, min(d.cost + a.cost), arg_min(list_append(d.path, a.edge), d.cost + a.cost)
+d(request, node, mode, night, shortcuts, cost, path, nodes) USING KEY (request, node) AS (
+  SELECT request, node, mode, night, shortcuts, CAST(0 AS DOUBLE), CAST([] AS BIGINT[]), [node] FROM s
+  UNION SELECT d.request, a.dst, d.mode, d.night, d.shortcuts, min(d.cost + a.cost), arg_min(list_append(d.path, a.edge), d.cost + a.cost), arg_min(list_append(d.nodes, a.dst), d.cost + a.cost)
   FROM d JOIN arcs a ON a.src = d.node AND a.mode = d.mode AND a.night = d.night AND a.shortcuts = d.shortcuts
   LEFT JOIN recurring.d AS r ON r.request = d.request AND r.node = a.dst
   WHERE d.cost + a.cost < coalesce(r.cost, CAST('infinity' AS DOUBLE)) GROUP BY d.request, a.dst, d.mode, d.night, d.shortcuts),
-best AS (SELECT request, arg_min(node, cost) AS node, min(cost) AS cost, arg_min(path, cost) AS path FROM d JOIN t USING (request, node) GROUP BY request)"""
+best AS (SELECT request, arg_min(node, cost) AS node, min(cost) AS cost, arg_min(path, cost) AS path, arg_min(nodes, cost) AS nodes FROM d JOIN t USING (request, node) GROUP BY request)"""
 
 
 def found_routes(g: Graph) -> DataFrame:
@@ -121,19 +125,67 @@ def route_summaries(g: Graph) -> DataFrame:
     )
 
 
-@query(ROUTES_SQL + """, r AS (SELECT b.request, b.pos, e.* FROM (SELECT request, unnest(path) AS edge, generate_subscripts(path, 1) AS pos FROM best) b JOIN g_edges e ON e.id = b.edge),
+@query(ROUTES_SQL + f""", r AS (SELECT b.request, b.night, b.pos, b.a, b.b, e.* FROM (SELECT best.request, q.night, unnest(path) AS edge, generate_subscripts(path, 1) AS pos, nodes[pos] AS a, nodes[pos + 1] AS b
+  FROM best JOIN g_requests q ON q.request = best.request) b JOIN g_edges e ON e.id = b.edge),
 f AS (SELECT *, CASE WHEN kind IS NOT DISTINCT FROM lag(kind) OVER w AND name IS NOT DISTINCT FROM lag(name) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS fresh FROM r WINDOW w AS (PARTITION BY request ORDER BY pos)),
-st AS (SELECT *, sum(fresh) OVER (PARTITION BY request ORDER BY pos) AS step FROM f)
-SELECT CAST(request AS INT) AS request, CAST(step AS BIGINT) AS step, first(id ORDER BY pos) AS edge_id, first(kind) AS kind, first(name) AS name, round(sum(distance_m), 6) AS distance_m,
-CAST(sum(CASE WHEN stairs THEN riser_count ELSE 0 END) AS BIGINT) AS risers, count(*) AS segments FROM st GROUP BY request, step""")
+st AS (SELECT *, sum(fresh) OVER (PARTITION BY request ORDER BY pos) AS step FROM f),
+cc AS (SELECT request, step, c, min(pos * 10 + k) AS o FROM (SELECT request, step, pos, unnest([1, 2, 3, 4, 5, 6]) AS k, unnest({CAUTIONS_SQL}) AS c FROM st) WHERE c IS NOT NULL GROUP BY request, step, c),
+cs AS (SELECT request, step, string_agg(c, '; ' ORDER BY o) AS cautions FROM cc GROUP BY request, step),
+g AS (SELECT request, step, arg_min(id, pos) AS edge_id, first(kind) AS kind, first(name) AS name, round(sum(distance_m), 6) AS distance_m,
+  CAST(sum(CASE WHEN stairs THEN riser_count ELSE 0 END) AS BIGINT) AS risers, count(*) AS segments, arg_min(a, pos) AS from_node, arg_max(b, pos) AS to_node FROM st GROUP BY request, step),
+h AS (SELECT g.*, {DIRECTION_SQL.replace("lng1", "m.longitude").replace("lng2", "n.longitude").replace("lat1", "m.latitude").replace("lat2", "n.latitude")} AS heading
+  FROM g JOIN g_nodes m ON m.id = g.from_node JOIN g_nodes n ON n.id = g.to_node)
+SELECT CAST(h.request AS INT) AS request, CAST(h.step AS BIGINT) AS step, edge_id, kind, name, distance_m, risers, segments, from_node, to_node,
+  coalesce(cautions, '') AS cautions, {INSTRUCTION_SQL.replace("riser_count", "risers")} AS instruction FROM h LEFT JOIN cs ON cs.request = h.request AND cs.step = h.step""")
 def route_steps(g: Graph) -> DataFrame:
-    s = routing.steps(routing.route_edges(found_routes(g), g.edges))
+    asked = g.requests.select(F.col("request").alias("search"), "night")
+    s = routing.guided(routing.route_edges(found_routes(g), g.edges).join(asked, "search"), g.nodes)
     return s.select(
-        F.col("search").cast("int").alias("request"), F.col("step").cast("long"), "edge_id", "kind", "name",
-        close("distance_m").alias("distance_m"), F.col("risers").cast("long"), "segments",
+        F.col("search").cast("int").alias("request"), F.col("step").cast("long"), "edge_id", "kind", "name", close("distance_m").alias("distance_m"),
+        F.col("risers").cast("long"), "segments", "from_node", "to_node", F.array_join("cautions", "; ").alias("cautions"), "instruction",
     )
 
 
+VERIFIED_SQL = """h AS (SELECT place_id, list(DISTINCT node_id) AS nodes FROM g_doors GROUP BY place_id),
+v AS (SELECT id, from_node, to_node, from_place, to_place FROM g_edges WHERE source = 'admin' AND published AND NOT closed),
+ask AS (SELECT request, start_place, end_place, x.nodes AS s, y.nodes AS t FROM {} JOIN h x ON x.place_id = start_place JOIN h y ON y.place_id = end_place WHERE start_place <> end_place),
+ver AS (SELECT DISTINCT request, v.id AS edge, CASE WHEN from_place = start_place AND to_place = end_place OR (list_contains(s, from_node) AND list_contains(t, to_node)) THEN FALSE ELSE TRUE END AS backwards
+FROM ask JOIN v ON (from_place = start_place AND to_place = end_place) OR (from_place = end_place AND to_place = start_place)
+ OR (list_contains(s, from_node) AND list_contains(t, to_node)) OR (list_contains(t, from_node) AND list_contains(s, to_node)))"""
+
+
+@query(ROUTES_SQL + ", " + VERIFIED_SQL.format("g_requests") + """,
+shut AS (SELECT from_node AS node, space FROM g_edges WHERE closed UNION ALL SELECT to_node, space FROM g_edges WHERE closed),
+un AS (SELECT request, coalesce(min(nullif(space, '')), 'construction') AS closure FROM (SELECT request, node FROM s UNION SELECT request, node FROM t) JOIN shut USING (node) GROUP BY request),
+first AS (SELECT request, min(edge) AS edge FROM ver GROUP BY request)
+SELECT CAST(q.request AS INT) AS request, CASE WHEN first.edge IS NOT NULL THEN 'verified' WHEN best.path IS NOT NULL THEN 'route' ELSE 'unreachable' END AS outcome,
+array_to_string(CASE WHEN first.edge IS NOT NULL THEN [first.edge] ELSE best.path END, '-') AS path,
+CASE WHEN first.edge IS NULL AND best.path IS NULL THEN un.closure END AS closure
+FROM g_requests q LEFT JOIN best ON best.request = q.request LEFT JOIN first ON first.request = q.request LEFT JOIN un ON un.request = q.request""")
+def route_outcomes(g: Graph) -> DataFrame:
+    """Every request: its verified path, its route, or what closes it off."""
+    found = stage(found_routes(g), "found")
+    rows = routing.outcomes(g.requests, found, routing.verified_routes(g.requests, g.doors, g.edges), routing.unreached(g.requests, found, g.doors, g.edges))
+    path = F.array_join(F.transform("path", lambda x: x.cast("string")), "-")
+    return rows.select(F.col("request").cast("int"), "outcome", path.alias("path"), "closure")
+
+
+AVOID_SQL = ROUTES_SQL.replace("WHERE e.kind <> 'shortcut' OR pr.shortcuts)", """WHERE (e.kind <> 'shortcut' OR pr.shortcuts)
+  AND e.id NOT IN (SELECT edge_id FROM g_hazards WHERE severity = 3 AND active AND edge_id IS NOT NULL))""").replace(
+    "ON a.src = d.node AND", "ON a.src = d.node AND a.edge % 10 <> d.request % 10 AND")
+
+
+@query(AVOID_SQL + " SELECT CAST(request AS INT) AS request, node, cost, array_to_string(path, '-') AS path FROM best")
+def routes_avoiding(g: Graph) -> DataFrame:
+    """Routes without a tenth of the edges, another one for each request, and without those of the worst hazards."""
+    asked = g.requests.select(F.col("request").alias("search"))
+    chosen = asked.crossJoin(g.hazards.where("severity = 3 AND active").select(F.col("id").alias("hazard")))
+    tenth = g.edges.select(F.col("id").alias("edge"), (F.col("id") % 10).alias("k")).join(asked.withColumn("k", (F.col("search") % 10).cast("long")), "k")
+    avoid = routing.avoided(chosen, g.hazards).unionByName(tenth.select("search", "edge")).distinct()
+    found = routing.routes(g.edges, g.hazards, g.doors, g.requests, avoid)
+    return found.select(F.col("search").cast("int").alias("request"), "node", "cost", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
+
+
 def undirected(g: Graph) -> DataFrame:
     return g.edges.where("NOT closed AND published").select(F.col("from_node").alias("src"), F.col("to_node").alias("dst"))
 
@@ -231,31 +283,13 @@ def hazards_on_published(g: Graph) -> DataFrame:
     return g.hazards.join(g.edges.where("published").select(F.col("id").alias("edge_id")), "edge_id", "left_semi").select("id", "title")
 
 
-@query("""WITH d AS (SELECT place_id, list(DISTINCT node_id) AS nodes FROM g_doors GROUP BY place_id),
-v AS (SELECT id, from_node, to_node, from_place, to_place FROM g_edges WHERE source = 'admin' AND published AND NOT closed),
-q AS (SELECT id AS request, from_place AS start_place, (from_place + id % 3 + 36) % 100 AS end_place FROM g_edges WHERE from_place IS NOT NULL),
-p AS (SELECT request, start_place, end_place, s.nodes AS s, t.nodes AS t FROM q JOIN d s ON s.place_id = start_place JOIN d t ON t.place_id = end_place WHERE start_place <> end_place)
-SELECT DISTINCT request, v.id AS edge, CASE WHEN from_place = start_place AND to_place = end_place OR (list_contains(s, from_node) AND list_contains(t, to_node)) THEN FALSE ELSE TRUE END AS backwards
-FROM p JOIN v ON (from_place = start_place AND to_place = end_place) OR (from_place = end_place AND to_place = start_place)
- OR (list_contains(s, from_node) AND list_contains(t, to_node)) OR (list_contains(t, from_node) AND list_contains(s, to_node))""")
+@query("WITH " + VERIFIED_SQL.format("(SELECT id AS request, from_place AS start_place, (from_place + id % 3 + 36) % 100 AS end_place FROM g_edges WHERE from_place IS NOT NULL)") + " SELECT request, edge, backwards FROM ver")
 def verified_paths(g: Graph) -> DataFrame:
     """Requests that an admin path serves as it is: same two places, or doors at both its ends."""
-    held = g.doors.groupBy("place_id").agg(F.collect_set("node_id").alias("nodes"))
-    side = lambda c, n: held.select(F.col("place_id").alias(c), F.col("nodes").alias(n))
     asked = g.edges.where("from_place IS NOT NULL").select(
         F.col("id").alias("request"), F.col("from_place").alias("start_place"), ((F.col("from_place") + F.col("id") % 3 + 36) % 100).alias("end_place")
     )
-    asked = asked.where("start_place <> end_place").join(side("start_place", "s"), "start_place").join(side("end_place", "t"), "end_place")
-    path = g.edges.where("source = 'admin' AND published AND NOT closed").select(F.col("id").alias("edge"), "from_node", "to_node", "from_place", "to_place")
-    keyed = path.withColumn("ends", F.array_sort(F.array("from_place", "to_place")))
-    by_place = asked.withColumn("ends", F.array_sort(F.array("start_place", "end_place"))).join(keyed, "ends").drop("ends")
-    doors = asked.withColumn("near", F.explode(F.array_union("s", "t")))
-    by_door = doors.join(path.withColumn("near", F.col("from_node")), "near").drop("near")
-    has = lambda a, n: F.array_contains(a, F.col(n))
-    by_door = by_door.where((has("s", "from_node") & has("t", "to_node")) | (has("t", "from_node") & has("s", "to_node")))
-    forth = ((F.col("from_place") == F.col("start_place")) & (F.col("to_place") == F.col("end_place"))) | (has("s", "from_node") & has("t", "to_node"))
-    rows = by_place.unionByName(by_door)
-    return rows.select("request", "edge", (~F.coalesce(forth, F.lit(False))).alias("backwards")).distinct()
+    return routing.verified_routes(asked, g.doors, g.edges)
 
 
 QUERY_VALUES = """(VALUES (0, 'Supplier#000000004'), (1, 'supplier#00000001'), (2, 'hall 1'), (3, 'the nation hall'), (4, '7'), (5, 'Supplier 000000021 building'), (6, 'xyzzy'), (7, 'Hall 1_')) q(query, value)"""
@@ -415,10 +449,11 @@ def door_buildings(g: Graph) -> DataFrame:
     return etl.door_buildings(doors, zones(g))
 
 
-@query()
+@query(f"""WITH {HELD_SQL} SELECT CAST(zone AS INT) AS zone, CAST(id AS VARCHAR) AS id, 'entrance' AS kind FROM held WHERE zone = 0
+UNION ALL SELECT zone, NULL, 'centre' FROM {ZONES_SQL} WHERE zone <> 0""")
 def place_points(g: Graph) -> DataFrame:
     held = etl.containing(spots(g), zones(g).drop("title").where("zone = 0")).select("zone", "id", "x", "y")
-    return etl.place_points(zones(g), held)
+    return etl.place_points(zones(g), held).select("zone", "id", "kind")
 
 
 @query(ROUTES_SQL + """ SELECT CAST(r.request AS INT) AS request, h.id AS hazard, h.severity FROM (SELECT request, unnest(path) AS edge FROM best) r JOIN g_hazards h ON h.edge_id = r.edge AND h.active""")
@@ -428,26 +463,105 @@ def route_hazards(g: Graph) -> DataFrame:
     return on.join(g.hazards.where("active"), "edge_id").select(F.col("search").cast("int").alias("request"), F.col("id").alias("hazard"), "severity")
 
 
-@query()
+EXPLAIN_SQL = ROUTES_SQL + f""", r AS (SELECT b.request, e.* FROM (SELECT request, unnest(path) AS edge FROM best) b JOIN g_edges e ON e.id = b.edge),
+m AS (SELECT request, sum(distance_m) AS d, sum(CASE WHEN kind = 'shortcut' THEN distance_m ELSE 0 END) AS shortcut_m,
+  coalesce(array_to_string(list_sort(list(DISTINCT space) FILTER (WHERE kind = 'shortcut' AND space IS NOT NULL)), ', '), '') AS spaces, count(grade) > 0 AS graded,
+  sum(CASE WHEN grade = 'FullyCompliant' THEN distance_m ELSE 0 END) AS compliant_m, sum(CASE WHEN verified THEN distance_m ELSE 0 END) AS verified_m,
+  sum(CASE WHEN slope IS NULL OR safety IS NULL OR surface IS NULL OR roughness IS NULL OR lit IS NULL THEN distance_m ELSE 0 END) AS unknown_m FROM r GROUP BY request),
+x AS (SELECT r.request, bool_or({APPLIES_SQL}) AS hazards FROM r JOIN g_hazards hz ON hz.edge_id = r.id AND hz.active JOIN g_requests q ON q.request = r.request GROUP BY r.request)
+SELECT CAST(q.request AS INT) AS request, array_to_string(list_filter([concat('Costs for ', mode, ' by ', CASE WHEN night THEN 'night' ELSE 'day' END),
+ CASE WHEN mode = 'wheelchair' THEN 'Stairs and raised curbs are excluded' END, CASE WHEN shortcut_m > 0 THEN concat('Crosses open lawn: ', spaces) END,
+ CASE WHEN a.snap_m > 40 THEN concat('Paths end ', CAST(CAST(round(a.snap_m) AS INT) AS VARCHAR), ' m from the start') END,
+ CASE WHEN b.snap_m > 40 THEN concat('Paths end ', CAST(CAST(round(b.snap_m) AS INT) AS VARCHAR), ' m from the end') END,
+ CASE WHEN graded THEN concat('Surveyed as fully compliant: ', CAST(CAST(round(compliant_m / greatest(d, 1) * 100) AS INT) AS VARCHAR), '%') END,
+ CASE WHEN unknown_m > 0 THEN concat(CAST(CAST(round(unknown_m / greatest(d, 1) * 100) AS INT) AS VARCHAR), '% lacks a reading') END,
+ CASE WHEN hazards THEN 'Hazards on the way raise its cost' END, CASE WHEN verified_m < d THEN 'Unverified segments are disclosed' END,
+ CASE WHEN night THEN 'Lighting weighs more at night' END], lambda v: v IS NOT NULL), '; ') AS explanation
+FROM m JOIN g_requests q ON q.request = m.request JOIN best ON best.request = m.request LEFT JOIN x ON x.request = m.request
+JOIN (SELECT place_id, node_id, min(snap_m) AS snap_m FROM g_doors GROUP BY place_id, node_id) a ON a.place_id = q.start_place AND a.node_id = best.nodes[1]
+JOIN (SELECT place_id, node_id, min(snap_m) AS snap_m FROM g_doors GROUP BY place_id, node_id) b ON b.place_id = q.end_place AND b.node_id = best.node"""
+
+
+@query(EXPLAIN_SQL)
 def route_explanations(g: Graph) -> DataFrame:
-    s = routing.summary(routing.route_edges(found_routes(g), g.edges))
-    asked = g.requests.select(F.col("request").alias("search"), "mode", "night")
-    return s.join(asked, "search").select(F.col("search").alias("request"), routing.explanation().alias("explanation"))
+    found = stage(found_routes(g), "found")
+    rows = routing.route_edges(found, g.edges)
+    asked = g.requests.select(F.col("request").alias("search"), "mode", "night", "start_place", "end_place")
+    met = found.select("search", F.col("node").alias("last"), F.get("nodes", F.lit(0)).alias("first")).join(asked, "search")
+    gap = g.doors.groupBy("place_id", "node_id").agg(F.min("snap_m").alias("snap_m"))
+    for place, node, name in (("start_place", "first", "snap_from"), ("end_place", "last", "snap_to")):
+        met = met.join(gap.select(F.col("place_id").alias(place), F.col("node_id").alias(node), F.col("snap_m").alias(name)), [place, node])
+    on = rows.select("search", F.col("id").alias("edge_id")).join(g.hazards.where("active"), "edge_id").join(asked.select("search", "night"), "search")
+    on = on.groupBy("search").agg(F.bool_or(C.hazard_applies(F.col("active_when"), F.col("night"))).alias("hazards"))
+    s = routing.summary(rows).join(met, "search").join(on, "search", "left").withColumn("avoided", F.lit(0))
+    return s.select(F.col("search").cast("int").alias("request"), F.array_join(routing.explanation(), "; ").alias("explanation"))
 
 
-@query()
+def written(lng: str, lat: str) -> F.Column:
+    """A position as whole hundred-thousandths of a degree."""
+    part = lambda c: F.round(F.col(c) * 100000, 0).cast("long").cast("string")
+    return F.concat_ws(" ", part(lng), part(lat))
+
+
+WRITTEN_SQL = "concat(CAST(CAST(round({} * 100000) AS BIGINT) AS VARCHAR), ' ', CAST(CAST(round({} * 100000) AS BIGINT) AS VARCHAR))".format
+
+
+@query(ROUTES_SQL + f""" SELECT CAST(request AS INT) AS request, string_agg({WRITTEN_SQL("n.longitude", "n.latitude")}, ',' ORDER BY k) AS geometry
+FROM (SELECT request, unnest(nodes) AS node, generate_subscripts(nodes, 1) AS k FROM best) p JOIN g_nodes n ON n.id = p.node GROUP BY request""")
 def route_geometry(g: Graph) -> DataFrame:
-    """The vertices of each route in travel order, joints once, as [lng, lat]."""
-    rows = routing.route_edges(found_routes(g), g.edges).select("search", "pos", "id", "from_node", "to_node")
-    along = Window.partitionBy("search").orderBy("pos")
-    after, before = F.lead(F.array("from_node", "to_node")).over(along), F.lag(F.array("from_node", "to_node")).over(along)
-    # An edge runs backwards if its start touches the next edge, or for the last one if its end touches the one before.
-    back = F.when(after.isNotNull(), F.array_contains(after, F.col("from_node")) & ~F.array_contains(after, F.col("to_node"))).otherwise(
-        F.coalesce(F.array_contains(before, F.col("to_node")) & ~F.array_contains(before, F.col("from_node")), F.lit(False))
-    )
-    rows = rows.withColumn("back", back)
-    a, b = F.when(F.col("back"), F.col("to_node")).otherwise(F.col("from_node")), F.when(F.col("back"), F.col("from_node")).otherwise(F.col("to_node"))
-    points = rows.where("pos = 0").select("search", F.lit(-1).alias("pos"), a.alias("node")).unionByName(rows.select("search", "pos", b.alias("node")))
-    placed = points.join(g.nodes.select(F.col("id").alias("node"), "longitude", "latitude"), "node")
-    line = F.array_sort(F.collect_list(F.struct("pos", F.array("longitude", "latitude").alias("p"))))
-    return placed.groupBy(F.col("search").alias("request")).agg(F.transform(line, lambda x: x["p"]).alias("geometry"))
+    """The vertices of each route in travel order, joints once."""
+    spots = found_routes(g).select("search", F.posexplode("nodes").alias("k", "id")).join(g.nodes, "id")
+    line = F.array_sort(F.collect_list(F.struct("k", written("longitude", "latitude").alias("p"))))
+    return spots.groupBy(F.col("search").cast("int").alias("request")).agg(F.array_join(F.transform(line, lambda x: x["p"]), ",").alias("geometry"))
+
+
+@query(f"""SELECT id, CASE WHEN id % 3 < 2 THEN concat(a, ',', b) WHEN id % 2 = 0 THEN concat(b, ',', m, ',', a) ELSE concat(a, ',', m, ',', b) END AS line FROM (
+SELECT id, {WRITTEN_SQL("lng1", "lat1")} AS a, {WRITTEN_SQL("lng2", "lat2")} AS b, {WRITTEN_SQL("((lng1 + lng2) / 2 + 0.0001::DOUBLE)", "((lat1 + lat2) / 2 + 0.0001::DOUBLE)")} AS m FROM ({ENDS_SQL}))""")
+def edge_lines(g: Graph) -> DataFrame:
+    """Edges' drawn lines, latitude first in the text, in travel order; edges without a drawing have their ends."""
+    k, middle = F.col("id"), lambda a, b: (F.col(a) + F.col(b)) / 2 + 0.0001
+    pair = lambda lat, lng: F.concat(F.lit("["), lat.cast("string"), F.lit(","), lng.cast("string"), F.lit("]"))
+    drawn = F.concat(F.lit("["), pair(F.col("lat1"), F.col("lng1")), F.lit(","), pair(middle("lat1", "lat2"), middle("lng1", "lng2")), F.lit(","), pair(F.col("lat2"), F.col("lng2")), F.lit("]"))
+    rows = ends(g).withColumn("geometry", F.when(k % 3 == 1, "[]").when(k % 3 == 2, drawn))
+    line = geo.edge_line(F.col("geometry"), k % 2 == 0, F.col("lng1"), F.col("lat1"), F.col("lng2"), F.col("lat2"))
+    part = lambda x: F.round(x * 100000, 0).cast("long").cast("string")
+    return rows.select("id", F.array_join(F.transform(line, lambda p: F.concat_ws(" ", part(p[0]), part(p[1]))), ",").alias("line"))
+
+
+@query(f"""SELECT id, CASE WHEN id % 2 = 0 THEN 3 ELSE 2 END AS points FROM ({ENDS_SQL})""")
+def drawn_to_doors(g: Graph) -> DataFrame:
+    """Points of drawn lines that begin 17 m or 4 m beside the door of their start."""
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    a, b = point(F.col("lng1"), F.col("lat1")), point(F.col("lng2"), F.col("lat2"))
+    begin = point(F.col("lng1") + F.when(F.col("id") % 2 == 0, 0.0002).otherwise(0.00005), F.col("lat1"))
+    return ends(g).select("id", F.size(geo.joined_to_doors(F.array(begin, b), a, b)).alias("points"))
+
+
+@query("""SELECT id, CASE WHEN id % 4 <> 0 THEN label END AS label, CASE WHEN id % 4 <> 0 THEN kind END AS kind, CASE WHEN id % 4 <> 0 THEN step_free END AS step_free FROM g_doors""")
+def door_cards(g: Graph) -> DataFrame:
+    """What a traveller is told of a door; a bare node is none."""
+    kind = F.when(F.col("id") % 4 == 0, "node").otherwise(F.col("kind"))
+    return g.doors.withColumn("kind", kind).select("id", places.door_card().alias("card")).select("id", "card.*")
+
+
+@query("SELECT id, name FROM g_places WHERE contains(lower(name), '#00000001') OR contains(lower(name), '7')")
+def titled_places(g: Graph) -> DataFrame:
+    return g.places.where(places.contains_any(F.col("name"), ["#00000001", "7"])).select("id", "name")
+
+
+RESOLVE_VALUES = ["Supplier 000000004", "hall 3", "lawn 000000002", "the 000000017 supplier", "0000000", "  ", "nowhere"]
+PLAIN_SQL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))".format
+
+
+@query(f"""WITH v AS (SELECT k AS query, {PLAIN_SQL("value")} AS q FROM (SELECT unnest(range(0, {len(RESOLVE_VALUES)})) AS k, unnest({RESOLVE_VALUES}) AS value)),
+p AS (SELECT id, name, {PLAIN_SQL("name")} AS n, CASE WHEN category <> 'lawn' THEN {PLAIN_SQL("alias")} END AS a FROM g_places),
+h AS (SELECT query, id, name, CASE WHEN n = q THEN 1 WHEN coalesce(a = q, FALSE) THEN 2 WHEN contains(n, q) THEN 3
+ WHEN len(list_filter(string_split(q, ' '), lambda w: w NOT IN ({", ".join(f"'{w}'" for w in OFFLINE_STOPWORDS)}))) > 0
+  AND len(list_filter(string_split(q, ' '), lambda w: w NOT IN ({", ".join(f"'{w}'" for w in OFFLINE_STOPWORDS)}) AND NOT contains(n, w))) = 0 THEN 4 END AS tier FROM v, p WHERE q <> ''),
+b AS (SELECT *, min(tier) OVER (PARTITION BY query) AS best FROM h WHERE tier IS NOT NULL)
+SELECT CAST(query AS INT) AS query, CAST(min(tier) AS INT) AS tier, count(*) AS hits, CASE WHEN count(*) = 1 OR min(tier) <= 2 THEN min(id) END AS place_id FROM b WHERE tier = best GROUP BY query""")
+def resolved_places(g: Graph) -> DataFrame:
+    """The offline resolver: normalised names, then aliases of what is no lawn, then parts and words of names."""
+    asked = g.spark.createDataFrame(list(enumerate(RESOLVE_VALUES)), "query int, value string")
+    table = g.places.withColumn("alias", F.when(F.col("category") != "lawn", F.col("alias")))
+    return places.resolve(asked, table)

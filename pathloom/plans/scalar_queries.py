@@ -153,23 +153,25 @@ def gps_values(g: Graph) -> DataFrame:
 DIRECTION_SQL = """CASE WHEN abs(lng2 - lng1) > abs(lat2 - lat1) THEN CASE WHEN lng2 > lng1 THEN 'east' ELSE 'west' END
  WHEN lat2 > lat1 THEN 'north' ELSE 'south' END"""
 NOUNS_SQL = ", ".join(f"'{n}'" for n in routing.COMMON_NOUNS)
-
-
-@query(f"""WITH r AS (SELECT e.id, e.kind, e.name, e.riser_count, {DIRECTION_SQL} AS heading FROM g_edges e JOIN ({ENDS_SQL}) x ON x.id = e.id)
-SELECT id, heading, CASE WHEN kind = 'shortcut' THEN concat('Cut ', heading, ' across ', coalesce(name, 'the lawn'))
+INSTRUCTION_SQL = f"""CASE WHEN kind = 'shortcut' THEN concat('Cut ', heading, ' across ', coalesce(name, 'the lawn'))
  WHEN kind = 'stairs' THEN concat('Take the steps ', heading, CASE WHEN riser_count > 0 THEN concat(' (', CAST(riser_count AS VARCHAR), ' steps)') ELSE '' END)
  WHEN kind = 'ramp' THEN concat('Follow the ramp ', heading)
  WHEN kind = 'indoor' THEN CASE WHEN name IS NOT NULL THEN concat('Go ', heading, ' through ', name) ELSE concat('Continue ', heading, ' indoors') END
  WHEN name IS NOT NULL THEN concat('Head ', heading, ' along the ', CASE WHEN name IN ({NOUNS_SQL}) THEN lower(name) ELSE name END)
- ELSE concat('Head ', heading) END AS instruction FROM r""")
+ ELSE concat('Head ', heading) END"""
+CAUTIONS_SQL = """[CASE WHEN stairs THEN 'stairs' END, CASE WHEN curb THEN 'unlowered curb' END,
+CASE WHEN roughness >= 0.4 THEN 'rough surface' END, CASE WHEN night AND lit IS NOT DISTINCT FROM FALSE THEN 'unlit at night' END,
+CASE WHEN grade = 'NonCompliant' THEN 'may have travel hazards' END, CASE WHEN kind = 'shortcut' THEN 'crosses open lawn' END]"""
+
+
+@query(f"""WITH r AS (SELECT e.id, e.kind, e.name, e.riser_count, {DIRECTION_SQL} AS heading FROM g_edges e JOIN ({ENDS_SQL}) x ON x.id = e.id)
+SELECT id, heading, {INSTRUCTION_SQL} AS instruction FROM r""")
 def edge_instructions(g: Graph) -> DataFrame:
     rows = ends(g).withColumn("heading", routing.direction(F.col("lng2") - F.col("lng1"), F.col("lat2") - F.col("lat1")))
     return rows.select("id", "heading", routing.instruction(F.col("kind"), F.col("name"), F.col("heading"), F.col("riser_count")).alias("instruction"))
 
 
-@query(f"""SELECT id, night, array_to_string(list_filter([CASE WHEN stairs THEN 'stairs' END, CASE WHEN curb THEN 'unlowered curb' END,
-CASE WHEN roughness >= 0.4 THEN 'rough surface' END, CASE WHEN night AND lit IS NOT DISTINCT FROM FALSE THEN 'unlit at night' END,
-CASE WHEN grade = 'NonCompliant' THEN 'may have travel hazards' END, CASE WHEN kind = 'shortcut' THEN 'crosses open lawn' END], lambda x: x IS NOT NULL), '; ') AS cautions
+@query(f"""SELECT id, night, array_to_string(list_filter({CAUTIONS_SQL}, lambda x: x IS NOT NULL), '; ') AS cautions
 FROM g_edges, {TIMES}""")
 def edge_cautions(g: Graph) -> DataFrame:
     rows = g.edges.crossJoin(F.broadcast(g.spark.createDataFrame([(True,), (False,)], "night boolean")))
