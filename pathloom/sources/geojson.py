@@ -75,3 +75,22 @@ def dictionary(fields: DataFrame) -> DataFrame:
     return fields.select("name", "type", F.explode_outer("domain").alias("d")).select(
         "name", "type", "d.code", F.concat_ws("=", "d.code", "d.name").alias("label")
     )
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Rows as CSV with a header."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def catalogue(layers: DataFrame) -> DataFrame:
+    """The layers (id, parent, title, group) of a service that hold features, with the titles of the groups above them.
+
+    Each step climbs one level for all layers; a service nests a few levels deep.
+    """
+    up = layers.select(F.col("id").alias("above"), F.col("parent").alias("next"), F.col("title").alias("name"))
+    rows = layers.where("NOT group").select("id", F.col("parent").alias("above"), F.array("title").alias("path"))
+    while rows.where(F.col("above").isNotNull()).limit(1).count():
+        rows = rows.join(up, "above", "left").select(
+            "id", F.col("next").alias("above"), F.when(F.col("name").isNotNull(), F.concat(F.array("name"), "path")).otherwise(F.col("path")).alias("path")
+        )
+    return rows.select("id", "path")

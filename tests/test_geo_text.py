@@ -159,3 +159,26 @@ def test_left_route_stream_matches_batch(spark, tmp_path):
     finally:
         query.stop()
     assert {r.id for r in spark.table("left").collect()} == {r.id for r in live.left_route(flags).collect()}
+
+
+def test_hazards_on_a_path_and_its_deletion(spark):
+    paths = spark.createDataFrame([("p", [(0.0, 0.0), (0.001, 0.0)])], f"edge_id string, line {RING}")
+    asked = spark.createDataFrame([(1, "p", 0.0005, 0.0001, False), (2, "p", 0.0005, 0.001, False), (3, "p", 0.0005, 0.001, True)], "id int, edge_id string, x double, y double, update boolean")
+    got = {r.id: (r.refused, round(r.y, 6)) for r in lifecycle.placed_hazards(asked, paths).collect()}
+    assert got == {1: (False, 0.0), 2: (True, 0.001), 3: (False, 0.001)}
+    kept, left = lifecycle.without_path(paths.select(F.col("edge_id").alias("id")), asked, spark.createDataFrame([("p",)], "id string"))
+    assert kept.count() == 0 and left.count() == 0
+
+
+def test_large_and_small_zones_meet_the_same_points(spark):
+    zones = spark.createDataFrame([(1, [(-50.0, -50.0), (50.0, -50.0), (50.0, 50.0), (-50.0, 50.0)]), (2, [(0.0, 0.0), (0.001, 0.0), (0.0, 0.001)])], f"zone int, ring {RING}")
+    points = spark.createDataFrame([(1, 0.0001, 0.0001), (2, 20.0, -30.0), (3, 60.0, 0.0)], "id int, x double, y double")
+    assert sorted((r.id, r.zone) for r in etl.containing(points, zones).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_typed_values_meet_places_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(places, "BLOCK", 2)
+    table = spark.createDataFrame([("a1", "Malone Hall", "m")], "id string, name string, alias string")
+    asked = spark.createDataFrame([(k, "malone hall") for k in range(7)], "query int, value string")
+    assert sorted(r["query"] for r in places.find_places(asked, table).collect()) == list(range(7))
+    assert places.resolve(asked, table).where("tier = 1").count() == 7

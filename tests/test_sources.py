@@ -85,3 +85,30 @@ def test_tiles(spark):
     assert len(row) == 1 and row[0].layer == "grass" and row[0].extent == 512 and row[0].properties == {"class": "lawn"} and row[0].g == "Polygon"
     assert [(p.x, p.y) for p in row[0].parts[0]] == [(2, 3), (7, 3), (7, -1), (2, 3)]
     assert tiles.grid(spark, 6, 0, 2, 5, 6).count() == 6
+
+
+def test_broken_tiles_are_read_as_far_as_they_go(spark):
+    good = message(3, message(1, b"ok") + message(2, message(4, varint(9) + varint(2) + varint(2)) + varint(3 << 3) + varint(1)))
+    odd_tags = message(3, message(1, b"odd") + message(2, message(2, varint(0) + varint(9) + varint(0))) + message(3, b"k"))
+    bad_text = message(3, message(1, b"\xff") + message(2, b""))
+    for data, names in ((good + b"\x1a\xff", ["ok"]), (odd_tags, ["odd"]), (bad_text, ["\ufffd"]), (b"\xff" * 40, []), (b"\x0f", []), (good[:3], [])):
+        assert [f[0] for f in tiles.decode(data)] == names
+    value = lambda n, v: tiles._shown(v if n is None else varint(n << 3) + varint(v))
+    assert (value(4, (1 << 64) - 1), value(5, 7), value(6, 3), value(7, 1), tiles._shown(message(1, b"x")), tiles._shown(b"")) == ("-1", "7", "-2", "true", "x", None)
+
+
+def test_tile_positions_and_distinct_shapes(spark):
+    rows = spark.createDataFrame([(6, 1, 2, "l", "Point", 512, [[(0, 0)]]), (6, 2, 2, "l", "Point", 512, [[(-512, 0)]])], "z int, x int, y int, layer string, kind string, extent int, parts array<array<struct<x:int,y:int>>>")
+    c = F.col
+    placed = rows.withColumn("positions", tiles.positions(c("parts"), c("z"), c("x"), c("y"), c("extent"), origin=(1_400_000.0, 700_000.0), tile_ft=64_000.0))
+    assert len({str(r.positions) for r in placed.collect()}) == 1
+    one = tiles.distinct_shapes(placed).collect()
+    assert len(one) == 1 and one[0].x == 1 and 38 < one[0].positions[0][0].lat < 41
+
+
+def test_catalogue_and_csv(spark, tmp_path):
+    layers = spark.createDataFrame([(0, None, "All", True), (1, 0, "Inner", True), (2, 1, "Doors", False), (3, None, "Paths", False)], "id int, parent int, title string, group boolean")
+    found = geojson.catalogue(layers)
+    assert {r.id: r.path for r in found.collect()} == {2: ["All", "Inner", "Doors"], 3: ["Paths"]}
+    geojson.write_csv(found.select("id"), f"file://{tmp_path}/c")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/c").count() == 2
