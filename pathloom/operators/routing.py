@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import cost as C
 from pathloom.operators.shortest_paths import cheapest_paths, cheapest_target, paths_back
+from pathloom.plans.staging import stage
 
 
 def severities(hazards: DataFrame, night: Column) -> DataFrame:
@@ -74,7 +75,8 @@ def routes(edges: DataFrame, hazards: DataFrame, doors: DataFrame, requests: Dat
     priced = priced_edges(edges, hazards, profiles(requests))
     ways = arcs(priced).select("profile", "src", "dst", F.col("id").alias("edge"), "cost")
     starts = terminals(requests, doors, "start_place").select("search", "profile", "node")
-    ends = terminals(requests, doors, "end_place").select("search", "node").distinct()
+    # Every round of the search reads the ends, so they are written once.
+    ends = stage(terminals(requests, doors, "end_place").select("search", "node").distinct(), "ends")
     if avoid is not None:
         own = starts.join(avoid.select("search").distinct(), "search", "left_semi").select("search", "profile").distinct()
         own = own.withColumn("own", F.concat_ws("/", "profile", F.col("search").cast("string")))

@@ -1,9 +1,10 @@
 """Cheapest paths for many searches at once, as joins.
 
-A search has sources and perhaps targets.  Each round joins the nodes that improved in the
-round before with the arcs of the search's cost profile and keeps the cheapest arrival at
-every node.  Only arrivals that beat what is known are written, each with its cost, the edge
-it came by and the node before it; the tables of the rounds are merged from time to time.
+A search has sources and perhaps targets.  Each round lets the nodes that improved in the
+round before move several arcs of the search's cost profile, as one chain of joins: a node
+may also stay, so that every hop keeps what the hops before it reached.  Then the arrivals
+meet what is known, and only those that beat it are written, each with its cost, the edge it
+came by and the node before it; the tables of the rounds are merged from time to time.
 The search ends when nothing improves, however many rounds that takes.  Arrivals beyond the
 search's cheapest target are dropped, which is the set-wise form of stopping at the first
 settled target.  Paths are read back from the ends that are asked for, several edges a job.
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from pathloom.plans.staging import discard, stage
 
 KEYS = ["search", "profile", "node"]
+#: Arcs that a round moves before it meets what is known: what is known is shuffled once for so many arcs.
+REACH = 4
 #: Tables of rounds that are read side by side before they are merged, and edges of a path that one job reads.
 MERGED = 5
 HOPS = 6
@@ -35,38 +38,59 @@ def _of_cheapest(*columns: str) -> list[Column]:
     return [F.min_by(c, "cost").alias(c) for c in columns]
 
 
+def _moves(arcs: DataFrame) -> DataFrame:
+    """profile, src, to, step, by: the cheapest of parallel arcs, as no other can be on a path, and for each node to stay (``by`` is null)."""
+    lean = arcs.groupBy("profile", "src", F.col("dst").alias("to")).agg(F.min("cost").alias("step"), F.min_by("edge", "cost").alias("by"))
+    ends = arcs.select("profile", F.explode(F.array("src", "dst")).alias("src")).distinct()
+    return lean.unionByName(ends.select("profile", "src", F.col("src").alias("to"), F.lit(0.0).alias("step"), F.lit(None).cast("long").alias("by")))
+
+
+def _hop(wave: DataFrame, moves: DataFrame) -> DataFrame:
+    """What ``wave`` reaches with one move at most.  At equal cost a node keeps the way it has, so that arcs without cost form no ring."""
+    stays = F.col("by").isNull()
+    rows = wave.withColumnRenamed("node", "src").join(moves, ["profile", "src"]).select(
+        "search", "profile", F.col("to").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), "bound",
+        F.col("by").alias("edge"), F.col("src").alias("prev"),
+        *[F.when(stays, F.col(c)).alias(f"own_{c}") for c in ("cost", "edge", "prev")],
+    )
+    rows = rows.where(F.col("bound").isNull() | (F.col("cost") <= F.col("bound")))
+    best = rows.groupBy(*KEYS).agg(
+        F.min("cost").alias("c"), F.min("bound").alias("bound"), *_of_cheapest("edge", "prev"), *[F.min(f"own_{c}").alias(f"own_{c}") for c in ("cost", "edge", "prev")]
+    )
+    kept = F.col("own_cost") <= F.col("c")
+    return best.select(*KEYS, F.col("c").alias("cost"), *[F.when(kept, F.col(f"own_{c}")).otherwise(F.col(c)).alias(c) for c in ("edge", "prev")], "bound")
+
+
 def cheapest_paths(arcs: DataFrame, sources: DataFrame, targets: DataFrame | None = None, *, with_path: bool = False) -> DataFrame:
     """The cheapest cost of every node that a search reaches.
 
     arcs: profile, src, dst, edge, cost (not negative); several arcs may join two nodes.
-    sources: search, profile, node.  targets: search, node.
+    sources: search, profile, node.  targets: search, node; read in every round, so best a written table.
     Result: search, profile, node, cost, the edge and the node before it (null at a source),
     and with_path the edges from the source in order.
     Of equally cheap arrivals one is taken.  With targets, nodes that cost more than the cheapest
     target may be missing or not final; the targets up to the cheapest are final.
     """
-    # Parallel arcs: only the cheapest can be on a path.
-    lean = arcs.groupBy("profile", "src", F.col("dst").alias("to")).agg(F.min("cost").alias("step"), F.min_by("edge", "cost").alias("by"))
-    lean = stage(lean, "arcs")
+    moves = stage(_moves(arcs), "arcs")
     none = F.lit(None).cast("long")
     fresh = stage(sources.select(*KEYS, F.lit(0.0).alias("cost"), none.alias("edge"), none.alias("prev")).distinct(), "round")
     tables = [fresh]
     while True:
         told = reduce(DataFrame.unionByName, tables)
-        new = fresh.withColumnRenamed("node", "src").join(lean, ["profile", "src"]).select(
-            "search", "profile", F.col("to").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.col("by").alias("edge"), F.col("src").alias("prev")
-        )
+        wave = fresh.withColumn("bound", F.lit(None).cast("double"))
         if targets is not None:
             bound = told.join(targets, ["search", "node"]).groupBy("search").agg(F.min("cost").alias("bound"))
-            new = new.join(bound, "search", "left").where(F.col("bound").isNull() | (F.col("cost") <= F.col("bound"))).drop("bound")
+            wave = fresh.join(bound, "search", "left")
+        for _ in range(REACH):
+            wave = _hop(wave, moves)
         # What is known and what arrives meet in one aggregate.
-        rows = new.withColumn("before", F.lit(None).cast("double")).unionByName(
+        rows = wave.drop("bound").withColumn("before", F.lit(None).cast("double")).unionByName(
             told.select(*KEYS, F.lit(None).cast("double").alias("cost"), none.alias("edge"), none.alias("prev"), F.col("cost").alias("before"))
         )
         rows = rows.groupBy(*KEYS).agg(F.min("cost").alias("c"), *_of_cheapest("edge", "prev"), F.min("before").alias("before"))
         better = F.col("c").isNotNull() & (F.col("before").isNull() | (F.col("c") < F.col("before")))
         fresh = stage(rows.where(better).drop("before").withColumnRenamed("c", "cost"), "round")
-        if not fresh.limit(1).count():
+        if fresh.isEmpty():
             break
         tables.append(fresh)
         if len(tables) >= MERGED:
@@ -75,7 +99,7 @@ def cheapest_paths(arcs: DataFrame, sources: DataFrame, targets: DataFrame | Non
             discard(*tables[:-1])
             tables = [merged, fresh]
     found = stage(_known(tables), "paths")
-    discard(lean, *tables)
+    discard(moves, *tables)
     return paths_back(found, found) if with_path else found
 
 
