@@ -51,14 +51,14 @@ def cheapest_paths(arcs: DataFrame, sources: DataFrame, targets: DataFrame | Non
     none = F.lit(None).cast("long")
     fresh = stage(sources.select(*KEYS, F.lit(0.0).alias("cost"), none.alias("edge"), none.alias("prev")).distinct(), "round")
     tables = [fresh]
+    bounds = None
     while True:
         told = reduce(DataFrame.unionByName, tables)
         new = fresh.withColumnRenamed("node", "src").join(lean, ["profile", "src"]).select(
             "search", "profile", F.col("to").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.col("by").alias("edge"), F.col("src").alias("prev")
         )
-        if targets is not None:
-            bound = told.join(targets, ["search", "node"]).groupBy("search").agg(F.min("cost").alias("bound"))
-            new = new.join(bound, "search", "left").where(F.col("bound").isNull() | (F.col("cost") <= F.col("bound"))).drop("bound")
+        if bounds is not None:
+            new = new.join(bounds, "search", "left").where(F.col("bound").isNull() | (F.col("cost") <= F.col("bound"))).drop("bound")
         # What is known and what arrives meet in one aggregate.
         rows = new.withColumn("before", F.lit(None).cast("double")).unionByName(
             told.select(*KEYS, F.lit(None).cast("double").alias("cost"), none.alias("edge"), none.alias("prev"), F.col("cost").alias("before"))
@@ -74,8 +74,13 @@ def cheapest_paths(arcs: DataFrame, sources: DataFrame, targets: DataFrame | Non
             merged = stage(_known(tables[:-1]), "rounds")
             discard(*tables[:-1])
             tables = [merged, fresh]
+            if targets is not None:
+                # A bound that is some rounds old is still one, and a written one costs the rounds no jobs of their own.
+                bound = reduce(DataFrame.unionByName, tables).join(targets, ["search", "node"]).groupBy("search").agg(F.min("cost").alias("bound"))
+                discard(*([bounds] if bounds is not None else []))
+                bounds = stage(bound, "bounds")
     found = stage(_known(tables), "paths")
-    discard(lean, *tables)
+    discard(lean, *tables, *([bounds] if bounds is not None else []))
     return paths_back(found, found) if with_path else found
 
 
