@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontamination, hmm_lm, html_text, line_dedup, ngram_join, pieces, pii, quality_classifier, quality_rules, toxicity
+from pathloom.llm import (
+    decontamination, hmm_lm, hot_keys, html_text, line_dedup, ngram_join, pieces, pii, quality_classifier, quality_rules, toxicity, vector_codes,
+)
+from pathloom.plans.staging import stage
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -77,6 +81,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    numbers = ",".join(str(v) for book in books for entry in book for v in entry)
+    of_label = coded.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("error").cast("decimal(38,0)")).alias("label_error"))
+    found = hot_keys.with_totals(coded, stage(of_label, "label-errors"), "label", "n")
+    most = F.lit(vector_codes.LONGEST).cast("decimal(38,0)")
+    return found.select(
+        "vec_id",
+        "code",
+        "error",
+        F.least("label_error", most).cast("long").alias("label_error"),
+        F.lit(hashlib.sha256(numbers.encode()).hexdigest()).alias("codebooks_sha256"),
+    )
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
@@ -145,6 +164,35 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+def _op13_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    nearest = """SELECT rid, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d
+  FROM (SELECT p.rid, p.part, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda t: CAST((t[1] - t[2]) * (t[1] - t[2]) AS HUGEINT))) AS d
+        FROM p JOIN b{k} b ON b.part = p.part) GROUP BY rid, part"""
+    steps = [
+        f"""a{k} AS MATERIALIZED ({nearest.format(k=k)}),
+u{k} AS (SELECT part, entry, i, sum(v) AS s, count(*) AS n
+  FROM (SELECT a.part, a.entry, unnest(range(1, len(p.x) + 1)) AS i, unnest(p.x) AS v FROM a{k} a JOIN p ON p.rid = a.rid AND p.part = a.part) GROUP BY part, entry, i),
+b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(z.x, b.x) AS x FROM b{k} b
+  LEFT JOIN (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM u{k} GROUP BY part, entry) z ON z.part = b.part AND z.entry = b.entry)"""
+        for k in range(rounds)
+    ]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT rid, part, list_slice(e, part * (len(e) // {parts}) + 1, (part + 1) * (len(e) // {parts})) AS x FROM v, range({parts}) t(part)),
+b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x FROM p WHERE rid <= {entries}),
+{", ".join(steps)},
+z AS MATERIALIZED ({nearest.format(k=rounds)}),
+c AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM z GROUP BY rid),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN c USING (rid) CROSS JOIN h
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hmm_lm": op1_hmm_lm,
@@ -157,8 +205,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii": op6_pii,
         "op7_quality_rules": op7_quality_rules,
         "op8_decontamination": op8_decontamination,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": OP7_SQL, "op8_decontamination": OP8_SQL}
+    return {"op7_quality_rules": OP7_SQL, "op8_decontamination": OP8_SQL, "op13_vector_codes": _op13_sql()}
