@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import (
-    decontamination, hmm_lm, hot_keys, html_text, line_dedup, ngram_join, pieces, pii, quality_classifier, quality_rules, toxicity, vector_codes,
+    decontamination, hmm_lm, hot_keys, html_text, line_dedup, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, toxicity, vector_codes,
 )
 from pathloom.plans.staging import stage
 
@@ -81,6 +81,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixture(_table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
     numbers = ",".join(str(v) for book in books for entry in book for v in entry)
@@ -205,6 +210,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii": op6_pii,
         "op7_quality_rules": op7_quality_rules,
         "op8_decontamination": op8_decontamination,
+        "op12_source_mix": op12_source_mix,
         "op13_vector_codes": op13_vector_codes,
     }
 
