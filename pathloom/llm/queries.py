@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import (
-    decontamination, hmm_lm, hot_keys, html_text, line_dedup, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, toxicity, vector_codes,
+    decontamination, hmm_lm, hot_keys, html_text, line_dedup, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, source_audit, toxicity, vector_codes,
 )
 from pathloom.plans.staging import stage
 
@@ -81,6 +81,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_table(spark, sf_dir, "documents"))
+
+
 def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixture(_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -169,6 +173,33 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS rid,
+         regexp_extract_all({LOWER_SQL}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT lang, source, term, count(*) AS c, count(DISTINCT rid) AS df FROM (SELECT lang, source, rid, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, CAST(sum(c) AS BIGINT) AS c FROM t GROUP BY lang, term HAVING sum(df) >= {source_audit.LEAST_DOCS}),
+v AS (SELECT lang, count(*) AS v, CAST(sum(c) AS BIGINT) AS n FROM kept GROUP BY lang),
+n AS (SELECT t.lang, t.source, CAST(sum(t.c) AS BIGINT) AS n FROM t JOIN kept USING (lang, term) GROUP BY t.lang, t.source),
+g AS (SELECT g.lang, g.source, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN n ON n.lang = g.lang AND n.source = g.source),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(t.c, 0) AS c,
+         1 + CAST({source_audit.SCALE} AS HUGEINT) * (coalesce(t.c, 0) + 2) // (g.n + 2 * v.v) AS p,
+         1 + CAST({source_audit.SCALE} AS HUGEINT) * (k.c + 2) // (v.n + 2 * v.v) AS q
+  FROM g JOIN v ON v.lang = g.lang JOIN kept k ON k.lang = g.lang LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, CAST(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS BIGINT) AS value
+             FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM pairs
+UNION ALL SELECT * FROM (
+  SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM terms)
+WHERE rank <= {source_audit.TOP}
+"""
+
+
 def _op13_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
     nearest = """SELECT rid, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d
   FROM (SELECT p.rid, p.part, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda t: CAST((t[1] - t[2]) * (t[1] - t[2]) AS HUGEINT))) AS d
@@ -210,10 +241,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii": op6_pii,
         "op7_quality_rules": op7_quality_rules,
         "op8_decontamination": op8_decontamination,
+        "op11_source_audit": op11_source_audit,
         "op12_source_mix": op12_source_mix,
         "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": OP7_SQL, "op8_decontamination": OP8_SQL, "op13_vector_codes": _op13_sql()}
+    return {"op7_quality_rules": OP7_SQL, "op8_decontamination": OP8_SQL, "op11_source_audit": OP11_SQL, "op13_vector_codes": _op13_sql()}
