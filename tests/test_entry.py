@@ -56,8 +56,12 @@ def test_without_the_text_part(tmp_path, pipeline_stays):
     left_out = [".git", "llm", "__pycache__"] + ([] if pipeline_stays else ["corpus_pipeline.py"])
     shutil.copytree(root, copy, ignore=shutil.ignore_patterns(*left_out))
     code = "import __spark_entry__ as e; from pathloom.plans import catalog; assert set(e.queries()) == set(catalog.QUERIES) and set(e.oracle_sql()) == set(catalog.ORACLES)"
-    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
-    subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
+    # The child finds what this process finds, but this library only in the copy.
+    paths = os.pathsep.join([str(copy), *(p for p in sys.path if p and Path(p).resolve() != root.resolve())])
+    child = {"cwd": copy, "check": True, "env": {**os.environ, "PYTHONPATH": paths}}
+    subprocess.run([sys.executable, "-c", code], **child)
+    rest = ["tests/test_sources.py"] if pipeline_stays else ["--collect-only", "tests"]
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *rest], **child)
 
 
 def test_library_does_not_import_the_text_package():
