@@ -8,23 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.text import OFFLINE_STOPWORDS, parse_gps, plain, signal_words
+from pathloom.operators.text_index import Index, candidates, index
 
 
-def _ilike(column: str, pattern: Column) -> Column:
-    """LIKE without case, with the typed text's own wildcards in force."""
-    return F.coalesce(F.call_function("like", F.lower(F.col(column)), F.lower(pattern)), F.lit(False))
+def _pattern(typed: Column) -> Column:
+    """What was typed as a LIKE pattern without case: its own wildcards are in force, a backslash is none."""
+    return F.replace(F.lower(typed), F.lit("\\"), F.lit("\\\\"))
 
 
-#: Typed values that meet the places at a time.
-BLOCK = 10_000
-
-
-def _met(queries: DataFrame, places: DataFrame) -> DataFrame:
-    """Typed values against all places, in blocks of at most about BLOCK values that are broadcast."""
-    blocks = 1 + queries.count() // BLOCK
-    part = F.pmod(F.xxhash64("query"), F.lit(blocks))
-    met = [places.crossJoin(F.broadcast(queries.where(part == k))) for k in range(blocks)]
-    return reduce(DataFrame.unionByName, met)
+def _like(text: Column, pattern: Column) -> Column:
+    return F.call_function("like", F.lower(text), pattern)
 
 
 def _best(hits: DataFrame) -> DataFrame:
@@ -42,34 +35,51 @@ def door_card() -> Column:
     return F.when(F.col("kind") != "node", F.struct("label", "kind", "step_free"))
 
 
+def _searches(asked: DataFrame, parts: Column, *fields: str) -> DataFrame:
+    return asked.select("*", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"), parts.alias("parts"))
+
+
 def resolve(queries: DataFrame, places: DataFrame) -> DataFrame:
     """query, tier, hits and place_id, by normalised text: equal name, equal alias, part of a name, all words of it in a name.
 
     An equal name or alias takes its first place; else only a single hit is an answer.  Blank values have none.
     """
     asked = queries.select("query", plain(F.col("value")).alias("q")).where("q <> ''")
-    named = places.select("id", plain(F.col("name")).alias("n"), plain(F.col("alias")).alias("a"))
+    texts = index(places, "id", name=plain(F.col("name")), alias=plain(F.col("alias")))
+    distinct = asked.select("q").distinct()
+    alike = distinct.join(texts.texts.withColumnRenamed("text", "q"), "q").select("q", F.when(F.col("field") == "name", 1).otherwise(2).alias("tier"), "id")
+    part = candidates(_searches(distinct, F.array("q"), "name"), texts).where(F.contains("text", "q")).select("q", F.lit(3).alias("tier"), "id")
     words = F.filter(F.split("q", " "), lambda w: ~w.isin(*OFFLINE_STOPWORDS))
-    every = (F.size(words) > 0) & F.forall(words, lambda w: F.contains(F.col("n"), w))
-    tier = F.when(F.col("n") == F.col("q"), 1).when(F.col("a") == F.col("q"), 2).when(F.contains("n", "q"), 3).when(every, 4)
-    found = _best(_met(asked, named).withColumn("tier", tier).where(F.col("tier").isNotNull()))
+    every = candidates(_searches(distinct.withColumn("words", words).where(F.size("words") > 0), F.col("words"), "name"), texts)
+    every = every.where(F.forall("words", lambda w: F.contains(F.col("text"), w))).select("q", F.lit(4).alias("tier"), "id")
+    hits = alike.unionByName(part).unionByName(every).groupBy("q", "id").agg(F.min("tier").alias("tier"))
+    found = _best(asked.join(hits, "q"))
     got = found.groupBy("query", "tier").agg(F.count(F.lit(1)).alias("hits"), F.min("id").alias("first"))
     return got.select("query", "tier", "hits", F.when((F.col("hits") == 1) | (F.col("tier") <= 2), F.col("first")).alias("place_id"))
 
 
-def find_places(queries: DataFrame, places: DataFrame) -> DataFrame:
+def find_places(queries: DataFrame, places: DataFrame, among: Index | None = None) -> DataFrame:
     """Candidates of each query (query, value) in its best tier: exact, contained, all words.
 
-    Each block of queries is judged in one pass over the places.
+    among: the index of the places' lower-cased names and aliases, if the caller keeps one.
     """
-    pairs = _met(queries.withColumn("words", signal_words(F.col("value"))), places.select("id", "name", "alias"))
-    exact = (F.col("id").cast("string") == F.col("value")) | _ilike("name", F.col("value")) | _ilike("alias", F.col("value"))
-    inside = F.concat(F.lit("%"), F.col("value"), F.lit("%"))
-    part = _ilike("name", inside) | _ilike("alias", inside)
-    every = (F.size("words") > 0) & F.forall("words", lambda w: F.contains(F.lower("name"), w))
-    tier = F.when(F.coalesce(exact, F.lit(False)), 1).when(part, 2).when(every, 3)
-    hits = pairs.withColumn("tier", tier).where(F.col("tier").isNotNull())
-    return _best(hits).select("query", "tier", "id", "name")
+    asked = queries.where(F.col("value").isNotNull())
+    typed = asked.select("value").distinct().withColumns({"like": _pattern(F.col("value")), "words": signal_words(F.col("value"))})
+    texts = among or place_index(places)
+    literals = F.filter(F.split(F.lower("value"), "[%_]+"), lambda p: p != "")
+    alike = candidates(_searches(typed.drop("words"), literals, "name", "alias"), texts)
+    inside = F.concat(F.lit("%"), "like", F.lit("%"))
+    alike = alike.withColumn("tier", F.when(_like(F.col("text"), F.col("like")), 1).when(_like(F.col("text"), inside), 2))
+    every = candidates(_searches(typed.where(F.size("words") > 0).drop("like"), F.col("words"), "name"), texts)
+    every = every.withColumn("tier", F.when(F.forall("words", lambda w: F.contains(F.col("text"), w)), 3))
+    same = typed.select("value").join(places.select(F.col("id").cast("string").alias("value"), "id"), "value").withColumn("tier", F.lit(1))
+    hits = reduce(DataFrame.unionByName, [h.where(F.col("tier").isNotNull()).select("value", "id", "tier") for h in (alike, every, same)])
+    hits = hits.groupBy("value", "id").agg(F.min("tier").alias("tier"))
+    return _best(asked.join(hits, "value")).join(places.select("id", "name"), "id").select("query", "tier", "id", "name")
+
+
+def place_index(places: DataFrame) -> Index:
+    return index(places, "id", name=F.lower("name"), alias=F.lower("alias"))
 
 
 def answers(found: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """Geometry, text, rules, edits and live positions on small inputs."""
 
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo, rules, text
-from pathloom.operators import etl, lifecycle, places
+from pathloom.functions.text import STOPWORDS
+from pathloom.operators import etl, lifecycle, places, text_index
 from pathloom.operators.nearest import nearest
 from pathloom.streaming import live
 
@@ -176,9 +179,42 @@ def test_large_and_small_zones_meet_the_same_points(spark):
     assert sorted((r.id, r.zone) for r in etl.containing(points, zones).collect()) == [(1, 1), (1, 2), (2, 1)]
 
 
-def test_typed_values_meet_places_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(places, "BLOCK", 2)
-    table = spark.createDataFrame([("a1", "Malone Hall", "m")], "id string, name string, alias string")
-    asked = spark.createDataFrame([(k, "malone hall") for k in range(7)], "query int, value string")
-    assert sorted(r["query"] for r in places.find_places(asked, table).collect()) == list(range(7))
-    assert places.resolve(asked, table).where("tier = 1").count() == 7
+def test_typed_values_meet_places_through_lists(spark):
+    """Wildcards, backslashes, parts of one letter, repeated and blank values, against a plain LIKE of every pair."""
+    r = random.Random(6)
+    names = [" ".join(r.choice(["Malone", "Hall", "Ann_x", "100%", "B\\c", "çé", "a", "North"]) for _ in range(r.randint(1, 3))) for _ in range(60)]
+    rows = [(k, None if k == 9 else n, r.choice([None, "", "MH", "a_b"])) for k, n in enumerate(names)]
+    values = ["malone hall", "%", "_", "", "a", "ha", "ann_x", "100%", "b\\c", "%nor%hall", "ÇÉ", "7", "the malone centre", "zz", "m_", "north malone", None, "malone hall"]
+    table = spark.createDataFrame(rows, "id int, name string, alias string")
+    asked = spark.createDataFrame(list(enumerate(values)), "query int, value string")
+
+    def like(text, pattern):
+        parts = {"%": ".*", "_": "."}
+        return text is not None and re.fullmatch("".join(parts.get(c) or re.escape(c) for c in pattern.lower()), text.lower(), re.S) is not None
+
+    def tier(value, row):
+        words = [w for w in re.split("[^A-Za-z0-9]+", value.lower()) if len(w) > 2 and w not in STOPWORDS]
+        if str(row[0]) == value or like(row[1], value) or like(row[2], value):
+            return 1
+        if like(row[1], f"%{value}%") or like(row[2], f"%{value}%"):
+            return 2
+        return 3 if words and row[1] and all(w in row[1].lower() for w in words) else None
+
+    want = []
+    for q, value in enumerate(values):
+        tiers = {row[0]: tier(value, row) for row in rows if value is not None}
+        best = min((t for t in tiers.values() if t), default=None)
+        want += [(q, t, i) for i, t in tiers.items() if t == best and best]
+    got = [(x.query, x.tier, x.id) for x in places.find_places(asked, table).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_searches_look_at_few_places(spark):
+    """Ten thousand values against a hundred thousand places whose names have most of their letters in common."""
+    table = spark.range(100_000).select("id", F.format_string("Faculty Building %06d North", F.col("id")).alias("name"), F.lit(None).cast("string").alias("alias"))
+    asked = spark.range(10_000).select(F.col("id").alias("query"), F.format_string("building %06d", F.col("id") * 7).alias("value"))
+    among = places.place_index(table)
+    searches = asked.select("value", F.lit("name").alias("field"), F.array("value").alias("parts"))
+    looked, right = text_index.candidates(searches, among).agg(F.count("id"), F.count_if(F.contains("text", "value"))).first()
+    assert right == 10_000 and looked < 3 * 10_000
+    among.discard()
