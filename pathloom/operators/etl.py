@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import geo
 from pathloom.functions.text import node_key, tokens
-from pathloom.operators.nearest import cell
+from pathloom.operators.nearest import cell, nearest
 
 # Confidence of an edge by its kind.
 CONFIDENCE = {"paved": 0.55, "stairs": 0.55, "ramp": 0.6, "indoor": 0.5, "shortcut": 0.3}
@@ -165,3 +165,10 @@ def observed(edges: DataFrame, seen: DataFrame) -> DataFrame:
     joined = joined.withColumns({c: F.coalesce(f"_{c}", c) for c in columns})
     joined = joined.withColumns({"verified": F.col("verified") | hit, "confidence": F.when(hit, 0.96).otherwise(F.col("confidence"))})
     return joined.select(*edges.columns)
+
+
+def snapped_doors(doors: DataFrame, nodes: DataFrame, most: float = 400.0) -> DataFrame:
+    """place_id, door, node and metres: doors (id, place_id, latitude, longitude) at their nearest node, at most ``most`` metres away."""
+    targets = nodes.select(F.col("id").alias("target"), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lng"))
+    found = nearest(doors.select("id", "latitude", "longitude"), targets, most)
+    return doors.select("id", "place_id").join(found, "id").select("place_id", F.col("id").alias("door"), F.col("target").alias("node"), "metres")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import cost as C
 from pathloom.operators.shortest_paths import cheapest_paths, cheapest_target, paths_back
-from pathloom.plans.staging import stage
 
 
 def severities(hazards: DataFrame, night: Column) -> DataFrame:
@@ -70,21 +69,13 @@ def terminals(requests: DataFrame, doors: DataFrame, place: str) -> DataFrame:
 def routes(edges: DataFrame, hazards: DataFrame, doors: DataFrame, requests: DataFrame, avoid: DataFrame | None = None) -> DataFrame:
     """For each request with a way: search, cost, node (its end), profile, path (edges in order) and nodes.
 
-    avoid: search, edge.  A request that avoids edges has arcs of its own, without them.
+    avoid: search, edge.
     """
     priced = priced_edges(edges, hazards, profiles(requests))
     ways = arcs(priced).select("profile", "src", "dst", F.col("id").alias("edge"), "cost")
     starts = terminals(requests, doors, "start_place").select("search", "profile", "node")
-    # Every round of the search reads the ends, so they are written once.
-    ends = stage(terminals(requests, doors, "end_place").select("search", "node").distinct(), "ends")
-    if avoid is not None:
-        own = starts.join(avoid.select("search").distinct(), "search", "left_semi").select("search", "profile").distinct()
-        own = own.withColumn("own", F.concat_ws("/", "profile", F.col("search").cast("string")))
-        spared = ways.join(own, "profile").join(avoid, ["search", "edge"], "left_anti")
-        ways = ways.unionByName(spared.select(F.col("own").alias("profile"), "src", "dst", "edge", "cost"))
-        starts = starts.join(own.select("search", "own"), "search", "left")
-        starts = starts.select("search", F.coalesce("own", "profile").alias("profile"), "node")
-    found = cheapest_paths(ways, starts, ends)
+    ends = terminals(requests, doors, "end_place").select("search", "node").distinct()
+    found = cheapest_paths(ways, starts, ends, avoid)
     return paths_back(cheapest_target(found, ends).drop("edge", "prev"), found)
 
 

@@ -209,6 +209,22 @@ def backbone(g: Graph) -> DataFrame:
     return found.join(F.broadcast(top), "component", "left_semi").select("node")
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT from_node AS a, to_node AS b FROM g_edges WHERE NOT closed AND published UNION SELECT to_node, from_node FROM g_edges WHERE NOT closed AND published),
+k(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(k.component) FROM k JOIN e ON e.a = k.node
+  LEFT JOIN recurring.k AS r ON r.node = e.b WHERE k.component < coalesce(r.component, 9223372036854775807) GROUP BY e.b),
+b AS (SELECT n.* FROM k JOIN g_nodes n ON n.id = k.node WHERE component = (SELECT component FROM k GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)),
+d AS (SELECT d.id, d.place_id, n.latitude + d.snap_m * 0.0002::DOUBLE AS latitude, n.longitude - d.snap_m * 0.0001::DOUBLE AS longitude FROM g_doors d JOIN g_nodes n ON n.id = d.node_id),
+m AS (SELECT d.id, d.place_id, b.id AS node, {PLANE_SQL("d.latitude", "d.longitude", "b.latitude", "b.longitude")} AS metres FROM d, b)
+SELECT place_id, id AS door, node, round(metres, 4) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY metres, node) AS k FROM m) WHERE k = 1 AND metres <= 400""")
+def doors_on_backbone(g: Graph) -> DataFrame:
+    """Places with their doors, drawn some way off the network, snapped to the backbone's nearest node within 400 m."""
+    spots = g.nodes.select(F.col("id").alias("node_id"), "latitude", "longitude")
+    doors = g.doors.join(spots, "node_id")
+    doors = doors.withColumns({"latitude": F.col("latitude") + F.col("snap_m") * 0.0002, "longitude": F.col("longitude") - F.col("snap_m") * 0.0001})
+    on = g.nodes.join(backbone(g).withColumnRenamed("node", "id"), "id", "left_semi")
+    return etl.snapped_doors(doors, on).select("place_id", "door", "node", close("metres", 4).alias("metres"))
+
+
 @query("""WITH blocked AS (SELECT from_node AS node, space FROM g_edges WHERE closed UNION ALL SELECT to_node, space FROM g_edges WHERE closed)
 SELECT d.place_id, coalesce(min(b.space), 'construction') AS closure FROM g_doors d JOIN blocked b ON b.node = d.node_id GROUP BY d.place_id""")
 def closure_names(g: Graph) -> DataFrame:

@@ -18,6 +18,8 @@ SETTING = "spark.checkpoint.dir"
 
 #: Where the tables of this driver stand.
 _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Those that the catalogue names.
+_names: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -47,6 +49,26 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def stage_by(df: DataFrame, label: str, *keys: str) -> DataFrame:
+    """As ``stage``, in buckets by ``keys``: joins and groupings by all these keys read the table without shuffling it."""
+    spark = df.sparkSession
+    name = f"pathloom_{label}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_root(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", path).bucketBy(buckets, *keys).saveAsTable(name)
+    files, folder = _folder(spark, path)
+    files.deleteOnExit(folder)
+    out = spark.table(name)
+    _places[out] = path
+    _names[out] = name
+    return out
+
+
+def unbucketed(table: DataFrame) -> DataFrame:
+    """The rows of a staged table without its buckets: a union of bucketed tables is not bucketed, though the planner may take it for that."""
+    return table.sparkSession.read.schema(table.schema).parquet(_places[table])
+
+
 def _folder(spark: SparkSession, path: str):
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
@@ -58,3 +80,5 @@ def discard(*tables: DataFrame) -> None:
         if path := _places.pop(df, None):
             files, folder = _folder(df.sparkSession, path)
             files.delete(folder, True)
+            if name := _names.pop(df, None):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")

@@ -3,7 +3,9 @@
 import math
 import random
 import re
+import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from pathloom.operators import etl, lifecycle, places, text_index
 from pathloom.operators.nearest import nearest
 from pathloom.streaming import live
 
+nearest_module = sys.modules[nearest.__module__]
+
 SQUARE = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
 RING = "array<struct<x:double,y:double>>"
 
@@ -92,6 +96,38 @@ def test_nearest_far_and_tied(spark):
     assert nearest(points.limit(0), targets).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["outliers", "crowded", "line", "one"])
+def test_nearest_looks_at_few_pairs(spark, monkeypatch, kind):
+    """Against all pairs; far points, crowded cells, equal positions, and how many cells and targets are looked at."""
+    rng = np.random.default_rng(3)
+    spots = rng.normal([39.3, -76.6], 0.05, (3000, 2))
+    points = rng.normal([39.3, -76.6], 0.06, (400, 2))
+    if kind == "outliers":
+        points[:150] += rng.uniform(-30, 30, (150, 2))
+    if kind == "crowded":
+        spots[:2000] = [39.3, -76.6] + rng.normal(0, 2e-5, (2000, 2))
+        points[:200] = [39.3, -76.6] + rng.normal(0, 3e-5, (200, 2))
+        spots[2000:2300], points[200:250] = spots[0], spots[0]
+    if kind == "line":
+        spots[:, 1] = -76.6
+    if kind == "one":
+        spots, points = spots[:1], points[:50]
+    targets = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(spots)] + [(9999, None, 1.0)], "target long, t_lat double, t_lng double")
+    asked = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(points)] + [(9999, None, 1.0)], "id long, latitude double, longitude double")
+    looked, plain = [], nearest_module.stage
+    monkeypatch.setattr(nearest_module, "stage", lambda df, label: looked.append((label, plain(df, label))) or looked[-1][1])
+    got = {r.id: (r.target, r.metres) for r in nearest(asked, targets).collect()}
+    d = np.hypot((points[:, None, 0] - spots[None, :, 0]) * 110540.0, (points[:, None, 1] - spots[None, :, 1]) * 111320.0 * 0.7735)
+    assert len(got) == len(points)
+    for k, row in enumerate(d):
+        assert got[k][1] == pytest.approx(row.min(), rel=1e-9) and row[got[k][0]] <= row.min() * (1 + 1e-9)
+        assert kind != "crowded" or not 200 <= k < 250 or got[k][0] == 0
+    pairs = sum(t.count() for label, t in looked if label == "pairs")
+    assert pairs < 60 * len(points)
+    near = {r.id for r in nearest(asked, targets, most=400.0).collect()}
+    assert near == {k for k, row in enumerate(d) if row.min() <= 400}
+
+
 def test_place_tiers(spark):
     table = spark.createDataFrame(
         [("a1", "Malone Hall", None), ("b1", "San Martin Garage", "parking"), ("c1", "North Garage", None)], "id string, name string, alias string"
