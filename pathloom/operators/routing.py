@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import cost as C
-from pathloom.operators.shortest_paths import cheapest_paths, cheapest_target, paths_back
+from pathloom.operators.shortest_paths import came_by, cheapest_paths, cheapest_target, paths_back
+from pathloom.plans.staging import discard, stage
 
 
 def severities(hazards: DataFrame, night: Column) -> DataFrame:
@@ -72,11 +73,16 @@ def routes(edges: DataFrame, hazards: DataFrame, doors: DataFrame, requests: Dat
     avoid: search, edge.
     """
     priced = priced_edges(edges, hazards, profiles(requests))
-    ways = arcs(priced).select("profile", "src", "dst", F.col("id").alias("edge"), "cost")
+    ways = stage(arcs(priced).select("profile", "src", "dst", F.col("id").alias("edge"), "cost"), "ways")
     starts = terminals(requests, doors, "start_place").select("search", "profile", "node")
     ends = terminals(requests, doors, "end_place").select("search", "node").distinct()
     found = cheapest_paths(ways, starts, ends, avoid)
-    return paths_back(cheapest_target(found, ends).drop("edge", "prev"), found)
+    reached = stage(cheapest_target(found, ends).drop("round"), "reached")
+    # Beyond its cheapest end no node is on the way of a search.
+    near = found.join(reached.select("search", F.col("cost").alias("bound")), "search").where("cost <= bound").drop("bound")
+    back = came_by(near, ways, avoid)
+    discard(ways, found)
+    return paths_back(reached, back)
 
 
 def avoided(chosen: DataFrame, hazards: DataFrame, previous: DataFrame | None = None) -> DataFrame:

@@ -1,101 +1,41 @@
 """Cheapest paths for many searches at once, as joins.
 
 A search has sources and perhaps targets.  Each round joins the nodes that improved in the
-round before with the arcs of the search's cost profile, leaves out the edges that the search avoids, and keeps the
-least arrival at every node: by cost, then by the cost and number of the node before it and by edge, so that
-the path is that of a search which settles nodes by cost and number, however the rows are spread.
-Arcs, avoided edges, targets and the arrivals known so far stand in tables that are bucketed by
-what they are joined on.  A round shuffles the frontier and its arrivals to them, and none of these tables;
-only arrivals that beat what is known are written.  The tables of rounds are merged when they have
-grown to the size of an older one, so a row is merged a few times and not in each round.
-
-The search ends when nothing improves, however many rounds that takes.  Arrivals beyond the
-search's cheapest target are dropped, which is the set-wise form of stopping at the first
-settled target.  Paths are read back from the ends that are asked for, several edges a job.
+round before with the arcs of the search's cost profile, leaves out the edges that the search
+avoids, and keeps the cheapest arrival at every node.  Only arrivals that beat what is known are written; the
+tables of the rounds are merged from time to time.  The search ends when nothing improves, however many rounds that takes.
+Arrivals beyond the search's cheapest target are dropped, which is the set-wise form of
+stopping at the first settled target.
+
+Rounds know costs only.  Once these are final, one pass over the arcs finds the way by which each node was
+reached: of its arcs that are exactly as cheap as its cost the one from the cheapest node, then
+the smallest, then with the smallest edge.  That is the way of a search which settles nodes by cost and number,
+and it is the same however the rows are spread.  Paths are read back from the ends that are asked for, several edges a job.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.plans.staging import discard, stage, stage_by, unbucketed
+from pathloom.plans.staging import discard, stage, stage_by
 
-KEYS = ["search", "node"]
-ARRIVAL = ["cost", "prev_cost", "prev", "edge", "profile"]
-#: Tables of rounds that are read side by side before some are merged, and edges of a path that one job reads.
-MERGED = 4
+KEYS = ["search", "profile", "node"]
+#: Tables of rounds that are read side by side before they are merged, and edges of a path that one job reads.
+MERGED = 5
 HOPS = 6
-#: Moving nodes for each bucket up to which a round holds its arrivals in memory and reads what is known past them; beyond, both are sorted.
-HELD = 1 << 14
 
 
-class Round(NamedTuple):
-    """Arrivals that were the least of their node when they were written; ``moves``: they lowered its cost; ``ends``: the node is a target."""
+def _known(tables: list[DataFrame]) -> DataFrame:
+    """The cheapest cost of each node and the round that found it: costs fall from round to round, so that is the last one."""
+    return reduce(DataFrame.unionByName, tables).groupBy(*KEYS).agg(F.min("cost").alias("cost"), F.max("round").alias("round"))
 
-    table: DataFrame
-    rows: int
-    moving: int
 
-
-def _write(rows: DataFrame) -> Round:
-    seen = Observation()
-    told = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("moves").alias("moving"))
-    table = stage_by(told, "round", *KEYS)
-    return Round(table, seen.get["rows"], seen.get["moving"])
-
-
-def _least(prefix: str = "") -> Column:
-    return F.struct(*[F.col(prefix + c).alias(c) for c in ARRIVAL])
-
-
-def _merge(rounds: list[Round]) -> Round:
-    """One round in place of several, with the least arrival of each node, none of which moves."""
-    if len(rounds) == 1:
-        return rounds[0]
-    rows = reduce(DataFrame.unionByName, [unbucketed(r.table) for r in rounds])
-    one = rows.groupBy(*KEYS).agg(F.min(_least()).alias("a"), F.bool_or("ends").alias("ends")).select(*KEYS, "a.*", F.lit(False).alias("moves"), "ends")
-    out = _write(one)
-    discard(*[r.table for r in rounds])
-    return out
-
-
-def _compact(rounds: list[Round]) -> list[Round]:
-    """Merges the tables that the later ones have grown up to; the last stays apart, as the next round starts from it."""
-    if len(rounds) <= MERGED:
-        return rounds
-    *old, last = rounds
-    first = len(old) - 1
-    while first > 0 and (len(old) - first < 2 or 2 * sum(r.rows for r in old[first:]) >= old[first - 1].rows):
-        first -= 1
-    return [*old[:first], _merge(old[first:]), last]
-
-
-def _held(rows: DataFrame, last: Round) -> DataFrame:
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.hint("shuffle_hash") if last.moving <= HELD * buckets else rows
-
-
-def _new(arrivals: DataFrame, rounds: list[Round], targets: DataFrame | None) -> DataFrame:
-    """The arrivals that are less than all known ones of their node."""
-    rows = arrivals.groupBy(*KEYS).agg(F.min(_least()).alias("a")).select(*KEYS, "a.*")
-    names = []
-    for k, r in enumerate(rounds):
-        known = r.table.select(*KEYS, _least().alias(f"_k{k}"))
-        rows = _held(rows, rounds[-1]).join(known, KEYS, "left")
-        names.append(f"_k{k}")
-    known = F.least(*names) if len(names) > 1 else F.col(names[0])
-    rows = rows.withColumn("known", known).drop(*names)
-    lower = F.col("known").isNull() | (F.col("cost") < F.col("known.cost"))
-    # As cheap by way of a node that is settled earlier; over an arc that costs nothing no node is.
-    sooner = (F.col("cost") == F.col("known.cost")) & (F.col("prev_cost") < F.col("cost")) & (_least() < F.col("known"))
-    rows = rows.where(lower | sooner).withColumn("moves", lower).drop("known")
-    if targets is None:
-        return rows.withColumn("ends", F.lit(False))
-    return _held(rows, rounds[-1]).join(targets.withColumn("ends", F.lit(True)), KEYS, "left").withColumn("ends", F.col("ends").isNotNull())
+def _without(rows: DataFrame, avoid: DataFrame | None) -> DataFrame:
+    """``rows`` (search, edge and others) without the edges that their search avoids."""
+    return rows if avoid is None else rows.join(avoid, ["search", "edge"], "left_anti")
 
 
 def cheapest_paths(
@@ -104,53 +44,73 @@ def cheapest_paths(
     """The cheapest cost of every node that a search reaches.
 
     arcs: profile, src, dst, edge, cost (not negative); several arcs may join two nodes.
-    sources: search, profile, node; a search has one profile.  targets: search, node; a search without any is not run.  avoid: search, edge.
-    Result: search, profile, node, cost, the edge and the node before it (null at a source),
-    and with_path the edges from the source in order.
-    Of equally cheap arrivals that from the cheapest node before, then the smallest, then by the smallest edge is taken.
+    sources: search, profile, node.  targets: search, node; a search without any is not run.  avoid: search, edge.
+    Result: search, profile, node, cost, the round that found it, and with_path the edges from the source in order.
     With targets, nodes that cost more than the cheapest target may be missing or not final; the targets up to the
     cheapest are final.
     """
-    ways = arcs.select("profile", "src", F.col("dst").alias("to"), F.col("cost").alias("step"), F.col("edge").alias("by"))
+    start = sources.select(*KEYS).distinct()
+    if targets is not None:
+        targets = stage(targets.select("search", "node").distinct(), "targets")
+        start = start.join(targets.select("search").distinct(), "search", "left_semi")
+    ways = arcs.select("profile", "src", F.col("dst").alias("to"), "edge", F.col("cost").alias("step"))
+    shut = None
     if avoid is None:
         # Parallel arcs: only the cheapest can be on a path.
-        ways = ways.groupBy("profile", "src", "to").agg(F.min(F.struct("step", "by")).alias("a")).select("profile", "src", "to", "a.*")
+        lean = stage(ways.groupBy("profile", "src", "to").agg(F.min("step").alias("step")).withColumn("edge", F.lit(None).cast("long")), "arcs")
     else:
-        avoid = stage_by(avoid.select("search", "edge").distinct(), "avoided", "search", "edge")
-    ways = stage_by(ways, "arcs", "profile", "src")
-    none = F.lit(None).cast("long")
-    start = sources.select(*KEYS, F.lit(0.0).alias("cost"), F.lit(None).cast("double").alias("prev_cost"), none.alias("prev"), none.alias("edge"), "profile").distinct()
-    start = start.withColumn("moves", F.lit(True))
-    if targets is not None:
-        targets = stage_by(targets.select(*KEYS).distinct(), "targets", *KEYS)
-        start = start.join(targets.select("search").distinct(), "search", "left_semi").join(targets.withColumn("ends", F.lit(True)), KEYS, "left")
-        start = start.withColumn("ends", F.col("ends").isNotNull())
-    else:
-        start = start.withColumn("ends", F.lit(False))
-    rounds = [_write(start)]
-    while rounds[-1].moving:
-        from_ = rounds[-1].table.where("moves").select("search", "profile", F.col("node").alias("src"), F.col("cost").alias("prev_cost"))
-        arrivals = from_.join(ways, ["profile", "src"]).select(
-            "search", F.col("to").alias("node"), (F.col("prev_cost") + F.col("step")).alias("cost"), "prev_cost", F.col("src").alias("prev"), F.col("by").alias("edge"), "profile"
-        )
-        if avoid is not None:
-            met = _held(arrivals, rounds[-1]).join(avoid.withColumn("shut", F.lit(True)), ["search", "edge"], "left")
-            arrivals = met.where(F.col("shut").isNull()).drop("shut")
-        if targets is not None:
-            reached = reduce(DataFrame.unionByName, [unbucketed(r.table).where("ends").select("search", "cost") for r in rounds])
-            arrivals = arrivals.join(reached.groupBy("search").agg(F.min("cost").alias("bound")), "search", "left")
-            arrivals = arrivals.where(F.col("bound").isNull() | (F.col("cost") <= F.col("bound"))).drop("bound")
-        rounds = _compact([*rounds, _write(_new(arrivals, rounds, targets))])
-    found = _merge(rounds).table
-    discard(ways, *[t for t in (targets, avoid) if t is not None])
-    found_rows = found.drop("moves", "ends", "prev_cost")
-    return paths_back(found_rows, found_rows) if with_path else found_rows
+        # Read in every round by search and edge, without being shuffled.
+        lean, shut = stage(ways, "arcs"), stage_by(avoid.select("search", "edge").distinct(), "avoided", "search", "edge")
+    fresh = stage(start.select(*KEYS, F.lit(0.0).alias("cost"), F.lit(0).alias("round")), "round")
+    tables, bounds, number = [fresh], None, 0
+    while True:
+        number += 1
+        new = fresh.drop("round").withColumnRenamed("node", "src").join(lean, ["profile", "src"])
+        new = new.select("search", "profile", F.col("to").alias("node"), "edge", (F.col("cost") + F.col("step")).alias("cost"))
+        if bounds is not None:
+            new = new.join(bounds, "search", "left").where(F.col("bound").isNull() | (F.col("cost") <= F.col("bound"))).drop("bound")
+        new = _without(new, shut).select(*KEYS, "cost", F.lit(None).cast("double").alias("before"))
+        # What is known and what arrives meet in one aggregate.
+        told = [t.select(*KEYS, F.lit(None).cast("double").alias("cost"), F.col("cost").alias("before")) for t in tables]
+        rows = reduce(DataFrame.unionByName, [new, *told]).groupBy(*KEYS).agg(F.min("cost").alias("cost"), F.min("before").alias("before"))
+        better = F.col("cost").isNotNull() & (F.col("before").isNull() | (F.col("cost") < F.col("before")))
+        fresh = stage(rows.where(better).drop("before").withColumn("round", F.lit(number)), "round")
+        if not fresh.limit(1).count():
+            break
+        tables.append(fresh)
+        if len(tables) >= MERGED:
+            # The last round stays apart: the next one starts from it.
+            merged = stage(_known(tables[:-1]), "rounds")
+            discard(*tables[:-1])
+            tables = [merged, fresh]
+            if targets is not None:
+                # A bound that is some rounds old is still one, and a written one costs the rounds no jobs of their own.
+                bound = reduce(DataFrame.unionByName, tables).join(targets, ["search", "node"]).groupBy("search").agg(F.min("cost").alias("bound"))
+                discard(*([bounds] if bounds is not None else []))
+                bounds = stage(bound, "bounds")
+    found = stage(_known(tables), "paths")
+    discard(lean, fresh, *tables, *[t for t in (bounds, targets, shut) if t is not None])
+    return paths_back(found, came_by(found, arcs, avoid)) if with_path else found
+
+
+def came_by(found: DataFrame, arcs: DataFrame, avoid: DataFrame | None = None) -> DataFrame:
+    """``found`` with the edge and the node before each node, null at a source.
+
+    found, arcs and avoid: as of ``cheapest_paths``.  Where a node is as cheap as the one before it, over an arc that costs
+    nothing, the one before was found in an earlier round; so no path turns back on itself.
+    """
+    from_ = found.select("search", "profile", F.col("node").alias("prev"), F.col("cost").alias("prev_cost"), F.col("round").alias("prev_round"))
+    ways = arcs.select("profile", F.col("src").alias("prev"), F.col("dst").alias("node"), "edge", F.col("cost").alias("step"))
+    met = _without(from_.join(ways, ["profile", "prev"]), avoid).join(found, KEYS)
+    tight = (F.col("prev_cost") + F.col("step") == F.col("cost")) & ((F.col("prev_cost") < F.col("cost")) | (F.col("prev_round") < F.col("round")))
+    first = met.where(tight).groupBy(*KEYS).agg(F.min(F.struct("prev_cost", "prev", "edge")).alias("a")).select(*KEYS, "a.edge", "a.prev")
+    return stage(found.join(first, KEYS, "left"), "ways")
 
 
 def paths_back(ends: DataFrame, found: DataFrame) -> DataFrame:
     """``ends`` (search, node and any others) with ``path``, the edges from a source in order, and ``nodes``, one more than edges.
 
-    found: rows of ``cheapest_paths``, which stay where they are; the rows of ``ends`` travel to them.
+    found: rows of ``came_by``.
     """
     steps = found.select("search", F.col("node").alias("at"), F.col("edge").alias("_edge"), F.col("prev").alias("_prev"))
     rows = ends.select("*", F.col("node").alias("at"), F.array().cast("array<long>").alias("path"), F.array("node").alias("nodes"))

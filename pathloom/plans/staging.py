@@ -64,11 +64,6 @@ def stage_by(df: DataFrame, label: str, *keys: str) -> DataFrame:
     return out
 
 
-def unbucketed(table: DataFrame) -> DataFrame:
-    """The rows of a staged table without its buckets: a union of bucketed tables is not bucketed, though the planner may take it for that."""
-    return table.sparkSession.read.schema(table.schema).parquet(_places[table])
-
-
 def _folder(spark: SparkSession, path: str):
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder

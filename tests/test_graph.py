@@ -2,6 +2,7 @@
 
 import heapq
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,56 @@ def test_cheapest_paths_match_dijkstra(spark):
     assert first[0] == min(dijkstra(arcs, [3, 9])[n] for n in (30, 31))
 
 
+def ties(n=40, seed=8):
+    """Arcs of few lengths, some of nought, so that many ways cost the same."""
+    r = random.Random(seed)
+    return [("p", r.randrange(n), r.randrange(n), k, r.choice([0.0, 1.0, 1.0, 2.0])) for k in range(6 * n)]
+
+
+def test_ways_are_those_of_a_search_in_order(spark):
+    """Of equal ways that through the node settled first, by the smallest edge; whatever the order of rows, with arcs that cost nothing."""
+    arcs = ties()
+    avoid = [(1, k) for k in range(0, 240, 3)]
+    starts = spark.createDataFrame([(0, "p", 0), (1, "p", 0)], "search int, profile string, node long")
+    shut = spark.createDataFrame(avoid, "search int, edge long")
+    got = []
+    for parts in (1, 5):
+        table = spark.createDataFrame(random.Random(parts).sample(arcs, len(arcs)), "profile string, src long, dst long, edge long, cost double").repartition(parts)
+        rows = cheapest_paths(table, starts, avoid=shut, with_path=True).collect()
+        got.append(sorted((r.search, r.node, r.cost, tuple(r.path)) for r in rows))
+    assert got[0] == got[1]
+    for search in (0, 1):
+        banned = {k for s, k in avoid if s == search}
+        cost, queue = {}, [(0.0, 0)]
+        while queue:
+            c, node = heapq.heappop(queue)
+            if node not in cost:
+                cost[node] = c
+                for _, src, dst, edge, step in arcs:
+                    if src == node and edge not in banned:
+                        heapq.heappush(queue, (c + step, dst))
+        found = {node: (c, path) for s, node, c, path in got[0] if s == search}
+        assert {n: c for n, (c, _) in found.items()} == cost
+        by_edge = {edge: (src, dst, step) for _, src, dst, edge, step in arcs}
+        for node, (c, path) in found.items():
+            assert not banned & set(path) and sum(by_edge[e][2] for e in path) == c
+            at = node
+            for edge in reversed(path):
+                src, dst, step = by_edge[edge]
+                assert dst == at
+                tight = [(cost[s], s, e) for _, s, d, e, w in arcs if d == at and e not in banned and s in cost and cost[s] + w == cost[at] and cost[s] < cost[at]]
+                assert not tight or (cost[src], src, edge) == min(tight)
+                at = src
+            assert at == 0
+
+
+def test_searches_without_targets_are_not_run(spark):
+    table = spark.createDataFrame(ties(), "profile string, src long, dst long, edge long, cost double")
+    starts = spark.createDataFrame([(0, "p", 0), (1, "p", 0)], "search int, profile string, node long")
+    ends = spark.createDataFrame([(1, 5)], "search int, node long")
+    assert {r.search for r in cheapest_paths(table, starts, ends).collect()} == {1}
+
+
 def test_start_is_end(spark):
     arcs = spark.createDataFrame([("p", 1, 2, 1, 5.0)], "profile string, src int, dst int, edge long, cost double")
     start = spark.createDataFrame([(0, "p", 1)], "search int, profile string, node int")
