@@ -1,43 +1,86 @@
 """Sources and sinks."""
 
 import json
+import sqlite3
+from datetime import date, datetime
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from pathloom.sources import geojson, tiles
+from pathloom.sources import paged as paged_module
 from pathloom.sources.paged import PagedSource, split_service
 
-TABLE = [{"oid": k, "name": f"n{k}", "kind": "a" if k % 2 else "b", "spare": 1} for k in range(25)]
+TABLE = [{"oid": k, "name": f"n{k}", "kind": ["a", "b", None, "it's"][k % 4], "size": k / 2, "spare": 1} for k in range(40) if k % 7]
 
 
 def fake_service(url, query):
-    rows = TABLE
-    if "=" in query["where"] and query["where"] != "1=1":
-        field, _, value = query["where"].partition(" = ")
-        rows = [r for r in rows if str(r[field]) == value.strip("'")]
+    """A service over ``TABLE`` that cuts pages after four rows (ten at ``silent``), says so unless it is ``silent``, and loses its end at ``short``."""
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE TABLE t (oid, name, kind, size, spare)")
+    con.executemany("INSERT INTO t VALUES (:oid, :name, :kind, :size, 1)", TABLE)
+    con.row_factory = sqlite3.Row
+    where = f"({query['where']})".replace("DATE '", "'")
     if "returnCountOnly" in query:
-        return {"count": len(rows)}
+        return {"count": con.execute(f"SELECT count(*) FROM t WHERE {where}").fetchone()[0]}
     if "returnIdRange" in query:
-        return {"min": 0, "max": 24}
+        return dict(con.execute(f"SELECT min(oid) AS min, max(oid) AS max FROM t WHERE {where}").fetchone())
     if "fromId" in query:
-        rows = [r for r in rows if query["fromId"] <= r[query["idColumn"]] < query["toId"]]
-    else:
-        rows = rows[query["resultOffset"] : query["resultOffset"] + min(4, query["resultRecordCount"])]
-    return {"features": [{"attributes": {k: r[k] for k in query["outFields"].split(",")}} for r in rows]}
-
-
-def test_paged(spark):
+        where += f" AND {query['idColumn']} >= {query['fromId']} AND {query['idColumn']} < {query['toId']}"
+    rows = [dict(r) for r in con.execute(f"SELECT {query['outFields']} FROM t WHERE {where} ORDER BY oid")]
+    if "fromId" not in query:
+        rows = rows[query["resultOffset"] :][: query["resultRecordCount"]]
+    if url == "short":
+        rows = rows if query.get("resultOffset", 0) < 8 else []
+    most = 10 if url == "silent" else 4
+    answer = {"features": [{"attributes": r} for r in rows[:most]]}
+    return answer | ({"exceededTransferLimit": True} if len(rows) > most and url != "silent" else {})
+
+
+def paged(spark, url="x", **options):
     spark.dataSource.register(PagedSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    read = lambda **o: spark.read.format("paged").schema("oid int, name string, kind string").options(
-        url="x", transport="tests.test_sources:fake_service", pageSize="6", partitionRows="10", **o
-    ).load()
-    assert sorted(r.oid for r in read().collect()) == list(range(25))
-    assert sorted(r.oid for r in read(idColumn="oid").collect()) == list(range(25))
-    assert sorted(r.oid for r in read().where(F.col("kind") == "a").collect()) == list(range(1, 25, 2))
+    return spark.read.format("paged").schema("oid int, name string, kind string, size double").options(
+        **{"url": url, "transport": "tests.test_sources:fake_service", "pageSize": "6", "partitionRows": "15"} | options
+    ).load()
+
+
+@pytest.mark.parametrize("by", [{}, {"idColumn": "oid"}])
+def test_paged(spark, by):
+    assert sorted(r.oid for r in paged(spark, **by).collect()) == [r["oid"] for r in TABLE]
+    assert [r.name for r in paged(spark, **by).select("name").where("oid = 8").collect()] == ["n8"]
+    assert paged(spark, **by).where("oid > 5000").count() == 0
     assert split_service("http://h/rest/Layer/3") == ("http://h/rest/Layer", "3")
 
 
+def test_short_pages_are_no_silent_loss(spark):
+    """By ids a page that is cut without a word, by offsets one that is empty before the end."""
+    for url, more in (("silent", {"idColumn": "oid", "pageSize": "50", "partitionRows": "100"}), ("short", {})):
+        with pytest.raises(Exception, match="the service"):
+            paged(spark, url, **more).collect()
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["kind = 'a'", "kind <> 'a'", "NOT (kind <=> 'a')", "kind IN ('a', 'it''s')", "kind NOT IN ('a')", "kind IS NULL", "kind IS NOT NULL AND size >= 3.5", "size < 2", "kind > 'a'", "oid = 3 OR oid = 4", "size = double('nan')"],
+)
+def test_filters_mean_the_same_at_the_service(spark, text):
+    plain = spark.createDataFrame([(r["oid"], r["name"], r["kind"], r["size"]) for r in TABLE], "oid int, name string, kind string, size double")
+    assert sorted(map(str, paged(spark).where(text).collect())) == sorted(map(str, plain.where(text).collect()))
+
+
+def test_wider_condition(spark):
+    """A condition that no row meets gives way to a wider one; filters do not set that off."""
+    assert paged(spark, where="kind = 'none' AND size > 1", orWhere="size > 10").count() == sum(r["size"] > 10 for r in TABLE)
+    assert paged(spark, where="kind = 'a'", orWhere="1=1").where("oid = 2").count() == 0
+
+
+def test_literals():
+    assert [paged_module.literal(v) for v in ("it's", 3, 2.5, Decimal("1.10"), date(2024, 2, 29))] == ["'it''s'", "3", "2.5", "1.10", "DATE '2024-02-29'"]
+    assert [paged_module.literal(v) for v in (True, None, float("nan"), float("inf"), datetime(2024, 1, 1))] == [None] * 5
+
+
 def test_geojson(spark, tmp_path):
     features = [
         {"type": "Feature", "geometry": {"type": "Point", "coordinates": [1, 2]}, "properties": {"layer": "p"}},
