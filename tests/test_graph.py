@@ -3,6 +3,7 @@
 import heapq
 import math
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pathloom.operators import routing
 from pathloom.operators.components import connected_components
 from pathloom.operators.shortest_paths import cheapest_paths, cheapest_target
 
+components_module = sys.modules[connected_components.__module__]
+
 EDGE = (
     "id long, from_node long, to_node long, distance_m double, surface string, roughness double, slope double, safety double, "
     "lit boolean, stairs boolean, curb boolean, grade string, riser_count int, kind string, name string, space string, "
@@ -210,6 +213,23 @@ def test_summary_discloses_unknowns(spark):
     assert s.accessibility_score == pytest.approx(100 - 10 / 40 * 30) and s.max_abs_slope == 0.2
 
 
+@pytest.mark.parametrize("kind,most", [("chain", 8), ("star", 4), ("cliques", 4)])
+def test_contraction_writes_few_rows(spark, monkeypatch, kind, most):
+    """Edges and groups of all rounds, as a multiple of the edges in both directions."""
+    if kind == "chain":
+        pairs, want = [(k, k + 1) for k in range(3000)], {0}
+    elif kind == "star":
+        pairs, want = [(2999, k) for k in range(2999)], {0}
+    else:
+        pairs, want = [(c * 20 + a, c * 20 + b) for c in range(20) for a in range(20) for b in range(a)], {c * 20 for c in range(20)}
+    written, plain = [], components_module.stage
+    monkeypatch.setattr(components_module, "stage", lambda df, label: written.append((out := plain(df, label)).count()) or out)
+    got = connected_components(spark.createDataFrame(random.Random(1).sample(pairs, len(pairs)), "src long, dst long")).collect()
+    assert {r.component for r in got} == want and len(got) == len({n for p in pairs for n in p})
+    assert all(r.component == (0 if len(want) == 1 else r.node // 20 * 20) for r in got)
+    assert sum(written) < most * 2 * len(pairs)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (None, 1)] + [(100 + k, 101 + k) for k in range(40)], "src int, dst int")
     got = {r.node: r.component for r in connected_components(edges).collect()}
