@@ -71,4 +71,4 @@ def test_run_is_the_stages(spark, folder):
 def test_registered():
     found = __spark_entry__.queries()
     assert set(queries.queries()) | {"pipeline"} <= set(found)
-    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14))
