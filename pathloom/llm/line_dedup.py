@@ -10,7 +10,9 @@ of pairs, not millions, and none is too frequent to be looked at.  Each pair is
 patience diff: lines unique in both documents anchor the alignment, the longest increasing
 run of anchors is kept, equal neighbours extend it, and the gaps between anchors are aligned
 the same way (by numbered occurrences where no line is unique).  Aligned common blocks of at
-least ``min_words`` words are deleted from the later document.
+least ``min_words`` words are deleted from the later document.  Where blocks stand in another order,
+one alignment leaves some of them; the pair is aligned again from each run that is left.  So a
+line goes if and only if it lies in a block of ``min_words`` words that an earlier document has.
 
 Only hashes and word counts of lines are shuffled for the search; texts move once, to meet
 their deletions.  Documents that share exactly the same lines are one class, of which the
@@ -61,9 +63,15 @@ def _lines(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def runs(hashes: np.ndarray, counts: np.ndarray, min_words: int) -> np.ndarray:
     """Distinct hashes of the shortest runs, from each line onwards and up to each line, that have ``min_words`` words."""
+    return np.unique(placed_runs(hashes, counts, min_words)[2])
+
+
+def placed_runs(hashes: np.ndarray, counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First lines, ends (exclusive) and hashes of the shortest runs."""
     total = np.concatenate(([0], np.cumsum(counts)))
     if total[-1] < min_words:
-        return hashes[:0]
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, hashes[:0]
     end = np.searchsorted(total, total[:-1] + min_words)
     onwards = np.flatnonzero(end <= len(hashes))
     upto = np.flatnonzero(total >= min_words)
@@ -73,7 +81,7 @@ def runs(hashes: np.ndarray, counts: np.ndarray, min_words: int) -> np.ndarray:
         power = np.cumprod(np.full(len(hashes), K.BASE, dtype=np.uint64))
         back = np.cumprod(np.full(len(hashes), K.INVERSE, dtype=np.uint64))
         sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(K.mix(hashes, 7) * power, dtype=np.uint64)))
-        return np.unique(K.mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64), 9))
+        return start, end, K.mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64), 9)
 
 
 def _describe(min_words: int):
@@ -162,8 +170,8 @@ def _increasing(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return run[::-1]
 
 
-def common_blocks(a: list[int], b: list[int], counts: list[int], min_words: int) -> list[int]:
-    """Places in ``b`` of the aligned blocks with enough words; ``counts``: words of b's lines."""
+def aligned_blocks(a: list[int], b: list[int], counts: list[int], min_words: int) -> list[int]:
+    """Places in ``b`` of the blocks of one alignment that have enough words; ``counts``: words of b's lines."""
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
@@ -177,6 +185,33 @@ def common_blocks(a: list[int], b: list[int], counts: list[int], min_words: int)
     return out
 
 
+def _numbered_runs(lines: list[int], counts: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """First line, end and hash of each shortest run, by place; ``lines``: a number for each distinct line."""
+    found = placed_runs(np.array(lines, np.uint64), np.array(counts, np.int64), min_words)
+    return sorted(zip(*(x.tolist() for x in found), strict=True))
+
+
+def common_blocks(a: list[int], b: list[int], counts: list[int], min_words: int) -> list[int]:
+    """Places in ``b`` of all blocks with enough words that ``a`` has too, in whatever order; ``counts``: words of b's lines.
+
+    One alignment finds the blocks that stand in the same order in both.  While a run of both is
+    left, the texts are aligned again from that run onwards, up to the next line that is gone.
+    """
+    gone = set(aligned_blocks(a, b, counts, min_words))
+    number = {x: k for k, x in enumerate(a)}
+    if all(k in gone or x not in number for k, x in enumerate(b)):
+        return sorted(gone)
+    words = dict(zip(b, counts, strict=True))
+    there = _numbered_runs([number[x] for x in a], [words.get(x, 0) for x in a], min_words)
+    here = _numbered_runs([number.get(x, len(a)) for x in b], counts, min_words)
+    first = {run: start for start, _, run in reversed(there)}
+    for start, end, run in here:
+        if run in first and not gone.issuperset(range(start, end)):
+            stop = next((k for k in range(end, len(b)) if k in gone), len(b))
+            gone.update(start + k for k in aligned_blocks(a[first[run] :], b[start:stop], counts[start:stop], min_words))
+    return sorted(gone)
+
+
 def _align(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

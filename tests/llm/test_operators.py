@@ -265,6 +265,41 @@ def test_line_dedup_is_that_of_all_pairs(spark):
     assert sum(len(own) for own in want.values()) < 0.8 * sum(len(t.split("\n")) for _, t in rows)
 
 
+def held_earlier(rows, min_words=line_dedup.MIN_WORDS):
+    """Lines outside of every block of enough words that an earlier document has, read off without any alignment."""
+    docs = sorted((i, [x for x in t.split("\n") if x.split()]) for i, t in rows)
+    out = {}
+    for at, (i, own) in enumerate(docs):
+        gone = set(range(len(own))) if any(own == other for _, other in docs[:at]) else set()
+        for _, other in docs[:at]:
+            for s in range(len(own)):
+                for p in range(len(other)):
+                    n = 0
+                    while s + n < len(own) and p + n < len(other) and own[s + n] == other[p + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in own[s : s + n]) >= min_words:
+                        gone |= set(range(s, s + n))
+        out[i] = [x for k, x in enumerate(own) if k not in gone]
+    return out
+
+
+def test_line_dedup_of_blocks_in_any_order(spark):
+    x, y = ("\n".join(" ".join(f"{b}{k}w{j}" for j in range(9)) for k in range(4)) for b in "xy")
+    rows = [(1, f"{y}\none\n{x}"), (2, f"two\n{x}"), (3, f"three\n{x}\n{y}"), (4, f"{x}\n{y}\n{x}\nfour")]
+    r = random.Random(23)
+    blocks = [[" ".join(r.choice(WORDS) + str(r.randint(0, 50)) for _ in range(r.choice([2, 5, 9, 14, 30]))) for _ in range(r.randint(1, 4))] for _ in range(14)]
+    for k in range(90):
+        lines = []
+        for block in r.sample(blocks, r.randint(0, 6)):
+            cut = r.randint(0, len(block)) if r.random() < 0.3 else 0
+            lines += [*block[cut:], *[f"own {k} {r.random()}"] * r.randint(0, 1), *block[: r.randint(0, 2)]]
+        rows.append((10 + k, "\n".join([*lines, f"end {k}"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {o.doc_id: [z for z in o.text.split("\n") if z] for o in line_dedup.deduplicated(df).collect()}
+    assert got[2] == ["two"] and got[3] == ["three"] and got[4] == ["four"]
+    assert got == held_earlier(rows)
+
+
 def test_line_dedup_carries_clashing_names(spark):
     names = ["n_removed_lines", "row", "key", "gone", "a.b"]
     passage = " ".join(f"p{k}" for k in range(40))
