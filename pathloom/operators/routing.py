@@ -120,8 +120,13 @@ def verified_routes(requests: DataFrame, doors: DataFrame, edges: DataFrame) ->
     return by_place.unionByName(by_door).select("request", "edge", (~F.coalesce(forth, F.lit(False))).alias("backwards")).distinct()
 
 
-def outcomes(requests: DataFrame, found: DataFrame, verified: DataFrame, unreachable: DataFrame) -> DataFrame:
-    """One row for each request: a verified path goes before a search and its gates; without either, the closure is named."""
+def outcomes(requests: DataFrame, found: DataFrame, verified: DataFrame, unreachable: DataFrame, avoid: DataFrame | None = None) -> DataFrame:
+    """One row for each request: a verified path goes before a search and its gates; without either, the closure is named.
+
+    avoid: search, edge; a verified path that is avoided is not taken.
+    """
+    if avoid is not None:
+        verified = verified.join(avoid.select(F.col("search").alias("request"), "edge"), ["request", "edge"], "left_anti")
     first = verified.groupBy("request").agg(F.min(F.struct("edge", "backwards"))["edge"].alias("verified"))
     rows = requests.select("request").join(first, "request", "left")
     rows = rows.join(found.select(F.col("search").alias("request"), "path"), "request", "left")
@@ -275,10 +280,10 @@ def steps(rows: DataFrame, *, by: str = "search", order: str = "pos") -> DataFra
     )
 
 
-def guided(rows: DataFrame, nodes: DataFrame, *, by: str = "search", order: str = "pos") -> DataFrame:
+def guided(rows: DataFrame, nodes: DataFrame, *, by: str = "search", order: str = "pos", surveyed: str | None = None) -> DataFrame:
     """Steps with their first and last node, an instruction and the cautions of their edges, each once, in order.
 
-    rows: as of ``route_edges``, with ``night``.
+    rows: as of ``route_edges``, with ``night``; surveyed: their column that marks the edges of verified paths.
     """
     told = rows.withColumn("told", cautions(F.col("night")))
     each = _islands(told, by, order)
@@ -286,10 +291,13 @@ def guided(rows: DataFrame, nodes: DataFrame, *, by: str = "search", order: str
         F.min_by("a", order).alias("from_node"),
         F.max_by("b", order).alias("to_node"),
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "told"))).alias("all"),
+        F.bool_or(F.col(surveyed) if surveyed else F.lit(False)).alias("on_survey"),
     )
     more = more.withColumn("cautions", F.array_distinct(F.flatten(F.transform("all", lambda x: x["told"])))).drop("all")
     spot = lambda c, p: nodes.select(F.col("id").alias(c), F.col("latitude").alias(f"{p}lat"), F.col("longitude").alias(f"{p}lng"))
     found = steps(rows, by=by, order=order).join(more, [by, "step"]).join(spot("from_node", "a_"), "from_node").join(spot("to_node", "b_"), "to_node")
     heading = direction(F.col("b_lng") - F.col("a_lng"), F.col("b_lat") - F.col("a_lat"))
     told = instruction(F.col("kind"), F.col("name"), heading, F.col("risers"))
-    return found.withColumn("instruction", told).drop("a_lat", "a_lng", "b_lat", "b_lng")
+    follow = F.concat(F.lit("Follow the surveyed path "), heading, F.lit(" along "), F.coalesce("name", F.lit("the path")))
+    told = F.when(F.col("on_survey"), follow).otherwise(told)
+    return found.withColumn("instruction", told).drop("a_lat", "a_lng", "b_lat", "b_lng", "on_survey")

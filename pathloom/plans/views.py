@@ -88,6 +88,16 @@ SELECT n_nationkey AS request, CAST(n_nationkey * 3 AS BIGINT) % 100 AS start_pl
 FROM {nation}
 """
 
+#: The requests, and one for each open path of the survey between two places, every second one against its direction.
+ASKED = f"""
+{REQUESTS} UNION ALL
+SELECT 100 + id AS request, CASE WHEN id % 800 = 0 THEN to_place ELSE from_place END AS start_place,
+       CASE WHEN id % 800 = 0 THEN from_place ELSE to_place END AS end_place,
+       CASE CAST(floor(id / 400) AS BIGINT) % 4 WHEN 0 THEN 'bicycle' WHEN 1 THEN 'walking' WHEN 2 THEN 'wheelchair' ELSE 'scooter' END AS mode,
+       CAST(floor(id / 400) AS BIGINT) % 3 = 1 AS night, id % 5 <> 0 AS smarter
+FROM ({EDGES}) paths WHERE source = 'admin' AND published AND NOT closed AND to_place IS NOT NULL
+"""
+
 #: Review events of submissions, in order of seq.
 REVIEWS = """
 SELECT l_orderkey AS submission, l_linenumber AS seq,
@@ -99,7 +109,7 @@ FROM {lineitem}
 
 VIEWS = {
     "g_nodes": NODES, "g_edges": EDGES, "g_places": PLACES, "g_doors": DOORS,
-    "g_hazards": HAZARDS, "g_fixes": FIXES, "g_requests": REQUESTS, "g_reviews": REVIEWS,
+    "g_hazards": HAZARDS, "g_fixes": FIXES, "g_requests": REQUESTS, "g_asked": ASKED, "g_reviews": REVIEWS,
 }
 BASE = ("customer", "orders", "supplier", "nation", "events", "lineitem")
 

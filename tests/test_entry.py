@@ -15,7 +15,7 @@ from pathloom.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 #: Searches take rounds of jobs; the route queries share one search, so one of them stands for all here.
-SLOW = {"route_sssp_walking_night", "route_steps", "route_hazards", "routes", "route_explanations", "route_geometry", "routes_avoiding", "route_outcomes"}
+SLOW = {"route_sssp_walking_night", "route_steps", "route_hazards", "routes", "route_explanations", "route_geometry", "routes_avoiding", "route_outcomes", "routes_recalculated"}
 
 
 @pytest.fixture(scope="module")
