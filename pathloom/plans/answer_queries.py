@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.operators import answers
+from pathloom.functions import shown
+from pathloom.operators import answers, lifecycle
 from pathloom.plans.graph_queries import ROUTES_SQL as REQUESTED_SQL
-from pathloom.plans.graph_queries import VERIFIED_SQL, WRITTEN_SQL, drawn_edges
+from pathloom.plans.graph_queries import VERIFIED_SQL, WRITTEN_SQL, drawn_edges, fold_sql
 from pathloom.plans.registry import query
 from pathloom.plans.scalar_queries import DIRECTION_SQL, INSTRUCTION_SQL, SPEED_SQL, close
 from pathloom.plans.staging import stage
@@ -93,3 +94,20 @@ def routes_recalculated(g: Graph) -> DataFrame:
     outcome = F.when(F.col("surveyed"), "verified").when(F.col("surveyed").isNull(), "none").otherwise("route")
     rows = before.select("search", _joined("path").alias("before")).join(after.select("search", "surveyed", _joined("path").alias("path")), "search", "left")
     return rows.select(F.col("search").cast("int").alias("request"), "before", outcome.alias("outcome"), "path")
+
+
+@query("SELECT id, title, CASE WHEN severity >= 3 THEN 'high' WHEN severity = 2 THEN 'medium' ELSE 'low' END AS severity FROM g_hazards WHERE active")
+def hazard_cards(g: Graph) -> DataFrame:
+    """Active hazards as they are shown."""
+    return g.hazards.where("active").select("id", "title", shown.severity_name(F.col("severity")).alias("severity"))
+
+
+@query(f"""SELECT submission, CASE WHEN status IN ('pending', 'rejected', 'published') THEN status ELSE 'approved' END AS status,
+CAST(CASE job {" ".join(f"WHEN '{k}' THEN {v}" for k, v in shown.PROGRESS.items())} ELSE 0 END AS INT) AS progress,
+CASE WHEN job = 'none' THEN NULL WHEN job = 'succeeded' THEN 'complete' WHEN job IN ('published', 'queued') THEN job ELSE 'running' END AS job FROM ({fold_sql()})""")
+def submission_cards(g: Graph) -> DataFrame:
+    """Submissions and their jobs as they are shown; without a job, none."""
+    job = F.nullif("job", F.lit("none"))
+    states = lifecycle.fold(g.reviews).withColumn("job", job)
+    status = F.when(F.col("job").isNotNull(), shown.job_status(F.col("job")))
+    return states.select("submission", shown.submission_status(F.col("status")).alias("status"), shown.job_progress(F.col("job")).alias("progress"), status.alias("job"))

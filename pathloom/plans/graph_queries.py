@@ -355,7 +355,7 @@ def start_doors(g: Graph) -> DataFrame:
     return routing.terminals(g.requests, g.doors, "start_place").select(F.col("search").cast("int").alias("request"), "door", "node")
 
 
-def _fold_sql() -> str:
+def fold_sql() -> str:
     arms_s, arms_j, fits = [], [], []
     for (a, s, j), (ns, nj) in lifecycle.TRANSITIONS.items():
         cond = f"action = '{a}'" + (f" AND status = '{s}'" if s != "*" else "") + (f" AND job = '{j}'" if j != "*" else "")
@@ -369,7 +369,7 @@ f(submission, k, status, job, refused) AS (SELECT DISTINCT submission, CAST(0 AS
 SELECT submission, arg_max(status, k) AS status, arg_max(job, k) AS job, arg_max(refused, k) AS refused FROM f GROUP BY submission"""
 
 
-@query(_fold_sql())
+@query(fold_sql())
 def submission_states(g: Graph) -> DataFrame:
     return lifecycle.fold(g.reviews)
 
