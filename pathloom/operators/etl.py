@@ -90,7 +90,7 @@ def closures(edges: DataFrame, nodes: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def shortcuts(nodes: DataFrame, lawns: DataFrame, obstacles: DataFrame, *, low: float = 15.0, high: float = 250.0, share: float = 0.85) -> DataFrame:
-    """Node pairs across a lawn: long enough, clear of obstacles at every 2 m, mostly on the lawn.
+    """Node pairs across a lawn: long enough, clear of obstacles and mostly on the lawn at points 2 m apart or a little more.
 
     Each pair counts for its first lawn.  Pairs come from a grid, and a pair's length is
     checked before it is sampled.
@@ -106,7 +106,7 @@ def shortcuts(nodes: DataFrame, lawns: DataFrame, obstacles: DataFrame, *, low:
     length = geo.plane_campus(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
     pairs = here.join(other, ["zone", "cx", "cy"]).where("from_node < to_node").drop("cx", "cy")
     pairs = pairs.withColumn("distance_m", length).where(F.col("distance_m").between(low, high))
-    count = F.greatest(F.lit(1), F.ceil(F.col("distance_m") / 2).cast("int"))
+    count = F.greatest(F.lit(2), F.floor(F.col("distance_m") / 2).cast("int"))
     samples = pairs.withColumn("n", count).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
     part = F.col("k") / F.col("n")
     samples = samples.select(

@@ -178,6 +178,16 @@ def test_shortcut_avoids_buildings(spark):
     assert {(r.from_node, r.to_node) for r in kept} == {(1, 2), (1, 3)}
 
 
+def test_shortcut_is_looked_at_two_metres_apart_or_more(spark):
+    # 17 m make eight parts; the lawn holds the first seven of nine points, where nine parts would give eight of ten.
+    up = 17.0 / 110540.0
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, up)], "id long, x double, y double")
+    w, top = 0.00005, up * 0.83
+    lawn = spark.createDataFrame([(0, [(-w, -w), (w, -w), (w, top), (-w, top)])], f"zone int, ring {RING}")
+    assert etl.shortcuts(nodes, lawn, lawn.limit(0), share=0.79).count() == 0
+    assert [(r.from_node, r.to_node) for r in etl.shortcuts(nodes, lawn, lawn.limit(0), share=0.77).collect()] == [(1, 2)]
+
+
 def test_doors_go_to_buildings(spark):
     d = 0.0001
     buildings = spark.createDataFrame([(1, "Gilman Hall", [(0.0, 0.0), (d, 0.0), (d, d), (0.0, d)]), (2, "Brody", [(3 * d, 0.0), (4 * d, 0.0), (4 * d, d), (3 * d, d)])], f"zone int, title string, ring {RING}")
