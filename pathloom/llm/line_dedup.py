@@ -11,8 +11,8 @@ patience diff: lines unique in both documents anchor the alignment, the longest
 run of anchors is kept, equal neighbours extend it, and the gaps between anchors are aligned
 the same way (by numbered occurrences where no line is unique).  Aligned common blocks of at
 least ``min_words`` words are deleted from the later document.  Where blocks stand in another order,
-one alignment leaves some of them; the pair is aligned again from each run that is left.  So a
-line goes if and only if it lies in a block of ``min_words`` words that an earlier document has.
+one alignment leaves some of them; the pair is aligned again from each run that is left.  So,
+whole copies apart (below), a line goes if and only if it lies in a block of ``min_words`` words that an earlier document has.
 
 Only hashes and word counts of lines are shuffled for the search; texts move once, to meet
 their deletions.  Documents that share exactly the same lines are one class, of which the
