@@ -147,13 +147,13 @@ def lambert_inverse(x_ft: Column, y_ft: Column) -> Column:
 def edge_line(geometry: Column, back: Column, a_lng: Column, a_lat: Column, b_lng: Column, b_lat: Column) -> Column:
     """An edge's drawn line as [lng, lat] points in travel order; without two points, its ends.
 
-    ``geometry``: JSON text of pairs; pairs written latitude first, as the region's values show, are turned.
+    ``geometry``: JSON text of pairs; pairs written latitude first, as the region's values show, are turned.  Beyond the region a
+    pair is turned if, read latitude first, it lies nearer to the edge's start.
     """
     given = F.filter(F.coalesce(F.from_json(geometry, "array<array<double>>"), F.array()), lambda p: F.size(p) == 2)
-    turned = F.transform(
-        given,
-        lambda p: F.when((p[0] > 38) & (p[0] < 41) & (p[1] > -78) & (p[1] < -75), F.array(p[1], p[0])).otherwise(p),
-    )
+    in_region = lambda p: (p[0] > 38) & (p[0] < 41) & (p[1] > -78) & (p[1] < -75)
+    off = lambda p, x, y: F.abs(p[0] - x) + F.abs(p[1] - y)
+    turned = F.transform(given, lambda p: F.when(in_region(p) | (off(p, a_lat, a_lng) < off(p, a_lng, a_lat)), F.array(p[1], p[0])).otherwise(p))
     line = F.when(back, F.reverse(turned)).otherwise(turned)
     return F.when(F.size(given) >= 2, line).otherwise(F.array(F.array(a_lng, a_lat), F.array(b_lng, b_lat)))
 

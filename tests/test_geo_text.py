@@ -264,3 +264,11 @@ def test_searches_look_at_few_places(spark):
     looked, right = text_index.candidates(searches, among).agg(F.count("id"), F.count_if(F.contains("text", "value"))).first()
     assert right == 10_000 and looked < 3 * 10_000
     among.discard()
+
+
+def test_drawn_lines_beyond_the_region_are_turned(spark):
+    """North of 41 degrees only the edge's own ends show which number is the latitude."""
+    rows = [(1, "[[45.0,-76.5],[45.1,-76.6]]"), (2, "[[-76.5,45.0],[-76.6,45.1]]"), (3, "[[39.0,-76.5],[39.1,-76.6]]")]
+    line = geo.edge_line(F.col("geometry"), F.lit(False), F.lit(-76.5), F.lit(45.0), F.lit(-76.6), F.lit(45.1))
+    got = {r.id: r.line for r in spark.createDataFrame(rows, "id int, geometry string").select("id", line.alias("line")).collect()}
+    assert got[1] == got[2] == [[-76.5, 45.0], [-76.6, 45.1]] and got[3] == [[-76.5, 39.0], [-76.6, 39.1]]
