@@ -14,13 +14,30 @@ from pathloom.plans.staging import stage
 
 #: What is assumed of a verified path whose safety was not measured, in percent.
 ASSUMED_SAFETY = 92.0
+#: Shares of a pair's verified paths that are put in order apart.
+DEALT = 32
 
 
-def first_verified(verified: DataFrame, avoid: DataFrame | None = None) -> DataFrame:
-    """search, edge, backwards: of each request's verified paths (request, edge, backwards) that it does not avoid, the one with the smallest number."""
-    rows = verified.withColumnRenamed("request", "search")
-    if avoid is not None:
-        rows = rows.join(avoid.select("search", "edge"), ["search", "edge"], "left_anti")
+def first_verified(requests: DataFrame, doors: DataFrame, edges: DataFrame, avoid: DataFrame | None = None) -> DataFrame:
+    """search, edge, backwards: of each request's verified paths that it does not avoid (search, edge), the one with the smallest number.
+
+    Paths are found once for a pair of places.  A request that avoids k of its pair's paths takes one of the first k + 1, so it meets only these.
+    """
+    asked = requests.select(F.col("request").alias("search"), *routing.PAIR)
+    ways = stage(routing.verified_ways(asked.select(*routing.PAIR).distinct(), doors, edges), "ways")
+    if avoid is None:
+        first = ways.groupBy(*routing.PAIR).agg(F.min(F.struct("edge", "backwards")).alias("v"))
+        return asked.join(first, routing.PAIR).select("search", "v.*")
+    shut = asked.join(avoid.select("search", "edge").distinct(), "search").join(ways.select(*routing.PAIR, "edge").distinct(), [*routing.PAIR, "edge"])
+    shut = stage(shut.select("search", *routing.PAIR, "edge"), "shut")
+    most = shut.groupBy("search", *routing.PAIR).count().groupBy(*routing.PAIR).agg((F.max("count") + 1).alias("most"))
+    first = ways.join(most, routing.PAIR, "left").withColumns({"most": F.coalesce("most", F.lit(1)), "deal": F.pmod(F.xxhash64("edge"), F.lit(DEALT))})
+    # Within shares first, so that no pair's paths are put in order by one task.
+    for by in ([*routing.PAIR, "deal"], routing.PAIR):
+        first = first.withColumn("k", F.dense_rank().over(Window.partitionBy(*by).orderBy("edge"))).where("k <= most")
+    first = first.drop("most", "deal")
+    room = asked.join(shut.groupBy("search").agg(F.count(F.lit(1)).alias("gone")), "search", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+    rows = room.join(first, routing.PAIR).where(F.col("k") <= F.col("gone") + 1).join(shut.select("search", "edge"), ["search", "edge"], "left_anti")
     return rows.groupBy("search").agg(F.min(F.struct("edge", "backwards")).alias("v")).select("search", "v.*")
 
 
@@ -30,7 +47,7 @@ def answers(edges: DataFrame, hazards: DataFrame, doors: DataFrame, requests: Da
     A verified path that the request does not avoid is taken as it is, whatever the mode's gates, and is not searched for; it costs its
     time.  avoid: search, edge.  Requests without any way have no row; a request from a place to itself has a path without edges.
     """
-    mine = stage(first_verified(routing.verified_routes(requests, doors, edges), avoid), "verified")
+    mine = stage(first_verified(requests, doors, edges, avoid), "verified")
     rest = requests.join(mine.select(F.col("search").alias("request")), "request", "left_anti")
     found = routing.routes(edges, hazards, doors, rest, avoid).withColumn("surveyed", F.lit(False))
     path = edges.select(F.col("id").alias("edge"), "from_node", "to_node", "distance_m")

@@ -9,6 +9,10 @@ from pathloom.functions import cost as C
 from pathloom.operators.shortest_paths import came_by, cheapest_paths, cheapest_target, paths_back
 from pathloom.plans.staging import discard, stage
 
+PAIR = ["start_place", "end_place"]
+#: Verified paths of a pair of places that a request meets in one row.
+LISTED = 1024
+
 
 def severities(hazards: DataFrame, night: Column) -> DataFrame:
     """The worst active hazard of each edge at this time."""
@@ -103,11 +107,14 @@ def unreached(requests: DataFrame, found: DataFrame, doors: DataFrame, edges: Da
     return rest.select(F.col("request").alias("search")).join(names, "search", "left")
 
 
-def verified_routes(requests: DataFrame, doors: DataFrame, edges: DataFrame) -> DataFrame:
-    """request, edge, backwards: an open path of the survey that joins the request's two places, or doors of both."""
+def verified_ways(pairs: DataFrame, doors: DataFrame, edges: DataFrame) -> DataFrame:
+    """start_place, end_place, edge, backwards, each once: the open paths of the survey that join the two places of a pair, or doors of both.
+
+    pairs: start_place, end_place, each once.  As many rows as there are paths for a pair, however many requests ask for it.
+    """
     held = doors.groupBy("place_id").agg(F.collect_set("node_id").alias("nodes"))
     side = lambda c, n: held.select(F.col("place_id").alias(c), F.col("nodes").alias(n))
-    asked = requests.select("request", "start_place", "end_place").where("start_place <> end_place")
+    asked = pairs.select(*PAIR).where("start_place <> end_place")
     asked = asked.join(side("start_place", "s"), "start_place").join(side("end_place", "t"), "end_place")
     path = edges.where("source = 'admin' AND published AND NOT closed").select(F.col("id").alias("edge"), "from_node", "to_node", "from_place", "to_place")
     keyed = path.withColumn("ends", F.array_sort(F.array("from_place", "to_place")))
@@ -117,7 +124,26 @@ def verified_routes(requests: DataFrame, doors: DataFrame, edges: DataFrame) ->
     has = lambda a, n: F.array_contains(a, F.col(n))
     by_door = by_door.where((has("s", "from_node") & has("t", "to_node")) | (has("t", "from_node") & has("s", "to_node")))
     forth = ((F.col("from_place") == F.col("start_place")) & (F.col("to_place") == F.col("end_place"))) | (has("s", "from_node") & has("t", "to_node"))
-    return by_place.unionByName(by_door).select("request", "edge", (~F.coalesce(forth, F.lit(False))).alias("backwards")).distinct()
+    return by_place.unionByName(by_door).select(*PAIR, "edge", (~F.coalesce(forth, F.lit(False))).alias("backwards")).distinct()
+
+
+def verified_routes(requests: DataFrame, doors: DataFrame, edges: DataFrame) -> DataFrame:
+    """request, edge, backwards: an open path of the survey that joins the request's two places, or doors of both.
+
+    The rows are by nature requests times paths of a pair of places.  A pair's paths are dealt over lists of about ``LISTED``, and
+    requests meet lists, so no pair is one task's, and what is shuffled are requests and lists and never the rows.
+    request: a key.
+    """
+    asked = requests.select("request", *PAIR).distinct()
+    ways = stage(verified_ways(asked.select(*PAIR).distinct(), doors, edges), "verified")
+    lists = ways.groupBy(*PAIR).agg(F.ceil(F.count(F.lit(1)) / LISTED).cast("int").alias("lists"))
+    part = F.pmod(F.xxhash64("edge"), F.col("lists")).cast("int")
+    held = ways.join(lists, PAIR).groupBy(*PAIR, part.alias("list")).agg(F.collect_list(F.struct("edge", "backwards")).alias("held"))
+    met = asked.join(lists, PAIR).select("request", *PAIR, F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("list"))
+    # Small rows that become many: their partitions are not to be brought together.
+    many = int(ways.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*PAIR, "list"]
+    return met.repartition(many, *keys).join(held.hint("shuffle_hash"), keys).select("request", F.inline("held"))
 
 
 def outcomes(requests: DataFrame, found: DataFrame, verified: DataFrame, unreachable: DataFrame, avoid: DataFrame | None = None) -> DataFrame:

@@ -3,8 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from pathloom.operators import answers
+from pathloom.operators import answers, routing
 
 #: id, from, to, kind, source, verified, from_place, to_place, distance, bidirectional, closed, geometry
 EDGES = [
@@ -75,3 +76,28 @@ def test_documents(spark, graph):
     assert told[1]["line"] == [[-76.8, 39.2], [-76.95, 39.15], [-76.9, 39.1], [-76.5, 39.0]] and told[1]["stats"]["verified_percent"] == 50
     assert [s["edge_id"] for s in told[1]["steps"]] == [2, 1] and told[1]["hazards"] == []
     assert told[4]["line"] == [[-76.9, 39.1]] and told[4]["steps"] == [] and "stats" not in told[4]
+
+
+def test_many_requests_for_a_pair_of_places_meet_few_paths(spark, graph, monkeypatch):
+    """Requests of one pair of places look at as many of its paths as they avoid, and one more; the paths are found once."""
+    edges, hazards, doors, *_ = graph
+    k = F.col("n.id")
+    same = edges.where("id = 3").drop("id").crossJoin(spark.range(10, 310).alias("n")).select(k.alias("id"), *[c for c in edges.columns if c != "id"])
+    asked = spark.range(400).select(F.col("id").alias("request"), F.when(F.col("id") % 2 == 0, 10).otherwise(30).alias("start_place"), F.when(F.col("id") % 2 == 0, 30).otherwise(10).alias("end_place"))
+    avoid = spark.createDataFrame([(0, 10), (0, 11), (1, 10), (2, 12), *[(4, e) for e in range(10, 310)]], "search long, edge long")
+    written, plain = [], answers.stage
+    monkeypatch.setattr(answers, "stage", lambda df, label: written.append((out := plain(df, label)).count()) or out)
+    got = {r.search: (r.edge, r.backwards) for r in answers.first_verified(asked, doors, same, avoid).collect()}
+    assert 4 not in got and len(got) == 399
+    assert got[0] == (12, False) and got[1] == (11, True) and got[2] == (10, False) and got[3] == (10, True)
+    assert sum(written) == 2 * 300 + 304
+    pairs = routing.verified_routes(asked, doors, same)
+    assert pairs.count() == pairs.distinct().count() == 400 * 300 and pairs.where("backwards").count() == 200 * 300
+
+
+def test_verified_routes_shuffle_requests_and_not_their_rows(spark, graph):
+    edges, _, doors, *_ = graph
+    asked = spark.range(50).select(F.col("id").alias("request"), F.lit(10).alias("start_place"), F.lit(30).alias("end_place"))
+    plan = routing.verified_routes(asked, doors, edges)._jdf.queryExecution().optimizedPlan().toString()
+    # The rows come out of the lists after the last shuffle.
+    assert plan.index("Generate inline") < plan.index("Join") and not plan.lstrip().startswith("Aggregate")
