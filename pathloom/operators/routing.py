@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import cost as C
-from pathloom.operators.shortest_paths import came_by, cheapest_paths, cheapest_target, paths_back
+from pathloom.operators.shortest_paths import came_by, cheapest_paths, cheapest_target, corridor, paths_back
 from pathloom.plans.staging import discard, stage
 
 PAIR = ["start_place", "end_place"]
@@ -37,8 +37,9 @@ def priced_edges(edges: DataFrame, hazards: DataFrame, wanted: DataFrame) -> Dat
 
     The profiles are a handful of rows by nature (modes x day and night x shortcuts).
     """
-    worst = severities(hazards, F.lit(True)).withColumnRenamed("severity", "at_night").join(
-        severities(hazards, F.lit(False)).withColumnRenamed("severity", "by_day"), "edge_id", "full"
+    counts = lambda night: F.col("active") & C.hazard_applies(F.col("active_when"), F.lit(night))
+    worst = hazards.where(F.col("edge_id").isNotNull()).groupBy("edge_id").agg(
+        *[F.coalesce(F.max(F.when(counts(night), F.col("severity"))), F.lit(0)).alias(name) for night, name in ((True, "at_night"), (False, "by_day"))]
     )
     rows = edges.where("published").join(worst, edges.id == worst.edge_id, "left").drop("edge_id")
     rows = rows.crossJoin(F.broadcast(wanted))
@@ -49,9 +50,10 @@ def priced_edges(edges: DataFrame, hazards: DataFrame, wanted: DataFrame) -> Dat
 
 def arcs(edges: DataFrame) -> DataFrame:
     """Both directions of two-way edges; the cost does not turn with the direction."""
-    forth = edges.withColumns({"src": F.col("from_node"), "dst": F.col("to_node"), "reversed": F.lit(False)})
-    back = edges.where("bidirectional").withColumns({"src": F.col("to_node"), "dst": F.col("from_node"), "reversed": F.lit(True)})
-    return forth.unionByName(back)
+    way = lambda src, dst, back: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(back).alias("reversed"))
+    forth, back = way("from_node", "to_node", False), way("to_node", "from_node", True)
+    # Out of each row, so that what stands before, as the price, is worked out once.
+    return edges.select("*", F.inline(F.when(F.col("bidirectional"), F.array(forth, back)).otherwise(F.array(forth))))
 
 
 def usable_doors(doors: DataFrame, step_free: Column) -> DataFrame:
@@ -78,8 +80,13 @@ def routes(edges: DataFrame, hazards: DataFrame, doors: DataFrame, requests: Dat
     """
     priced = priced_edges(edges, hazards, profiles(requests))
     ways = stage(arcs(priced).select("profile", "src", "dst", F.col("id").alias("edge"), "cost"), "ways")
-    starts = terminals(requests, doors, "start_place").select("search", "profile", "node")
-    ends = terminals(requests, doors, "end_place").select("search", "node").distinct()
+    starts = stage(terminals(requests, doors, "start_place").select("search", "profile", "node"), "starts")
+    ends = stage(terminals(requests, doors, "end_place").select("search", "node").distinct(), "ends")
+    avoid = None if avoid is None else stage(avoid.select("search", "edge"), "avoided")
+    lean, served = corridor(ways, starts, ends, avoid)
+    # From here on only the few arcs between a search's ends are read.
+    ways, ends = lean, ends.join(served, "search", "left_semi")
+    avoid = None if avoid is None else stage(avoid.join(lean.select("edge").distinct(), "edge", "left_semi").distinct(), "avoided")
     found = cheapest_paths(ways, starts, ends, avoid)
     reached = stage(cheapest_target(found, ends).drop("round"), "reached")
     # Beyond its cheapest end no node is on the way of a search.

@@ -26,6 +26,10 @@ KEYS = ["search", "profile", "node"]
 #: Tables of rounds that are read side by side before they are merged, and edges of a path that one job reads.
 MERGED = 5
 HOPS = 6
+#: Nodes that one end of a search expands in its first round, twice as many in each further one; the shares of its open nodes that it can take.
+FIRST, SHARES = 64, [2.0**-k for k in range(12, -1, -1)]
+#: Sums of costs in another order may be off by rounding.
+SLACK = 1 + 1e-9
 
 
 def _known(tables: list[DataFrame]) -> DataFrame:
@@ -93,6 +97,74 @@ def cheapest_paths(
     return paths_back(found, came_by(found, arcs, avoid)) if with_path else found
 
 
+def corridor(arcs: DataFrame, sources: DataFrame, targets: DataFrame, avoid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The arcs among which every search has its cheapest ways to its cheapest targets, all equally cheap ones with them, and the searches that have any (search).
+
+    arcs, sources, targets and avoid: as of ``cheapest_paths``; arcs and avoid are read in every round and had better be staged.
+
+    A search grows from both its ends.  A round expands the cheapest open nodes of each end, twice as many as the round before.  What
+    is cheaper than an end's cheapest open node is settled, so once both radii together exceed the cheapest meeting found, each node of a
+    cheapest way lies in one of the two balls; and if one end has no open node left, nothing more is to be found.  Two balls of half
+    the way hold far fewer nodes than one of all of it, so a round's nodes are few beside the arcs and these are read but not shuffled.
+    """
+    both = ["search", "profile", "node"]
+    none = F.lit(None).cast("struct<cost:double,open:int>")
+    begin = F.struct(F.lit(0.0).alias("cost"), F.lit(1).alias("open"))
+    start = sources.select(*both).distinct().join(targets.select("search").distinct(), "search", "left_semi")
+    ends = targets.select("search", "node").distinct().join(sources.select("search", "profile").distinct(), "search").select(*both)
+    # Of each node the cheapest cost from the sources and to the targets; an expanded one goes before an open one that is as cheap.
+    merged = lambda rows: rows.groupBy(*both).agg(F.min("f").alias("f"), F.min("b").alias("b"))
+    state = stage(merged(start.select(*both, begin.alias("f"), none.alias("b")).unionByName(ends.select(*both, none.alias("f"), begin.alias("b")))), "balls")
+    number = 0
+    while True:
+        opened = {e: F.when(F.col(f"{e}.open") == 1, F.col(f"{e}.cost")) for e in "fb"}
+        facts = [F.min(opened[e]).alias(f"r{e}") for e in "fb"] + [F.count(opened[e]).alias(f"n{e}") for e in "fb"]
+        facts += [F.percentile_approx(opened[e], SHARES).alias(f"p{e}") for e in "fb"]
+        known = state.groupBy("search").agg(F.min(F.col("f.cost") + F.col("b.cost")).alias("met"), *facts)
+        infinite = F.lit(float("inf"))
+        bound = F.coalesce(F.col("met") * SLACK, infinite)
+        known = known.withColumn("done", F.col("rf").isNull() | F.col("rb").isNull() | (F.col("rf") + F.col("rb") > bound))
+        known = stage(known, "radii")
+        if not known.where("NOT done").limit(1).count():
+            break
+        wanted = float(FIRST << min(number, 40))
+        number += 1
+        reach = {}
+        for e, other in ("fb", "bf"):
+            fits = F.filter(F.zip_with(F.col(f"p{e}"), F.lit(SHARES), lambda v, share: F.when(share * F.col(f"n{e}") <= wanted, v)), lambda v: v.isNotNull())
+            # No node need be expanded that is dearer than the meeting less the other end's radius.
+            reach[e] = F.least(F.greatest(F.coalesce(F.array_max(fits), F.col(f"r{e}")), F.col(f"r{e}")), bound - F.col(f"r{other}")).alias(f"to{e}")
+        live = known.where("NOT done").select("search", reach["f"], reach["b"])
+        near = stage(state.join(live, "search").where(F.greatest(*[F.coalesce(opened[e] <= F.col(f"to{e}"), F.lit(False)) for e in "fb"])), "near")
+        came = []
+        for e, at, to in (("f", "src", "dst"), ("b", "dst", "src")):
+            front = near.where(opened[e] <= F.col(f"to{e}")).select("search", "profile", F.col("node").alias(at), F.col(f"{e}.cost").alias("_cost"))
+            # Many arcs meet few nodes: by one number, with the profile and node behind it compared by order, this is much cheaper than by text and number.
+            front = front.select("search", F.xxhash64("profile", at).alias("_key"), F.col("profile").alias("_profile"), F.col(at).alias("_at"), "_cost")
+            ways = arcs.select("profile", "src", "dst", "edge", "cost", F.xxhash64("profile", at).alias("_key"))
+            new = front.join(ways, "_key").where(F.col("profile").between(F.col("_profile"), F.col("_profile")) & F.col(at).between(F.col("_at"), F.col("_at")))
+            cost = F.struct((F.col("_cost") + F.col("cost")).alias("cost"), F.lit(1).alias("open"))
+            came.append(new.select("search", "profile", F.col(to).alias("node"), "edge", *[(cost if x == e else none).alias(x) for x in "fb"]))
+        came = came[0].unionByName(came[1])
+        if avoid is not None:
+            # Read against the few edges of the round, the avoided ones are not shuffled either.
+            met = stage(came, "came")
+            shut = avoid.join(met.select("search", "edge").distinct(), ["search", "edge"], "left_semi")
+            came = _without(met, shut)
+        reached = {e: F.col(f"to{e}") for e in "fb"}
+        closed = {e: F.when(opened[e] <= reached[e], F.struct(F.col(f"{e}.cost").alias("cost"), F.lit(0).alias("open"))).otherwise(F.col(e)).alias(e) for e in "fb"}
+        kept = state.join(live, "search", "left").select(*both, closed["f"], closed["b"])
+        before, state = state, stage(merged(kept.unionByName(came.drop("edge"))), "balls")
+        discard(before, near, known, *([met] if avoid is not None else []))
+    held = state.join(known.where("met IS NOT NULL").select("search", "met", "rf", "rb"), "search")
+    inside = [F.coalesce(F.col(f"{e}.cost") <= F.least(F.coalesce(f"r{e}", infinite), F.col("met") * SLACK), F.lit(False)) for e in "fb"]
+    inner = stage(held.where(inside[0] | inside[1]).select("profile", "node").distinct(), "inner")
+    lean = arcs.join(inner.withColumnRenamed("node", "src"), ["profile", "src"], "left_semi").join(inner.withColumnRenamed("node", "dst"), ["profile", "dst"], "left_semi")
+    lean, served = stage(lean, "corridor"), stage(known.where("met IS NOT NULL").select("search"), "served")
+    discard(state, known, inner)
+    return lean, served
+
+
 def came_by(found: DataFrame, arcs: DataFrame, avoid: DataFrame | None = None) -> DataFrame:
     """``found`` with the edge and the node before each node, null at a source.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pathloom.functions import cost as C
 from pathloom.operators import routing
 from pathloom.operators.components import connected_components
-from pathloom.operators.shortest_paths import cheapest_paths, cheapest_target
+from pathloom.operators.shortest_paths import cheapest_paths, cheapest_target, corridor
 
 components_module = sys.modules[connected_components.__module__]
 
@@ -244,3 +244,28 @@ def test_instruction(spark):
         routing.direction(F.lit(0.0), F.lit(0.0)).alias("d"),
     ).first()
     assert (row.a, row.b, row.c, row.d) == ("Head north along the sidewalk", "Take the steps south (4 steps)", "Head west", "south")
+
+
+def test_corridor_holds_all_cheapest_ways_and_few_nodes(spark):
+    """Searches among the arcs of the corridor are those among all arcs, ties and avoided edges included; a closed end stops the search at once."""
+    r = random.Random(3)
+    arcs = ties() + [("p", 100 + k, 100 + r.randrange(2000), 1000 + 20 * k + j, r.choice([1.0, 2.0, 3.0, 5.0])) for k in range(2000) for j in range(4)]
+    table = spark.createDataFrame(arcs, "profile string, src long, dst long, edge long, cost double")
+    starts = spark.createDataFrame([(0, "p", 0), (1, "p", 3), (2, "p", 100), (2, "p", 101), (3, "p", 100), (4, "p", 7)], "search int, profile string, node long")
+    ends = spark.createDataFrame([(0, 30), (0, 31), (1, 5), (2, 1500), (3, 30), (4, 7)], "search int, node long")
+    avoid = spark.createDataFrame([(s, k) for s in (0, 1, 2) for k in range(s, 9000, 3)], "search int, edge long")
+    lean, served = corridor(table, starts, ends, avoid)
+    assert {r.search for r in served.collect()} == {0, 1, 2, 4}
+    whole = cheapest_target(cheapest_paths(table, starts, ends, avoid, with_path=True), ends)
+    some = cheapest_target(cheapest_paths(lean, starts, ends, avoid, with_path=True), ends)
+    rows = lambda df: sorted((r.search, r.node, r.cost, tuple(r.path)) for r in df.collect())
+    assert rows(some) == rows(whole) and len(rows(some)) == 4
+    # Of 2,000 nodes that search 2 might come by, its balls settle a part.
+    assert lean.where("src >= 100").select("src").distinct().count() < 1000
+
+
+def test_price_is_worked_out_once_for_both_directions(spark):
+    edges = frame(spark, [edge(1, 1, 2, 10), edge(2, 2, 3, 10, bidirectional=False), edge(3, 3, 4, 10, bidirectional=None)])
+    ways = routing.arcs(edges)
+    assert sorted((r.id, r.src, r.dst, r.reversed) for r in ways.collect()) == [(1, 1, 2, False), (1, 2, 1, True), (2, 2, 3, False), (3, 3, 4, False)]
+    assert "Union" not in ways._jdf.queryExecution().optimizedPlan().toString()
