@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import cost as C
 from pathloom.operators.shortest_paths import came_by, cheapest_paths, cheapest_target, corridor, paths_back
-from pathloom.plans.staging import discard, stage
+from pathloom.plans.staging import buckets, discard, stage
 
 PAIR = ["start_place", "end_place"]
 #: Verified paths of a pair of places that a request meets in one row.
@@ -148,9 +148,8 @@ def verified_routes(requests: DataFrame, doors: DataFrame, edges: DataFrame) ->
     held = ways.join(lists, PAIR).groupBy(*PAIR, part.alias("list")).agg(F.collect_list(F.struct("edge", "backwards")).alias("held"))
     met = asked.join(lists, PAIR).select("request", *PAIR, F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("list"))
     # Small rows that become many: their partitions are not to be brought together.
-    many = int(ways.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*PAIR, "list"]
-    return met.repartition(many, *keys).join(held.hint("shuffle_hash"), keys).select("request", F.inline("held"))
+    return met.repartition(buckets(ways.sparkSession), *keys).join(held.hint("shuffle_hash"), keys).select("request", F.inline("held"))
 
 
 def outcomes(requests: DataFrame, found: DataFrame, verified: DataFrame, unreachable: DataFrame, avoid: DataFrame | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.plans.staging import discard, stage, stage_by
+from pathloom.plans.staging import buckets, discard, stage, stage_by
 
 KEYS = ["search", "profile", "node"]
 #: Tables of rounds that are read side by side before they are merged, and edges of a path that one job reads.
@@ -58,10 +58,15 @@ def cheapest_paths(
         targets = stage(targets.select("search", "node").distinct(), "targets")
         start = start.join(targets.select("search").distinct(), "search", "left_semi")
     ways = arcs.select("profile", "src", F.col("dst").alias("to"), "edge", F.col("cost").alias("step"))
-    shut = None
+    shut, whole = None, avoid is None and targets is None
     if avoid is None:
         # Parallel arcs: only the cheapest can be on a path.
-        lean = stage(ways.groupBy("profile", "src", "to").agg(F.min("step").alias("step")).withColumn("edge", F.lit(None).cast("long")), "arcs")
+        few = lambda rows: rows.groupBy("profile", "src", "to").agg(F.min("step").alias("step")).withColumn("edge", F.lit(None).cast("long"))
+        if whole:
+            # A search of everything reads all arcs in every round: in buckets by where they begin, they are neither shuffled nor sorted.
+            lean = stage_by(few(ways.repartition(buckets(ways.sparkSession), "profile", "src")), "arcs", "profile", "src")
+        else:
+            lean = stage(few(ways), "arcs")
     else:
         # Read in every round by search and edge, without being shuffled.
         lean, shut = stage(ways, "arcs"), stage_by(avoid.select("search", "edge").distinct(), "avoided", "search", "edge")
@@ -69,7 +74,8 @@ def cheapest_paths(
     tables, bounds, number = [fresh], None, 0
     while True:
         number += 1
-        new = fresh.drop("round").withColumnRenamed("node", "src").join(lean, ["profile", "src"])
+        front = fresh.drop("round").withColumnRenamed("node", "src")
+        new = (front.hint("shuffle_hash") if whole else front).join(lean, ["profile", "src"])
         new = new.select("search", "profile", F.col("to").alias("node"), "edge", (F.col("cost") + F.col("step")).alias("cost"))
         if bounds is not None:
             new = new.join(bounds, "search", "left").where(F.col("bound").isNull() | (F.col("cost") <= F.col("bound"))).drop("bound")

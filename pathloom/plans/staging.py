@@ -49,13 +49,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def stage_by(df: DataFrame, label: str, *keys: str) -> DataFrame:
     """As ``stage``, in buckets by ``keys``: joins and groupings by all these keys read the table without shuffling it."""
     spark = df.sparkSession
     name = f"pathloom_{label}_{uuid.uuid4().hex}".replace("-", "_")
     path = f"{shared_root(spark)}/{name}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("path", path).bucketBy(buckets, *keys).saveAsTable(name)
+    df.write.option("path", path).bucketBy(buckets(spark), *keys).saveAsTable(name)
     files, folder = _folder(spark, path)
     files.deleteOnExit(folder)
     out = spark.table(name)
