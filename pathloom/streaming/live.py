@@ -19,21 +19,19 @@ def off_route_flags(fixes: DataFrame, vertices: DataFrame, metres: float = OFF_R
     """Whether each fix (id, user_id, ts, route, latitude, longitude) is farther than ``metres`` from
     every vertex (route, latitude, longitude) of its route.
 
-    The fixes meet the vertices of the cells around them, so a long route costs no more.
+    A fix meets the vertices of the cells around it as one list, so a long route costs no more, and a fix stays one row.
     """
     degrees = metres / 100000 * 1.5
     ring = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    near = vertices.select("route", F.col("latitude").alias("v_lat"), F.col("longitude").alias("v_lng"), F.explode(ring).alias("i"))
+    near = vertices.select("route", F.col("latitude").alias("v_lat"), F.col("longitude").alias("v_lng")).distinct().select("*", F.explode(ring).alias("i"))
     near = near.select("*", F.explode(ring).alias("j"))
     near = near.select(
         "route", "v_lat", "v_lng", (cell(F.col("v_lat"), degrees) + F.col("i")).alias("cy"), (cell(F.col("v_lng"), degrees) + F.col("j")).alias("cx")
     )
+    held = near.groupBy("route", "cy", "cx").agg(F.collect_list(F.struct("v_lat", "v_lng")).alias("held"))
     here = fixes.withColumns({"cy": cell(F.col("latitude"), degrees), "cx": cell(F.col("longitude"), degrees)})
-    met = here.join(near, ["route", "cy", "cx"])
-    close = met.where(geo.haversine(F.col("latitude"), F.col("longitude"), F.col("v_lat"), F.col("v_lng")) <= metres).select("id").distinct()
-    return fixes.join(close.withColumn("near", F.lit(True)), "id", "left").select(
-        "id", "user_id", "ts", F.coalesce(~F.col("near"), F.lit(True)).alias("off")
-    )
+    close = F.exists("held", lambda v: geo.haversine(F.col("latitude"), F.col("longitude"), v["v_lat"], v["v_lng"]) <= metres)
+    return here.join(held, ["route", "cy", "cx"], "left").select("id", "user_id", "ts", (~F.coalesce(close, F.lit(False))).alias("off"))
 
 
 def left_route(flags: DataFrame) -> DataFrame:

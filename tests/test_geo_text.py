@@ -272,3 +272,25 @@ def test_drawn_lines_beyond_the_region_are_turned(spark):
     line = geo.edge_line(F.col("geometry"), F.lit(False), F.lit(-76.5), F.lit(45.0), F.lit(-76.6), F.lit(45.1))
     got = {r.id: r.line for r in spark.createDataFrame(rows, "id int, geometry string").select("id", line.alias("line")).collect()}
     assert got[1] == got[2] == [[-76.5, 45.0], [-76.6, 45.1]] and got[3] == [[-76.5, 39.0], [-76.6, 39.1]]
+
+
+def test_pairs_within_come_out_of_lists_and_are_not_shuffled(spark, monkeypatch):
+    """Many points and targets of the same place: positions are measured once, and every pair is told."""
+    monkeypatch.setattr(nearest_module, "LISTED", 7)
+    points = spark.range(300).select("id", (F.lit(39.32) + (F.col("id") % 3) * 0.0002).alias("latitude"), F.lit(-76.63).alias("longitude"))
+    targets = spark.range(200).select(F.col("id").alias("hazard"), (F.lit(39.32) + (F.col("id") % 2) * 0.0002).alias("t_lat"), F.lit(-76.63).alias("t_lng"))
+    rows = nearest_module.within(points, targets, 30.0, degrees=0.001, digits=4)
+    got = rows.select("id", "hazard", "metres").collect()
+    want = {(p, t) for p in range(300) for t in range(200) if abs(p % 3 - t % 2) <= 1}
+    assert len(got) == len(want) and {(r.id, r.hazard) for r in got} == want and {r.metres for r in got} == {0.0, 22.108}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Join")
+
+
+def test_fixes_meet_their_route_as_one_row(spark):
+    fixes = spark.createDataFrame([(1, 1, 5, 0, 39.32, -76.63), (2, 1, 6, 0, 39.33, -76.63), (3, 1, 7, 1, 39.32, -76.63)], "id long, user_id long, ts long, route long, latitude double, longitude double")
+    vertices = spark.createDataFrame([(0, 39.3201 + k * 1e-6, -76.63) for k in range(50)] * 2, "route long, latitude double, longitude double")
+    flags = live.off_route_flags(fixes, vertices, 60.0)
+    assert {r.id: r.off for r in flags.collect()} == {1: False, 2: True, 3: True}
+    # One join: no list of pairs is made that would have to be brought back to its fixes.
+    assert flags._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
