@@ -41,15 +41,17 @@ def first_verified(requests: DataFrame, doors: DataFrame, edges: DataFrame, avoi
     return rows.groupBy("search").agg(F.min(F.struct("edge", "backwards")).alias("v")).select("search", "v.*")
 
 
-def answers(edges: DataFrame, hazards: DataFrame, doors: DataFrame, requests: DataFrame, avoid: DataFrame | None = None) -> DataFrame:
+def answers(
+    edges: DataFrame, hazards: DataFrame, doors: DataFrame, requests: DataFrame, avoid: DataFrame | None = None, ways: DataFrame | None = None
+) -> DataFrame:
     """A row for each request with a way: the columns of ``routing.routes``, and ``surveyed``: the way is a verified path.
 
     A verified path that the request does not avoid is taken as it is, whatever the mode's gates, and is not searched for; it costs its
-    time.  avoid: search, edge.  Requests without any way have no row; a request from a place to itself has a path without edges.
+    time.  avoid: search, edge; ways: as of ``routing.routes``.  Requests without any way have no row; a request from a place to itself has a path without edges.
     """
     mine = stage(first_verified(requests, doors, edges, avoid), "verified")
     rest = requests.join(mine.select(F.col("search").alias("request")), "request", "left_anti")
-    found = routing.routes(edges, hazards, doors, rest, avoid).withColumn("surveyed", F.lit(False))
+    found = routing.routes(edges, hazards, doors, rest, avoid, ways).withColumn("surveyed", F.lit(False))
     path = edges.select(F.col("id").alias("edge"), "from_node", "to_node", "distance_m")
     asked = requests.withColumnRenamed("request", "search").select("search", "mode", "night", "smarter")
     rows = mine.join(path, "edge").join(asked, "search")
@@ -66,13 +68,13 @@ def answers(edges: DataFrame, hazards: DataFrame, doors: DataFrame, requests: Da
     return taken.unionByName(found.select(*taken.columns))
 
 
-def lines(found: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def lines(found: DataFrame, edges: DataFrame, nodes: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """search, line: [lng, lat] points along the drawn lines of a route's edges, joints once; without edges, the node.
 
-    edges: with ``geometry``, JSON text or null.
+    edges: with ``geometry``, JSON text or null.  rows: ``routing.route_edges`` of both, if they are at hand.
     """
     spot = lambda c, p: nodes.select(F.col("id").alias(c), F.col("longitude").alias(f"{p}_lng"), F.col("latitude").alias(f"{p}_lat"))
-    rows = routing.route_edges(found, edges).select("search", "pos", "a", "b", "geometry", (F.col("a") != F.col("from_node")).alias("back"))
+    rows = (routing.route_edges(found, edges) if rows is None else rows).select("search", "pos", "a", "b", "geometry", (F.col("a") != F.col("from_node")).alias("back"))
     rows = rows.join(spot("a", "a"), "a").join(spot("b", "b"), "b")
     rows = rows.withColumn("line", geo.edge_line(F.col("geometry"), F.col("back"), *[F.col(c) for c in ("a_lng", "a_lat", "b_lng", "b_lat")]))
     before = F.lag(F.element_at("line", -1)).over(Window.partitionBy("search").orderBy("pos"))
@@ -109,7 +111,9 @@ def documents(found: DataFrame, requests: DataFrame, edges: DataFrame, hazards:
     are brought together as rows and grouped once by search.  A path without edges has no stats, steps or hazards.
     """
     asked = requests.select(F.col("request").alias("search"), "mode", "night")
-    rows = routing.route_edges(found, edges).join(found.select("search", "surveyed"), "search").join(asked, "search")
+    # Every part reads the edges of the answers and their nodes; the tables of all edges and nodes are read once.
+    rows = stage(routing.route_edges(found, edges).join(found.select("search", "surveyed"), "search").join(asked, "search"), "rows")
+    nodes = stage(nodes.join(found.select(F.explode("nodes").alias("id")).distinct(), "id", "left_semi"), "spots")
     head = found.join(asked, "search").select(
         "search",
         F.struct(
@@ -127,7 +131,7 @@ def documents(found: DataFrame, requests: DataFrame, edges: DataFrame, hazards:
     steps = routing.guided(rows, nodes, surveyed="surveyed").select("search", step.alias("one_step"))
     met = hazards.where("active").select(F.col("edge_id").alias("id"), F.struct("id", "title", "severity", "edge_id", "active_when", "latitude", "longitude").alias("hazard"))
     warned = rows.select("search", "id").join(met, "id").select("search", "hazard")
-    parts = [head, stats, steps, warned, lines(found, edges, nodes)]
+    parts = [head, stats, steps, warned, lines(found, edges, nodes, rows)]
     together = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
     whole = together.groupBy("search").agg(
         F.first("head", ignorenulls=True).alias("head"),
@@ -145,9 +149,15 @@ def as_json(told: DataFrame) -> DataFrame:
 
 
 def recalculated(
-    edges: DataFrame, hazards: DataFrame, doors: DataFrame, requests: DataFrame, previous: DataFrame, avoid: DataFrame | None = None
+    edges: DataFrame,
+    hazards: DataFrame,
+    doors: DataFrame,
+    requests: DataFrame,
+    previous: DataFrame,
+    avoid: DataFrame | None = None,
+    ways: DataFrame | None = None,
 ) -> DataFrame:
     """``answers`` without the edges of each request's previous answer (search, path), and without those it avoids already (search, edge)."""
     gone = previous.select("search", F.explode("path").alias("edge"))
     gone = gone if avoid is None else gone.unionByName(avoid.select("search", "edge"))
-    return answers(edges, hazards, doors, requests, gone.distinct())
+    return answers(edges, hazards, doors, requests, gone.distinct(), ways)

@@ -12,6 +12,11 @@ from pathloom.plans.staging import buckets, discard, stage
 PAIR = ["start_place", "end_place"]
 #: Verified paths of a pair of places that a request meets in one row.
 LISTED = 1024
+#: The columns of ``measured_edges`` that a price hangs on.
+MEASURED = [
+    "distance_m", "surface", "roughness", "slope", "safety", "lit", "stairs", "curb", "grade", "kind", "verified", "confidence", "closed",
+    "source", "published", "at_night", "by_day",
+]
 
 
 def severities(hazards: DataFrame, night: Column) -> DataFrame:
@@ -32,22 +37,30 @@ def profile_name(shortcuts: str | Column = "shortcuts") -> Column:
     return F.concat_ws("/", "mode", F.col("night").cast("string"), (F.col(shortcuts) if isinstance(shortcuts, str) else shortcuts).cast("string"))
 
 
-def priced_edges(edges: DataFrame, hazards: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Every edge that a profile may use, with its cost; ``wanted``: mode, night, shortcuts, profile.
-
-    The profiles are a handful of rows by nature (modes x day and night x shortcuts).
-    """
+def measured_edges(edges: DataFrame, hazards: DataFrame) -> DataFrame:
+    """Every published edge with the severity of its worst active hazard at_night and by_day, null without any."""
     counts = lambda night: F.col("active") & C.hazard_applies(F.col("active_when"), F.lit(night))
     worst = hazards.where(F.col("edge_id").isNotNull()).groupBy("edge_id").agg(
         *[F.coalesce(F.max(F.when(counts(night), F.col("severity"))), F.lit(0)).alias(name) for night, name in ((True, "at_night"), (False, "by_day"))]
     )
-    rows = edges.where("published").join(worst, edges.id == worst.edge_id, "left").drop("edge_id")
-    rows = rows.crossJoin(F.broadcast(wanted))
+    return edges.where("published").join(worst, edges.id == worst.edge_id, "left").drop("edge_id")
+
+
+def priced(rows: DataFrame) -> DataFrame:
+    """Those of ``rows`` that their profile may use, with their cost; rows: of ``measured_edges`` with mode, night and shortcuts."""
     severity = F.coalesce(F.when(F.col("night"), F.col("at_night")).otherwise(F.col("by_day")), F.lit(0))
     rows = rows.where(~C.blocked(F.col("mode")) & ((F.col("kind") != "shortcut") | F.col("shortcuts")))
     return rows.withColumn("cost", C.edge_cost(F.col("mode"), F.col("night"), severity))
 
 
+def priced_edges(edges: DataFrame, hazards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Every edge that a profile may use, with its cost; ``wanted``: mode, night, shortcuts, profile.
+
+    The profiles are a handful of rows by nature (modes x day and night x shortcuts).
+    """
+    return priced(measured_edges(edges, hazards).crossJoin(F.broadcast(wanted)))
+
+
 def arcs(edges: DataFrame) -> DataFrame:
     """Both directions of two-way edges; the cost does not turn with the direction."""
     way = lambda src, dst, back: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(back).alias("reversed"))
@@ -73,26 +86,35 @@ def terminals(requests: DataFrame, doors: DataFrame, place: str) -> DataFrame:
     )
 
 
-def routes(edges: DataFrame, hazards: DataFrame, doors: DataFrame, requests: DataFrame, avoid: DataFrame | None = None) -> DataFrame:
+def network(edges: DataFrame, hazards: DataFrame) -> DataFrame:
+    """src, dst, edge and what ``priced`` reads, written once for all profiles: arcs are priced when a search meets them."""
+    return stage(arcs(measured_edges(edges, hazards)).select("src", "dst", F.col("id").alias("edge"), *MEASURED), "network")
+
+
+def routes(
+    edges: DataFrame, hazards: DataFrame, doors: DataFrame, requests: DataFrame, avoid: DataFrame | None = None, ways: DataFrame | None = None
+) -> DataFrame:
     """For each request with a way: search, cost, node (its end), profile, path (edges in order) and nodes.
 
-    avoid: search, edge.
+    avoid: search, edge.  ways: the ``network``, if it is at hand.
     """
-    priced = priced_edges(edges, hazards, profiles(requests))
-    ways = stage(arcs(priced).select("profile", "src", "dst", F.col("id").alias("edge"), "cost"), "ways")
+    mine = network(edges, hazards) if ways is None else None
+    wanted = stage(profiles(requests), "profiles")
     starts = stage(terminals(requests, doors, "start_place").select("search", "profile", "node"), "starts")
     ends = stage(terminals(requests, doors, "end_place").select("search", "node").distinct(), "ends")
     avoid = None if avoid is None else stage(avoid.select("search", "edge"), "avoided")
-    lean, served = corridor(ways, starts, ends, avoid)
+    price = lambda rows: priced(rows.join(F.broadcast(wanted), "profile"))
+    lean, served = corridor(mine if ways is None else ways, starts, ends, avoid, price)
+    discard(*([mine] if ways is None else []))
     # From here on only the few arcs between a search's ends are read.
-    ways, ends = lean, ends.join(served, "search", "left_semi")
+    ends = ends.join(served, "search", "left_semi")
     avoid = None if avoid is None else stage(avoid.join(lean.select("edge").distinct(), "edge", "left_semi").distinct(), "avoided")
-    found = cheapest_paths(ways, starts, ends, avoid)
+    found = cheapest_paths(lean, starts, ends, avoid)
     reached = stage(cheapest_target(found, ends).drop("round"), "reached")
     # Beyond its cheapest end no node is on the way of a search.
     near = found.join(reached.select("search", F.col("cost").alias("bound")), "search").where("cost <= bound").drop("bound")
-    back = came_by(near, ways, avoid)
-    discard(ways, found)
+    back = came_by(near, lean, avoid)
+    discard(lean, found)
     return paths_back(reached, back)
 
 

@@ -15,6 +15,7 @@ and it is the same however the rows are spread.  Paths are read back from the en
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -103,17 +104,22 @@ def cheapest_paths(
     return paths_back(found, came_by(found, arcs, avoid)) if with_path else found
 
 
-def corridor(arcs: DataFrame, sources: DataFrame, targets: DataFrame, avoid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def corridor(
+    arcs: DataFrame, sources: DataFrame, targets: DataFrame, avoid: DataFrame | None = None, price: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The arcs among which every search has its cheapest ways to its cheapest targets, all equally cheap ones with them, and the searches that have any (search).
 
     arcs, sources, targets and avoid: as of ``cheapest_paths``; arcs and avoid are read in every round and had better be staged.
+    price: of arcs without profile and cost, those that the profile beside them may use, with their cost.  It sees only the arcs that a
+    round's nodes meet, so all profiles read one table and no other arc is priced.
 
     A search grows from both its ends.  A round expands the cheapest open nodes of each end, twice as many as the round before.  What
     is cheaper than an end's cheapest open node is settled, so once both radii together exceed the cheapest meeting found, each node of a
     cheapest way lies in one of the two balls; and if one end has no open node left, nothing more is to be found.  Two balls of half
     the way hold far fewer nodes than one of all of it, so a round's nodes are few beside the arcs and these are read but not shuffled.
     """
-    both = ["search", "profile", "node"]
+    both, by = ["search", "profile", "node"], ["profile"] if price is None else []
+    price = price or (lambda rows: rows)
     none = F.lit(None).cast("struct<cost:double,open:int>")
     begin = F.struct(F.lit(0.0).alias("cost"), F.lit(1).alias("open"))
     start = sources.select(*both).distinct().join(targets.select("search").distinct(), "search", "left_semi")
@@ -145,10 +151,7 @@ def corridor(arcs: DataFrame, sources: DataFrame, targets: DataFrame, avoid: Dat
         came = []
         for e, at, to in (("f", "src", "dst"), ("b", "dst", "src")):
             front = near.where(opened[e] <= F.col(f"to{e}")).select("search", "profile", F.col("node").alias(at), F.col(f"{e}.cost").alias("_cost"))
-            # Many arcs meet few nodes: by one number, with the profile and node behind it compared by order, this is much cheaper than by text and number.
-            front = front.select("search", F.xxhash64("profile", at).alias("_key"), F.col("profile").alias("_profile"), F.col(at).alias("_at"), "_cost")
-            ways = arcs.select("profile", "src", "dst", "edge", "cost", F.xxhash64("profile", at).alias("_key"))
-            new = front.join(ways, "_key").where(F.col("profile").between(F.col("_profile"), F.col("_profile")) & F.col(at).between(F.col("_at"), F.col("_at")))
+            new = price(front.join(arcs, [*by, at]))
             cost = F.struct((F.col("_cost") + F.col("cost")).alias("cost"), F.lit(1).alias("open"))
             came.append(new.select("search", "profile", F.col(to).alias("node"), "edge", *[(cost if x == e else none).alias(x) for x in "fb"]))
         came = came[0].unionByName(came[1])
@@ -165,7 +168,8 @@ def corridor(arcs: DataFrame, sources: DataFrame, targets: DataFrame, avoid: Dat
     held = state.join(known.where("met IS NOT NULL").select("search", "met", "rf", "rb"), "search")
     inside = [F.coalesce(F.col(f"{e}.cost") <= F.least(F.coalesce(f"r{e}", infinite), F.col("met") * SLACK), F.lit(False)) for e in "fb"]
     inner = stage(held.where(inside[0] | inside[1]).select("profile", "node").distinct(), "inner")
-    lean = arcs.join(inner.withColumnRenamed("node", "src"), ["profile", "src"], "left_semi").join(inner.withColumnRenamed("node", "dst"), ["profile", "dst"], "left_semi")
+    lean = arcs.join(inner.withColumnRenamed("node", "src"), [*by, "src"]).join(inner.withColumnRenamed("node", "dst"), ["profile", "dst"], "left_semi")
+    lean = price(lean).select("profile", "src", "dst", "edge", "cost")
     lean, served = stage(lean, "corridor"), stage(known.where("met IS NOT NULL").select("search"), "served")
     discard(state, known, inner)
     return lean, served

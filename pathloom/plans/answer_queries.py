@@ -55,9 +55,11 @@ concat_ws(',', {A}, rest) AS line FROM ans LEFT JOIN su ON su.request = ans.requ
 LEFT JOIN dr ON dr.request = ans.request JOIN g_nodes m ON m.id = ans.nodes[1]""")
 def route_answers(g: Graph) -> DataFrame:
     """The document of every request with a way, its verified path before any search, laid out flat."""
-    edges = drawn_edges(g)
-    found = stage(answers.answers(g.edges, g.hazards, g.doors, g.asked), "answers")
-    told = answers.documents(found, g.asked, edges, g.hazards, g.nodes)
+    asked = stage(g.asked, "asked")
+    found = stage(answers.answers(g.edges, g.hazards, g.doors, asked), "answers")
+    # Only edges of answers are drawn.
+    met = stage(g.edges.join(found.select(F.explode("path").alias("id")).distinct(), "id", "left_semi"), "met")
+    told = answers.documents(found, asked, drawn_edges(g, met), g.hazards, g.nodes)
     part = lambda x: F.round(x * 100000, 0).cast("long").cast("string")
     listed = lambda c, f, by: F.array_join(F.transform(c, f), by)
     rounded = ("cost", "distance_m", "verified_m", "safety_score", "accessibility_score", "unknown_m")

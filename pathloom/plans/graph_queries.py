@@ -530,12 +530,12 @@ def route_geometry(g: Graph) -> DataFrame:
     return spots.groupBy(F.col("search").cast("int").alias("request")).agg(F.array_join(F.transform(line, lambda x: x["p"]), ",").alias("geometry"))
 
 
-def drawn_edges(g: Graph) -> DataFrame:
-    """Edges with the positions of their ends and ``geometry``: a third has a line by way of a third point, a third an empty one."""
+def drawn_edges(g: Graph, edges: DataFrame | None = None) -> DataFrame:
+    """These edges, or all, with the positions of their ends and ``geometry``: a third has a line by way of a third point, a third an empty one."""
     k, middle = F.col("id"), lambda a, b: (F.col(a) + F.col(b)) / 2 + 0.0001
     pair = lambda lat, lng: F.concat(F.lit("["), lat.cast("string"), F.lit(","), lng.cast("string"), F.lit("]"))
     drawn = F.concat(F.lit("["), pair(F.col("lat1"), F.col("lng1")), F.lit(","), pair(middle("lat1", "lat2"), middle("lng1", "lng2")), F.lit(","), pair(F.col("lat2"), F.col("lng2")), F.lit("]"))
-    return ends(g).withColumn("geometry", F.when(k % 3 == 1, "[]").when(k % 3 == 2, drawn))
+    return ends(g, edges).withColumn("geometry", F.when(k % 3 == 1, "[]").when(k % 3 == 2, drawn))
 
 
 @query(f"""SELECT id, CASE WHEN id % 3 < 2 THEN concat(a, ',', b) WHEN id % 2 = 0 THEN concat(b, ',', m, ',', a) ELSE concat(a, ',', m, ',', b) END AS line FROM (

@@ -42,11 +42,11 @@ ENDS_SQL = """SELECT e.id, a.latitude AS lat1, a.longitude AS lng1, b.latitude A
 FROM g_edges e JOIN g_nodes a ON a.id = e.from_node JOIN g_nodes b ON b.id = e.to_node"""
 
 
-def ends(g: Graph) -> DataFrame:
-    """Edges with the positions of their ends."""
+def ends(g: Graph, edges: DataFrame | None = None) -> DataFrame:
+    """These edges, or all, with the positions of their ends."""
     a = g.nodes.select(F.col("id").alias("from_node"), F.col("latitude").alias("lat1"), F.col("longitude").alias("lng1"))
     b = g.nodes.select(F.col("id").alias("to_node"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lng2"))
-    return g.edges.join(a, "from_node").join(b, "to_node")
+    return (g.edges if edges is None else edges).join(a, "from_node").join(b, "to_node")
 
 
 def close(column, digits: int = 6):

@@ -101,3 +101,31 @@ def test_verified_routes_shuffle_requests_and_not_their_rows(spark, graph):
     plan = routing.verified_routes(asked, doors, edges)._jdf.queryExecution().optimizedPlan().toString()
     # The rows come out of the lists after the last shuffle.
     assert plan.index("Generate inline") < plan.index("Join") and not plan.lstrip().startswith("Aggregate")
+
+
+def test_arcs_are_written_once_for_all_profiles(graph, monkeypatch):
+    """Modes and times of day read one table of arcs and price what they meet; former code wrote every arc for every profile."""
+    edges, hazards, doors, requests, _ = graph
+    written, plain = {}, routing.stage
+
+    def counted(df, label):
+        out = plain(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(routing, "stage", counted)
+    found = {r.search: r.path for r in routing.routes(edges, hazards, doors, requests).collect()}
+    # Three ways, each in both directions, and the closed one; wheelchairs have no stairs and nobody a closed way.
+    assert found == {0: [1, 2], 1: [2, 1], 2: [1], 3: [2], 4: []}
+    assert written["profiles"] == 3 and written["network"] == 8
+
+
+def test_documents_read_all_edges_and_nodes_once(spark, graph, tmp_path):
+    """The parts of a document come from the answers' own edges; former code read all edges anew for each part."""
+    edges, hazards, doors, requests, nodes = graph
+    edges.write.parquet(f"{tmp_path}/all_edges")
+    nodes.write.parquet(f"{tmp_path}/all_nodes")
+    edges, nodes = spark.read.parquet(f"{tmp_path}/all_edges"), spark.read.parquet(f"{tmp_path}/all_nodes")
+    found = answers.stage(answers.answers(edges, hazards, doors, requests), "answers")
+    told = answers.documents(found, requests, edges, hazards, nodes)
+    assert told.count() == 5 and not [f for f in told.inputFiles() if "/all_edges/" in f or "/all_nodes/" in f]
