@@ -46,6 +46,8 @@ GAIN = 1e-3
 HELD = 1 << 22
 #: Cells (time x text) of one recursion.
 CELLS = 400_000
+#: Times between two scalings: eight emissions of any model of this module are far above the smallest double.
+SCALED = 8
 SHAPES = 16
 SMOOTH = 0.01
 
@@ -223,41 +225,62 @@ def _groups(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def forward(model: Model, lengths: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward variables, their scales, the emissions and how many texts live at each time."""
-    emit = model.emit[table]
+    """Forward variables (state x token), the scales taken out of each text, the emissions, and where each time begins.
+
+    Tokens stand by time without padding.  Variables are scaled at every ``SCALED``-th time; what is left at a text's end is its
+    last scale, so a text's likelihood is the product of its scales.  The emissions of scaled tokens come divided by their scale.
+    """
     alive = np.searchsorted(-lengths, -np.arange(1, len(table) + 1), side="right")
+    begins = np.concatenate(([0], np.cumsum(alive)))
+    emit = np.take(np.ascontiguousarray(model.emit.T), _packed(lengths, table), axis=1)
     alpha = np.empty_like(emit)
-    scale = np.ones(table.shape)
-    for t in range(len(table)):
-        n = alive[t]
-        a = (model.start if t == 0 else alpha[t - 1, :n] @ model.move) * emit[t, :n]
-        s = a.sum(1)
-        scale[t, :n] = s
-        alpha[t, :n] = a / s[:, None]
-    return alpha, scale, emit, alive
+    alpha[:, : alive[0]] = model.start[:, None] * emit[:, : alive[0]]
+    scale = np.ones((1 + len(table) // SCALED, table.shape[1]))
+    turn = np.ascontiguousarray(model.move.T)
+    at = begins.tolist()
+    for t in range(1, len(table)):
+        i, j = at[t], at[t + 1]
+        here, told, before = alpha[:, i:j], emit[:, i:j], at[t - 1]
+        np.matmul(turn, alpha[:, before : before + j - i], out=here)
+        np.multiply(here, told, out=here)
+        if t % SCALED == 0:
+            s = here.sum(0)
+            scale[t // SCALED - 1, : j - i] = s
+            here /= s
+            told /= s
+    scale[-1] = alpha[:, begins[lengths - 1] + np.arange(len(lengths))].sum(0)
+    return alpha, scale, emit, begins
+
+
+def _packed(lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The symbols of a table (time x text) by time, without those beyond a text's end."""
+    return table[np.arange(len(table))[:, None] < lengths[None, :]]
 
 
 def expected(model: Model, lengths: np.ndarray, table: np.ndarray, out: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
     """Adds the expected starts, moves and emissions of the texts; returns their log likelihood."""
     starts, moves, emits = out
-    alpha, scale, emit, alive = forward(model, lengths, table)
-    beta = np.ones((table.shape[1], len(model.start)))
-    states = len(model.start)
-    for t in range(len(table) - 1, -1, -1):
-        n = alive[t]
-        if t + 1 < len(table):
-            m = alive[t + 1]
-            ahead = beta[:m] * emit[t + 1, :m] / scale[t + 1, :m, None]
-            moves += alpha[t, :m].T @ ahead
-            beta[:m] = ahead @ model.move.T
-        gamma = alpha[t, :n] * beta[:n]
-        alpha[t, :n] = gamma
-    starts += alpha[0].sum(0)
-    live = np.arange(len(table))[:, None] < lengths[None, :]
-    symbols = table[live]
-    for k in range(states):
-        emits[:, k] += np.bincount(symbols, weights=alpha[..., k][live], minlength=len(emits))
-    return float(np.log(scale[live]).sum())
+    alpha, scale, ahead, begins = forward(model, lengths, table)
+    beta = np.empty_like(alpha)
+    beta[:, begins[lengths - 1] + np.arange(len(lengths))] = 1 / scale[-1]
+    at = begins.tolist()
+    for t in range(len(table) - 2, -1, -1):
+        i, j, k = at[t], at[t + 1], at[t + 2]
+        later = ahead[:, j:k]
+        np.multiply(later, beta[:, j:k], out=later)
+        np.matmul(model.move, later, out=beta[:, i : i + k - j])
+    first = at[1]
+    if len(table) > 1:
+        # Before each token stands that of the same text one time earlier.
+        alive = np.diff(begins)
+        before = np.arange(first, at[-1]) - np.repeat(alive[:-1], alive[1:])
+        moves += alpha[:, before] @ ahead[:, first:].T
+    np.multiply(alpha, beta, out=alpha)
+    starts += alpha[:, :first].sum(1)
+    symbols = _packed(lengths, table)
+    for k in range(len(alpha)):
+        emits[:, k] += np.bincount(symbols, weights=alpha[k], minlength=len(emits))
+    return float(np.log(scale).sum())
 
 
 def _expectation(shared):

@@ -119,6 +119,36 @@ def test_forward_is_the_sum_over_all_state_paths():
             assert np.log(scale[:, k]).sum() == pytest.approx(math.log(total))
 
 
+def test_expected_counts_are_those_of_a_plain_recursion_without_padding():
+    """Scaled at every eighth time only, over packed tokens, the sums are those of unscaled recursions over single texts."""
+    r = np.random.default_rng(5)
+    model = hmm_lm.initial(30, 3, r.integers(0, 50, 30).astype(float))
+    codes = [r.integers(0, 30, n) for n in (1, 2, 8, 9, 17, 33, 40, 40, 25, 24)]
+    got = (np.zeros(3), np.zeros((3, 3)), np.zeros((30, 3)))
+    total = 0.0
+    for _, lengths, table in hmm_lm._groups(pa.array([c.astype("<u2").tobytes() for c in codes])):
+        total += hmm_lm.expected(model, lengths, table, got)
+        alpha, scale, _, _ = hmm_lm.forward(model, lengths, table)
+        assert max(alpha.shape) == lengths.sum() and len(scale) <= 1 + len(table) // 8
+    want, likelihood = (np.zeros(3), np.zeros((3, 3)), np.zeros((30, 3))), 0.0
+    for c in codes:
+        e = model.emit[c]
+        a, b = [model.start * e[0]], [np.ones(3)]
+        for t in range(1, len(c)):
+            a.append((a[-1] @ model.move) * e[t])
+            b.insert(0, model.move @ (e[len(c) - t] * b[0]))
+        p = a[-1].sum()
+        likelihood += np.log(p)
+        want[0][:] += a[0] * b[0] / p
+        for t in range(len(c)):
+            want[2][c[t]] += a[t] * b[t] / p
+            if t:
+                want[1][:] += np.outer(a[t - 1], e[t] * b[t]) / p
+    assert total == pytest.approx(likelihood)
+    for x, y in zip(got, want, strict=True):
+        assert x == pytest.approx(y)
+
+
 def test_baum_welch_raises_the_likelihood(spark):
     r = random.Random(2)
     rows = [(k, " ".join(x for _ in range(20) for x in (("a", "b") if r.random() < 0.9 else ("c", "d"))), False) for k in range(40)]
