@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import shown
-from pathloom.operators import answers, lifecycle
+from pathloom.operators import answers, lifecycle, routing
 from pathloom.plans.graph_queries import ROUTES_SQL as REQUESTED_SQL
 from pathloom.plans.graph_queries import VERIFIED_SQL, WRITTEN_SQL, drawn_edges, fold_sql
 from pathloom.plans.registry import query
 from pathloom.plans.scalar_queries import DIRECTION_SQL, INSTRUCTION_SQL, SPEED_SQL, close
-from pathloom.plans.staging import stage
+from pathloom.plans.staging import discard, stage
 from pathloom.plans.views import Graph
 
 ROUTES_SQL = REQUESTED_SQL.replace("g_requests", "g_asked")
@@ -91,8 +91,10 @@ array_to_string(CASE WHEN first.edge IS NOT NULL THEN [first.edge] ELSE best.pat
 FROM prior LEFT JOIN best ON best.request = prior.request LEFT JOIN first ON first.request = prior.request""")
 def routes_recalculated(g: Graph) -> DataFrame:
     """Every answered request asked once more, without any edge of its first answer."""
-    before = stage(answers.answers(g.edges, g.hazards, g.doors, g.asked), "answers")
-    after = answers.recalculated(g.edges, g.hazards, g.doors, g.asked, before)
+    asked, ways = stage(g.asked, "asked"), routing.network(g.edges, g.hazards)
+    before = stage(answers.answers(g.edges, g.hazards, g.doors, asked, ways=ways), "answers")
+    after = stage(answers.recalculated(g.edges, g.hazards, g.doors, asked, before, ways=ways), "again")
+    discard(ways)
     outcome = F.when(F.col("surveyed"), "verified").when(F.col("surveyed").isNull(), "none").otherwise("route")
     rows = before.select("search", _joined("path").alias("before")).join(after.select("search", "surveyed", _joined("path").alias("path")), "search", "left")
     return rows.select(F.col("search").cast("int").alias("request"), "before", outcome.alias("outcome"), "path")

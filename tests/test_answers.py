@@ -129,3 +129,22 @@ def test_documents_read_all_edges_and_nodes_once(spark, graph, tmp_path):
     found = answers.stage(answers.answers(edges, hazards, doors, requests), "answers")
     told = answers.documents(found, requests, edges, hazards, nodes)
     assert told.count() == 5 and not [f for f in told.inputFiles() if "/all_edges/" in f or "/all_nodes/" in f]
+
+
+def test_recalculation_searches_the_arcs_of_the_first_answers(spark, graph, monkeypatch):
+    """Both searches read one written table of arcs; former code joined, priced and wrote all of them twice."""
+    edges, hazards, doors, requests, _ = graph
+    ways = routing.network(edges, hazards)
+    before = spark.createDataFrame([(2, [1])], "search long, path array<long>")
+
+    class Met(Exception):
+        pass
+
+    def met(arcs, *_):
+        raise Met(arcs)
+
+    monkeypatch.setattr(routing, "corridor", met)
+    monkeypatch.setattr(routing, "network", None)
+    with pytest.raises(Met) as told:
+        answers.recalculated(edges, hazards, doors, requests, before, ways=ways)
+    assert told.value.args[0] is ways
