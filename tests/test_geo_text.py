@@ -287,6 +287,48 @@ def test_pairs_within_come_out_of_lists_and_are_not_shuffled(spark, monkeypatch)
     assert plan.index("Generate inline") < plan.index("Join")
 
 
+@pytest.fixture
+def as_at_size(spark):
+    """Sixteen parts, and no join that is broadcast because its test is small."""
+    asked = {"spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in asked}
+    for k, v in asked.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(("full", "listed"), [(1 << 20, 256), (5, 3)])
+def test_pairs_within_are_each_told_once(spark, monkeypatch, as_at_size, full, listed):
+    """Across the edges of cells, from cells dealt to several tasks, equal rows and missing positions too, against every pair."""
+    monkeypatch.setattr(nearest_module, "FULL", full)
+    monkeypatch.setattr(nearest_module, "LISTED", listed)
+    r = random.Random(4)
+    place = lambda: (39.32 + r.randrange(12) * 0.00025, -76.63 + r.choice([0, 0, r.randrange(12)]) * 0.00025)
+    points = [(k, *place()) for k in range(150)] + [(7, 39.32, -76.63)] * 3 + [(900, None, -76.63)]
+    targets = [(k, *place()) for k in range(90)] + [(5, 39.32, -76.63)] * 2 + [(901, 39.32, None)]
+    near = nearest_module.within(
+        spark.createDataFrame(points, "id long, latitude double, longitude double"), spark.createDataFrame(targets, "hazard long, t_lat double, t_lng double"), 45.0, degrees=0.001, digits=4
+    )
+    metres = lambda a, b: math.hypot((b[2] - a[2]) * 111320.0 * 0.7735, (b[1] - a[1]) * 110540.0)
+    want = [(a[0], b[0], round(metres(a, b), 4)) for a in points for b in targets if None not in a + b and metres(a, b) <= 45]
+    assert sorted((x.id, x.hazard, x.metres) for x in near.collect()) == sorted(want) and len(want) > 1000
+
+
+def test_pairs_of_a_crowded_place_are_dealt_and_small_on_disk(spark, as_at_size, tmp_path):
+    """One position with many points, and many targets around it: several tasks tell the pairs, whose files take little."""
+    points = spark.createDataFrame([(k, 39.3201, -76.6299) for k in range(400)], "id long, latitude double, longitude double")
+    targets = spark.range(4500).select(
+        (F.col("id") * 7919 % 1000003).alias("hazard"), (F.lit(39.32) + F.col("id") % 3 * 0.0001).alias("t_lat"), (F.lit(-76.63) + F.floor(F.col("id") / 3) % 3 * 0.0001).alias("t_lng")
+    )
+    rows = nearest_module.within(points, targets, 45.0, degrees=0.001, digits=4).select("id", "hazard", "metres")
+    told = [x["count"] for x in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(told) == 400 * 4500 and len(told) >= 6 and max(told) <= 400 * 4500 * 0.4
+    rows.write.parquet(f"{tmp_path}/pairs")
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 400 * 4500 * 0.7
+
+
 def test_fixes_meet_their_route_as_one_row(spark):
     fixes = spark.createDataFrame([(1, 1, 5, 0, 39.32, -76.63), (2, 1, 6, 0, 39.33, -76.63), (3, 1, 7, 1, 39.32, -76.63)], "id long, user_id long, ts long, route long, latitude double, longitude double")
     vertices = spark.createDataFrame([(0, 39.3201 + k * 1e-6, -76.63) for k in range(50)] * 2, "route long, latitude double, longitude double")
